@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+BLOCK_TEXTS = 4096
 U = np.uint64
 
 _rng = np.random.default_rng(20_240_607)
@@ -118,7 +119,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(i + BLOCK_TEXTS, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
         yield Block(i, raw[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
 
@@ -158,12 +159,17 @@ def shingles(block: Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.n
 
 
 def distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, hash) pairs, sorted by text, then hash."""
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
-    return text[first], h[first]
+    """The distinct (text, 52-bit hash) pairs, sorted by text, then hash.
+
+    One in-place sort of packed values: blocks hold at most ``BLOCK_TEXTS`` texts.
+    """
+    packed = (text.astype(np.uint64) << U(52)) | (h >> U(12))
+    packed.sort()
+    if len(packed):
+        first = np.ones(len(packed), dtype=bool)
+        np.not_equal(packed[1:], packed[:-1], out=first[1:])
+        packed = packed[first]
+    return (packed >> U(52)).astype(np.int64), packed & U((1 << 52) - 1)
 
 
 def arrow_map(fn: Callable[[Block, pa.RecordBatch], pa.RecordBatch | list], text: str = "text") -> Callable:
