@@ -78,11 +78,11 @@ class Index:
             for i in members:
                 for b, key in enumerate(self._bands(self.sets[i], salts, bands)):
                     buckets.setdefault((b, key), []).append(i)
-            self.classes.append((width, top, bands, salts, buckets))
+            self.classes.append((width, top, bands, salts, buckets, np.unique(np.concatenate([self.sets[i] for i in members]))))
 
     @staticmethod
     def _bands(hashes: np.ndarray, salts: np.ndarray, bands: int) -> list[int]:
-        low = np.array([mix(hashes ^ s).min() for s in salts])
+        low = mix(hashes[:, None] ^ salts[None, :]).min(axis=0)
         key = np.zeros(bands, dtype=np.uint64)
         for column in low.reshape(bands, -1).T:
             key = mix(key + column)
@@ -96,9 +96,10 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         first = np.searchsorted(text, np.arange(block.n))
         last = np.searchsorted(text, np.arange(block.n), side="right")
-        for width, step, bands, salts, buckets in self.classes:
-            own = text[hits]
-            number = (hits - first[own]) // step
+        for width, step, bands, salts, buckets, known in self.classes:
+            near = hits[np.isin(h[hits], known)]
+            own = text[near]
+            number = (near - first[own]) // step
             open_ = {(int(t), int(w)) for t, n in zip(own.tolist(), number.tolist()) for w in (n - 1, n) if w >= 0}
             for t, w in sorted(open_):
                 a = int(first[t]) + w * step
