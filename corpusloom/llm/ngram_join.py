@@ -34,7 +34,9 @@ VERIFY_COST = 20.0
 #: Involved ids up to this many are broadcast, at 8 bytes each; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 
-_SUMMARY = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"
+#: Bits of the parity signature that bounds a pair's difference from below.
+SIGNATURE_BITS = 1024
+_SUMMARY = "doc_id long, n long, k1 long, k2 long, parity array<long>, chunk int, counts binary"
 _BUCKETS = 1 << BUCKET_BITS
 
 
@@ -49,21 +51,28 @@ def _sums(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return size.astype(np.int64), out[0], out[1]
 
 
+def _parity(text: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    """Per text, the parity of the number of shingles that fall on each bit."""
+    odd = np.bincount(text * SIGNATURE_BITS + (h & U(SIGNATURE_BITS - 1)).astype(np.int64), minlength=n * SIGNATURE_BITS) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SIGNATURE_BITS // 64, dtype=np.int32)), pa.array(words))
+
+
 def _summarise(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_BUCKETS, dtype=np.int64)
-        names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "parity", "chunk", "counts"]
         for batch in batches:
             for block in text_blocks(batch.column(1)):
                 text, h, _ = shingles(block, k)
                 text, h = distinct(text, h)
                 counts += np.bincount((h >> U(52 - BUCKET_BITS)).astype(np.int64), minlength=_BUCKETS)
                 size, k1, k2 = _sums(text, h, block.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), _parity(text, h, block.n), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
         if counts.any():
             parts = [x.astype("<u4").tobytes() for x in np.split(np.minimum(counts, 0xFFFFFFFF), CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -168,12 +177,25 @@ def _linked(x: Column, y: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (x + y - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that link."""
+def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those that link.
+
+    Two sets differ in at least as many shingles as their parity signatures
+    differ in bits; pairs beyond what the threshold allows go first.  The rest
+    are compared on their whole sets, made only for documents that need it.
+    """
+    own = lambda c: classes.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # J >= t leaves a difference of at most (1 - t) / (1 + t) of the sizes' sum.
+    near = pairs.join(own("a"), "a").join(own("b"), "b").filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    near = stored(near.select("a", "b"), "ngram-near")
+    ids = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ngram-ids")
+    few = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    sets = stored(rows.join(few, "doc_id", "left_semi").mapInArrow(_emit_sets(words), "id long, tokens array<long>"), "ngram-sets")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").filter(_linked(F.size("ta"), F.size("tb"), both, percent)).select("a", "b")
+    return near.join(left, "a").join(right, "b").filter(_linked(F.size("ta"), F.size("tb"), both, percent)).select("a", "b").distinct()
 
 
 def _emit_sets(k: int):
@@ -195,8 +217,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     sets of ``words``-word shingles over the whole text, A-Z lower-cased; a text
     of fewer words is one shingle.  component_id is the smallest key reachable
     over links.  Null texts and texts without words have the empty set and link
-    with nothing.  Keys are non-null integers; rows that repeat a key belong to
-    that key's component only by their own text.  Other columns are not read;
+    with nothing.  Keys are non-null integers; rows that share a key are one node,
+    which links where any of its texts does.  Other columns are not read;
     an empty table gives an empty result.
 
     Shingles are 52-bit hashes: two different shingles of one compared pair fall
@@ -206,13 +228,13 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     summary = stored(rows.mapInArrow(_summarise(words), _SUMMARY), "ngram-summary")
     mine = summary.filter("chunk IS NULL").select("doc_id", "n", "k1", "k2")
-    classes = stored(mine.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("size")), "ngram-classes")
+    classes = stored(summary.filter("chunk IS NULL").filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("parity").alias("parity")), "ngram-classes")
 
     sketch = spark.sparkContext.broadcast(_count_sketch(summary))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), "token long, k1 long, k2 long, n long, l int")
     shared = prefixes.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(_shared_only, prefixes.schema)
-    postings = stored(shared.join(classes, ["k1", "k2"]).select("token", "id", "n", "l").distinct(), "ngram-postings")
+    postings = stored(shared.join(classes.drop("parity"), ["k1", "k2"]).select("token", "id", "n", "l").distinct(), "ngram-postings")
 
     lead = stored(postings.groupBy("token").agg(F.min(F.struct("id", "n", "l")).alias("lead"), F.count("*").alias("members")).filter("members > 1"), "ngram-leads")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
@@ -225,13 +247,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
         .select("a", "b")
     )
     star = stored(star, "ngram-star")
-    ids = postings.join(lead.select("token"), "token", "left_semi").select("id").distinct()
-    ids = stored(ids, "ngram-involved")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = stored(rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_emit_sets(words), "id long, tokens array<long>"), "ngram-sets")
-
-    first = stored(_verify(star, sets, percent), "ngram-links")
+    first = stored(_verify(star, classes, rows, words, percent), "ngram-links")
     part = connected_components(first)
     placed = stored(postings.join(lead.select("token"), "token", "left_semi").join(part, "id", "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("part")), "ngram-placed")
     by_part = placed.groupBy("token", "part").agg(F.count("*").alias("rows"))
@@ -246,7 +262,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
         .filter("both >= l")
         .select("a", "b")
     )
-    second = stored(_verify(stored(across, "ngram-across"), sets, percent), "ngram-links")
+    second = stored(_verify(stored(across, "ngram-across"), classes, rows, words, percent), "ngram-links")
     part = connected_components(first.unionByName(second)) if not second.isEmpty() else part
 
     member = classes.join(part, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
