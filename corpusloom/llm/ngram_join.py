@@ -5,12 +5,14 @@ whole corpus, rare ones first, by a count sketch of fixed size over all
 documents.  If J(x, y) >= t, the first ``n - ceil(t n) + l`` shingles of either
 set share l or more.  Each document lengthens its own prefix to the l that it
 expects to be cheapest; a pair is a candidate if it shares at least the smaller
-of its two l, and candidates are verified on their whole sets.
+of its two l.  Candidates whose parity signatures differ too much go, and the
+rest are verified on their whole sets.
 
 Documents with equal sets form one class and are joined once.  Candidates are
 searched in two steps, so that a large group of near copies doesn't give all its
-pairs: first each posting list is compared with its smallest member; then only
-pairs in different components so far are compared, all of them.
+pairs: first each posting list is compared with its first member; then only
+pairs in different components so far are compared, all of them; there the
+signatures alone decide who is verified.
 """
 
 from __future__ import annotations
@@ -140,55 +142,64 @@ def _emit_prefixes(k: int, percent: int, sketch):
                     best[better], extra[better] = price[better], l
                 take = place < (spare + extra)[text]
                 t = text[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[take].view(np.int64)), pa.array(k1[t]), pa.array(k2[t]), pa.array(n[t]), pa.array(extra[t].astype(np.int32))],
-                    names=["token", "k1", "k2", "n", "l"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(k1[t]), pa.array(k2[t]), pa.array(n[t] << 8 | extra[t])], names=["token", "k1", "k2", "nl"])
 
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token occurs on more than one row."""
-    held: pa.RecordBatch | None = None
+_STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl", "more"]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class: each token's first class (a) with every other (b).
+
+    ``more``: the token has three classes or more.  Rows stream; of a posting
+    list only its first class and its latest row are held.
+    """
+    lead: np.ndarray | None = None  # token, k1, k2, nl of the current token's first class
+    held: np.ndarray | None = None  # the latest distinct row, not given out yet
+    place = 0  # of the held row within its token
+
+    def give(rows: np.ndarray, leads: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(c)) for c in (rows[0], *leads[1:], *rows[1:])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(more)], names=_STAR)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns])
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        t = batch.column(0).to_numpy()
-        # The last token's rows may go on in the next batch; one row of it is enough to tell.
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if keep[-1]:
-            # Its last row is held back, and a copy of its evidence goes along with it.
-            keep[-1] = keep[-2] = False
-            held = batch.slice(len(t) - 2)
-        else:
-            held = batch.slice(len(t) - 1)
-        yield batch.filter(pa.array(keep))
-    if held is not None and held.num_rows == 2:
-        yield held
+            rows = np.concatenate((held, rows), axis=1)
+        new = np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
+        rows = rows[:, new]
+        n = rows.shape[1]
+        if not n:
+            continue
+        first = np.append(held is None or place == 0, rows[0, 1:] != rows[0, :-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+        leads = rows[:, np.maximum(at, 0)]
+        if lead is not None:
+            leads[:, at < 0] = lead
+        places = np.where(at >= 0, np.arange(n) - at, np.arange(n) + place)
+        out = (places > 0) & (np.arange(n) < n - 1)
+        more = (places > 1) | np.append(~first[1:], False)
+        if out.any():
+            yield give(rows[:, out], leads[:, out], more[out])
+        held, place, lead = rows[:, -1:], int(places[-1]), leads[:, -1:]
+    if held is not None and place > 0:
+        yield give(held, lead, np.array([place > 1]))
 
 
 def _linked(x: Column, y: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (x + y - both)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that link.
+def _close_enough(pa_: Column, pb: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Two sets differ in at least as many shingles as their parity signatures in bits; J >= t allows (1 - t) / (1 + t) of the sizes' sum."""
+    apart = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
-    Two sets differ in at least as many shingles as their parity signatures
-    differ in bits; pairs beyond what the threshold allows go first.  The rest
-    are compared on their whole sets, made only for documents that need it.
-    """
-    own = lambda c: classes.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    # J >= t leaves a difference of at most (1 - t) / (1 + t) of the sizes' sum.
-    near = pairs.join(own("a"), "a").join(own("b"), "b").filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
-    near = stored(near.select("a", "b"), "ngram-near")
+
+def _verify(near: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of near pairs of ids (a, b), those that link: compared on their whole sets, made only for documents that need it."""
     ids = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ngram-ids")
     few = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     sets = stored(rows.join(few, "doc_id", "left_semi").mapInArrow(_emit_sets(words), "id long, tokens array<long>"), "ngram-sets")
@@ -232,38 +243,39 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
 
     sketch = spark.sparkContext.broadcast(_count_sketch(summary))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), "token long, k1 long, k2 long, n long, l int")
-    shared = prefixes.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(_shared_only, prefixes.schema)
-    postings = stored(shared.join(classes.drop("parity"), ["k1", "k2"]).select("token", "id", "n", "l").distinct(), "ngram-postings")
-
-    lead = stored(postings.groupBy("token").agg(F.min(F.struct("id", "n", "l")).alias("lead"), F.count("*").alias("members")).filter("members > 1"), "ngram-leads")
+    prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), "token long, k1 long, k2 long, nl long")
+    stars = prefixes.repartition(partitions, "token").sortWithinPartitions("token", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in _STAR))
+    stars = stored(stars, "ngram-stars")
+    n_of, l_of = (lambda c: F.shiftright(c, 8)), (lambda c: F.col(c).bitwiseAND(255))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+
+    # Each posting list's first class against its others.
     star = (
-        postings.join(lead, "token")
-        .filter((F.col("id") != F.col("lead.id")) & fits(F.col("n"), F.col("lead.n")))
-        .groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-        .agg(F.count("*").alias("both"), F.min(F.least("l", "lead.l")).alias("l"))
+        stars.filter(fits(n_of("anl"), n_of("bnl")))
+        .groupBy("a1", "a2", "b1", "b2")
+        .agg(F.count("*").alias("both"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
         .filter("both >= l")
-        .select("a", "b")
     )
-    star = stored(star, "ngram-star")
-    first = stored(_verify(star, classes, rows, words, percent), "ngram-links")
+    own = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    near = star.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).filter(_close_enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
+    first = stored(_verify(stored(near.select("a", "b"), "ngram-near"), rows, words, percent), "ngram-links")
     part = connected_components(first)
-    placed = stored(postings.join(lead.select("token"), "token", "left_semi").join(part, "id", "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("part")), "ngram-placed")
+
+    # Then the others among themselves, where they aren't connected yet.  A pair that links shares l prefix
+    # shingles: either it is the first class's pair in all of them and was tried, or it turns up here.
+    nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", "parity", F.coalesce("component", "id").alias("part"))
+    placed = stored(stars.filter("more").select("token", "b1", "b2", n_of("bnl").alias("n")).join(nodes, ["b1", "b2"]).drop("b1", "b2"), "ngram-placed")
     by_part = placed.groupBy("token", "part").agg(F.count("*").alias("rows"))
     main = stored(by_part.groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "ngram-main")
-    open_ = placed.join(main, "token").select("token", "id", "n", "l", "part", "main")
-    outside = open_.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "l", "part")))
-    across = (
-        outside.join(open_, "token")
-        .filter((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id"))) & fits(F.col("n"), F.col("x_n")))
-        .groupBy(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
-        .agg(F.count("*").alias("both"), F.min(F.least("l", "x_l")).alias("l"))
-        .filter("both >= l")
-        .select("a", "b")
-    )
-    second = stored(_verify(stored(across, "ngram-across"), classes, rows, words, percent), "ngram-links")
-    part = connected_components(first.unionByName(second)) if not second.isEmpty() else part
+    open_ = placed.join(main, "token")
+    outside = open_.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "parity", "part")))
+    # Of a list's largest component only the pairs with other components are made, of a pair of components each pair once.
+    once = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id")))
+    across = outside.join(open_, (outside.token == open_.token) & once & fits(F.col("n"), F.col("x_n")) & _close_enough(F.col("parity"), F.col("x_parity"), F.col("n"), F.col("x_n"), percent))
+    across = across.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+    second = stored(_verify(stored(across, "ngram-near"), rows, words, percent), "ngram-links")
+    if not second.isEmpty():
+        part = connected_components(first.unionByName(second))
 
     member = classes.join(part, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     member = stored(member, "ngram-members")
