@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words learns from confirmed toxic
+A linear classifier over the presence of words and word beginnings learns from confirmed toxic
 documents and unlabelled text.  The risk on negatives is estimated from the
 unlabelled sample less the class prior's share of the positives, and kept from
 going below zero.
@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import Block, U, text_blocks
+from .textkernel import Block, U, mix, text_blocks
 
-BITS = 20
+#: Bytes of the word beginnings that are features beside whole words; they stand for a stem and its endings.
+STEMS = (4, 5, 6, 7)
 #: Bounds of the training sample, in documents.
 SAMPLE_TOXIC = 2_000
-SAMPLE_UNLABELLED = 8_000
-FEATURES = 256
+SAMPLE_UNLABELLED = 6_000
+FEATURES = 512
 LEAST_DOCS = 5
+LEAST_ERRORS = 4.0
 STEPS = 400
 DECAY = 1e-3
 
@@ -31,8 +33,8 @@ _SPLIT = np.ones(256, dtype=bool)
 _SPLIT[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word number below 2**BITS) of each run of letters, A-Z lower-cased."""
+def _features(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 32-bit feature) of each run of letters, A-Z lower-cased, and of its beginnings."""
     inside = ~_SPLIT[block.data]
     edge = np.zeros(len(block.data) + 1, dtype=bool)
     edge[block.bounds] = True
@@ -40,58 +42,66 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero((flips[:-1] == 1) | (inside & edge[:-1]))
     end = np.flatnonzero((flips[1:] == -1) | (inside & edge[1:])) + 1
     text = np.searchsorted(block.bounds, start, side="right") - 1
-    return text, (block.range_hash(block.prefix_hash(lower=True), start, end) >> U(64 - BITS)).astype(np.int64)
+    h = block.prefix_hash(lower=True)
+    texts, features = [text], [block.range_hash(h, start, end)]
+    for n in STEMS:
+        long = end - start > n
+        texts.append(text[long])
+        features.append(mix(block.range_hash(h, start[long], start[long] + n) + U(1)))
+    return np.concatenate(texts), (np.concatenate(features) >> U(32)).astype(np.int64)
 
 
 @dataclass
 class Classifier:
-    """Weights of chosen word numbers; the score is the logistic function of their sum."""
+    """Weights of chosen features, sorted; the score is the logistic function of their sum."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
     def scores(self, block: Block) -> np.ndarray:
-        text, word = _words(block)
-        chosen = np.zeros(1 << BITS, dtype=bool)
-        chosen[self.words] = True
-        use = chosen[word]
-        pairs = np.unique((text[use] << BITS) | word[use])  # presence, not counts
-        weight = np.zeros(1 << BITS)
-        weight[self.words] = self.weights
-        z = self.bias + np.bincount(pairs >> BITS, weight[pairs & ((1 << BITS) - 1)], minlength=block.n)
+        z = np.full(block.n, self.bias)
+        if len(self.features):
+            text, feature = _features(block)
+            at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
+            use = self.features[at] == feature
+            pairs = np.unique(text[use] * len(self.features) + at[use])  # presence, not counts
+            z += np.bincount(pairs // len(self.features), self.weights[pairs % len(self.features)], minlength=block.n)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _counts(known: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(known), dtype=np.int64)
+    out[np.searchsorted(known, value)] = count
+    return out
+
+
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
-    """Fit on the documents' distinct word numbers by the non-negative risk estimator.
+    """Fit on the documents' distinct features by the non-negative risk estimator.
 
     risk = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the
     logistic loss; where the second term is negative, the step undoes it instead.
     """
-    size = 1 << BITS
-    df_p = np.bincount(np.concatenate(toxic), minlength=size)
-    df_u = np.bincount(np.concatenate(unlabelled), minlength=size)
+    df = [np.unique(np.concatenate(docs), return_counts=True) for docs in (toxic, unlabelled)]
+    known = np.union1d(df[0][0], df[1][0])
+    df_p, df_u = (_counts(known, *x) for x in df)
     p, u = df_p / len(toxic), df_u / len(unlabelled)
-    # Words whose share differs most between the samples, in standard errors.
+    # Features whose share differs most between the samples, in standard errors.
     both = (df_p + df_u) / (len(toxic) + len(unlabelled))
     error = np.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(unlabelled))) + 1e-12
     z = np.where(df_p + df_u >= LEAST_DOCS, np.abs(p - u) / error, 0.0)
-    words = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    words = words[z[words] > 3.0]
-    column = np.full(size, -1)
-    column[words] = np.arange(len(words))
+    best = np.argsort(-z, kind="stable")[:FEATURES]
+    features = np.sort(known[best[z[best] > LEAST_ERRORS]])
 
     def matrix(docs: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(docs), len(words)), dtype=np.float32)
+        x = np.zeros((len(docs), len(features)), dtype=np.float32)
         for i, d in enumerate(docs):
-            c = column[d]
-            x[i, c[c >= 0]] = 1
+            x[i] = np.isin(features, d, assume_unique=True)
         return x
 
     xp, xu = matrix(toxic), matrix(unlabelled)
-    w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
-    m, s = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    w, b = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
+    m, s = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
     for t in range(1, STEPS + 1):
         zp, zu = xp @ w + b, xu @ w + b
@@ -106,24 +116,24 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -
         s += 0.001 * (g * g - s)
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Classifier(words, w, float(b))
+    return Classifier(features, w, float(b))
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in text_blocks(batch.column(1)):
-            text, word = _words(block)
-            pairs = np.unique((text << BITS) | word)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(pairs >> BITS, minlength=block.n)))).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), words], names=["doc_id", "words"])
+            text, feature = _features(block)
+            pairs = np.unique((text << 32) | feature)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(pairs >> 32, minlength=block.n)))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), found], names=["doc_id", "features"])
 
 
 def _chosen(docs: DataFrame, most: int, salt: int) -> list[np.ndarray]:
-    """Distinct words of the ``most`` documents with the smallest key hashes."""
+    """Distinct features of the ``most`` documents with the smallest key hashes."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
-    got = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sample, "doc_id long, words array<int>").toArrow().sort_by("doc_id")
-    return [x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in got["words"]]
+    got = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sample, "doc_id long, features array<int>").toArrow().sort_by("doc_id")
+    return [x.values.to_numpy().view(np.uint32).astype(np.int64) for x in got["features"]]
 
 
 def held_out(key: Column) -> Column:
@@ -163,7 +173,7 @@ def _score(model: Classifier | None):
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, from its whole text.
 
-    Null and empty texts get the score of a text without any known word.  Where
+    Null and empty texts get the score of a text without any known feature.  Where
     nothing can be learnt (no label 1, or only ones) every score is 0.  Rows that
     repeat a key are scored separately; repeated labels weigh only in the prior.
     Other columns are not read; an empty table gives an empty result.
