@@ -195,6 +195,30 @@ def identify(docs: DataFrame, net: ByteConvNet | None, key: str = "doc_id", text
     return rows.mapInArrow(_predict(net), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def _accept(net: ByteConvNet, least: float, text: int):
+    predict = _predict(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            narrow = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text), batch.column(batch.num_columns - 1)], names=["doc_id", "text", "letters"])
+            keep = np.concatenate([(b.column(1).to_numpy(zero_copy_only=False) != UNKNOWN) & (b.column(2).to_numpy() >= least) for b in predict(iter([narrow]))] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(keep)).select(batch.schema.names[:-1])
+
+    return run
+
+
+def accepted(docs: DataFrame, net: ByteConvNet | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a language that the network knows, with a score of ``least`` or more.
+
+    All columns stay as they are; no row moves.  Without a network nothing is
+    rejected but texts without a letter.
+    """
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    if net is None:
+        return docs.filter(letters)
+    return docs.withColumn("_letters", letters).mapInArrow(_accept(net, least, docs.columns.index(text)), docs.schema)
+
+
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """Train on the documents that aren't held out, predict all: doc_id, held_out, lang_pred, score.
 

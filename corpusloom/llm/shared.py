@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Dropped keys up to this many are broadcast, at 8 bytes each; more go through a shuffle join.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``gone``; rows with a null key stay."""
+    gone = stored(gone.select(key).filter(F.col(key).isNotNull()).distinct(), "dropped-keys")
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
