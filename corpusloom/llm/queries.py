@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, ngram_join, packing, quality, secret_scan, suffix_dedup, toxicity
+from . import exact_dedup, language_id, license_scan, ngram_join, packing, quality, secret_scan, segment_sampling, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join("ids", " ")
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_segment_sampling": op6_segment_sampling,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
