@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .textkernel import U, mix
 
-SAMPLES = 3
+SAMPLES = 2
 #: Weight of a piece: (rank + 2) ** -SHARPNESS, so frequent pieces are likelier and every further piece costs.
 SHARPNESS = 1.0
 SPACE = "▁"
@@ -60,7 +60,7 @@ def uniform(seed: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the seed and the parts alone."""
     x = seed
     for p in parts:
-        x = mix(x + (np.asarray(p).astype(np.uint64) + U(1)) * _SPREAD)
+        x = mix(x + (np.atleast_1d(p).astype(np.uint64) + U(1)) * _SPREAD)
     return ((x >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -109,7 +109,7 @@ class Lattices:
         """First node of each unit's lattice; builds those not known."""
         if len(self.units) > KEPT_UNITS:
             self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
+        new = sorted({u for u in units if u not in self.units}, key=len)  # chunks of about equal lengths
         at = 0
         while at < len(new):
             chars, part = 0, []
@@ -129,13 +129,12 @@ class Lattices:
         left = np.repeat(end, size) - np.arange(len(chars))
         total = len(chars) + len(units)
         value = self._prefix(chars)
-        weight = np.full((total, self.longest), -np.inf)
-        piece = np.full((total, self.longest), -1, np.int64)
+        wide = min(self.longest, int(left.max()))
+        weight = np.full((total, wide), -np.inf)
+        piece = np.full((total, wide), -1, np.int64)
         running = np.zeros(len(chars), np.uint64)
-        for n in range(1, self.longest + 1):
+        for n in range(1, wide + 1):
             at = np.flatnonzero(left >= n)
-            if not len(at):
-                break
             running[at] += value[at + n - 1] * _STEP[n - 1]
             key = mix(running[at] + U(n))
             where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
@@ -148,28 +147,27 @@ class Lattices:
         n_bytes = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
         weight[node[bare], 0] = self.byte_weight * n_bytes
         piece[node[bare], 0] = -2 - cp
-        beta = np.zeros(total + self.longest)
+        beta = np.zeros(total + wide)
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
-        ahead = 1 + np.arange(self.longest)
+        ahead = 1 + np.arange(wide)
         for r in range(len(cuts) - 1):
             v = node[by_left[cuts[r] : cuts[r + 1]]]
             x = weight[v] + beta[v[:, None] + ahead]
             top = x.max(axis=1)
             beta[v] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        log_p = weight + beta[np.arange(total)[:, None] + ahead] - beta[:total, None]
-        some = np.isfinite(weight)
-        cum = np.cumsum(np.where(some, np.exp(log_p), 0.0), axis=1)
-        last = cum[:, -1:].copy()
-        last[last == 0] = 1
-        cum /= last
-        degree = some.sum(axis=1)
-        row, column = np.nonzero(some)
+        row, column = np.nonzero(weight > -np.inf)
+        log_p = np.minimum(weight[row, column] + beta[row + column + 1] - beta[row], 0.0)
+        degree = np.bincount(row, minlength=total)
+        sums = np.concatenate(([0.0], np.cumsum(np.exp(log_p))))
+        begin = np.cumsum(degree) - degree
+        whole = np.where(degree > 0, sums[begin + degree] - sums[begin], 1.0)
+        cum = (sums[1:] - sums[begin[row]]) / whole[row]
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(degree)))
         self.to = np.concatenate((self.to, self.nodes + row + column + 1))
         self.id = np.concatenate((self.id, piece[row, column]))
-        self.log_p = np.concatenate((self.log_p, np.minimum(log_p[row, column], 0.0)))
-        self.cum = np.concatenate((self.cum, self.nodes + row + cum[row, column]))
+        self.log_p = np.concatenate((self.log_p, log_p))
+        self.cum = np.concatenate((self.cum, self.nodes + row + np.minimum(cum, 1.0)))
         start = self.nodes + (end - size) + np.arange(len(units))
         self.units.update(zip(units, start.tolist()))
         self.nodes += total
@@ -178,10 +176,11 @@ class Lattices:
         """A random path from each start node to its unit's end: (which start, edge), in order."""
         which, edges = [], []
         live, node, step = np.arange(len(start)), start.copy(), 0
+        own = mix(seed + (number.astype(np.uint64) + U(1)) * _SPREAD)
         while len(live):
             live = live[self.first[node[live] + 1] > self.first[node[live]]]
             at = node[live]
-            e = np.searchsorted(self.cum, at + uniform(seed[live], number[live], step), side="right")
+            e = np.searchsorted(self.cum, at + uniform(own[live], np.array([step])), side="right")
             e = np.clip(e, self.first[at], self.first[at + 1] - 1)
             node[live] = self.to[e]
             which.append(live)
@@ -196,10 +195,16 @@ class Lattices:
         got = self.id[edges]
         if (got >= 0).all():
             return got
-        out = []
-        for x in got.tolist():
-            out += [x] if x >= 0 else self.byte_ids[list(chr(-2 - x).encode("utf-8", "surrogatepass"))].tolist()
-        return np.array(out, np.int64)
+        bare = np.flatnonzero(got < 0)
+        cp = -2 - got[bare]
+        size = np.ones(len(got), np.int64)
+        size[bare] += (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
+        out, begin = np.repeat(got, size), (np.cumsum(size) - size)[bare]
+        for c in np.unique(cp).tolist():
+            at = begin[cp == c]
+            for j, b in enumerate(chr(c).encode("utf-8", "surrogatepass")):
+                out[at + j] = self.byte_ids[b]
+        return out
 
 
 def split_units(text: str) -> list[str]:
@@ -256,8 +261,8 @@ class Search:
                     top = (float(g[3][j]), i, j)
         return top
 
-    def open(self, value: float, i: int, j: int, number: int) -> np.ndarray:
-        """Draw the path of a region and split it."""
+    def choose(self, i: int, j: int) -> tuple:
+        """The first new edge of a region's path: (prefix, its units, edge, unit, ruled out edges)."""
         path, unit, start, bound, out = self.groups[i]
         bound[j] = -np.inf
         t = start + j
@@ -267,13 +272,7 @@ class Search:
         choice = np.array([e for e in range(self.l.first[node], self.l.first[node + 1]) if e not in ruled])
         p = np.cumsum(np.exp(self.l.log_p[choice] - self.l.log_p[choice].max()))
         e = int(choice[min(np.searchsorted(p, self._uniform(1)[0] * p[-1], side="right"), len(choice) - 1)])
-        u = int(unit[t])
-        starts = np.concatenate(([self.l.to[e]], self.roots[u + 1 :]))
-        which, rest = self.l.walk(starts, np.full(len(starts), self.seed), np.arange(len(starts)) + (number << 24))
-        path = np.concatenate((path[:t], [e], rest))
-        unit = np.concatenate((unit[:t], [u], which + u))
-        self.split(path, unit, t, value, ruled)
-        return path
+        return path[:t], unit[:t], e, int(unit[t]), ruled
 
 
 def _sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[np.ndarray, float, float, float]]]]:
@@ -283,31 +282,50 @@ def _sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
     roots = lattices.roots([u for x in units for u in x])
     owner = np.repeat(np.arange(len(texts)), count)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    which, edges = lattices.walk(roots, seeds[owner], number)  # every text's first path at once
+    which, edges = lattices.walk(roots, seeds[owner], number)
     cut = np.searchsorted(owner[which], np.arange(len(texts) + 1))
     begin = np.concatenate(([0], np.cumsum(count)))
+    searches, found, outside = {}, {}, {}
+    for i in np.flatnonzero(count).tolist():
+        path, unit = edges[cut[i] : cut[i + 1]], number[which[cut[i] : cut[i + 1]]]
+        search = searches[i] = Search(lattices, roots[begin[i] : begin[i + 1]], int(seeds[i]))
+        value = float(-np.log(-np.log(search._uniform(1)[0])))
+        found[i] = [(path, value)]
+        search.split(path, unit, 0, value, [])
+    # Each round opens one region of every text, and walks all their new paths at once.
+    going = list(searches)
+    for n in range(1, k + 1):
+        jobs, starts = [], []
+        for i in going:
+            value, group, j = searches[i].best()
+            outside[i] = value  # -inf: there are no more segmentations
+            if n < k and np.isfinite(value):
+                job = searches[i].choose(group, j)
+                jobs.append((i, value, job))
+                starts.append(np.concatenate(([lattices.to[job[2]]], searches[i].roots[job[3] + 1 :])))
+        going = [i for i, _, _ in jobs]
+        if not jobs:
+            break
+        size = np.array([len(x) for x in starts])
+        base = np.cumsum(size) - size
+        own = np.repeat(np.array(going), size)
+        which, edges = lattices.walk(np.concatenate(starts), seeds[own], np.arange(len(own)) - np.repeat(base, size) + (n << 24))
+        cut = np.searchsorted(which, np.append(base, len(own)))
+        for at, (i, value, (path, unit, e, u, ruled)) in enumerate(jobs):
+            part = slice(cut[at], cut[at + 1])
+            whole = np.concatenate((path, [e], edges[part]))
+            found[i].append((whole, value))
+            if n < k:
+                searches[i].split(whole, np.concatenate((unit, [u], which[part] - base[at] + u)), len(path), value, ruled)
     for i in range(len(texts)):
-        if not count[i]:
+        if i not in found:
             yield i, [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]  # the empty segmentation is the only one
             continue
-        path, unit = edges[cut[i] : cut[i + 1]], number[which[cut[i] : cut[i + 1]]]
-        search = Search(lattices, roots[begin[i] : begin[i + 1]], int(seeds[i]))
-        value = float(-np.log(-np.log(search._uniform(1)[0])))
-        found = []
-        for n in range(k):
-            found.append((path, value))
-            if n == 0:
-                search.split(path, unit, 0, value, [])
-            value, group, j = search.best()
-            if not np.isfinite(value):
-                break  # there are no more segmentations
-            if n + 1 < k:
-                path = search.open(value, group, j, n + 1)
         # A path is in the sample if its own noise lifts it over the next value left outside.
         out = []
-        for path, own in found:
+        for path, own in found[i]:
             log_prob = float(lattices.log_p[path].sum())
-            x = log_prob - value if np.isfinite(value) else np.inf
+            x = log_prob - outside[i] if np.isfinite(outside[i]) else np.inf
             inclusion = x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
             out.append((lattices.ids(path), log_prob, own, min(inclusion, 0.0)))
         yield i, out
