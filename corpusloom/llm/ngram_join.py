@@ -9,10 +9,10 @@ of its two l.  Candidates whose parity signatures differ too much go, and the
 rest are verified on their whole sets.
 
 Documents with equal sets form one class and are joined once.  Candidates are
-searched in two steps, so that a large group of near copies doesn't give all its
-pairs: first each posting list is compared with its first member; then only
-pairs in different components so far are compared, all of them; there the
-signatures alone decide who is verified.
+searched in steps, so that a large group of near copies doesn't give all its
+pairs: each posting list is first compared with its first member, then with its
+best connected one; at last only pairs in different components are compared, all
+of them.  After the first step the signatures alone decide who is verified.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .components import connected_components
 from .shared import stored
 from .textkernel import U, distinct, mix, shingles, text_blocks
 
-BUCKET_BITS = 20
-CHUNKS = 16
+BUCKET_BITS = 22
+CHUNKS = 64
 MAX_EXTRA = 8
 #: Estimated cost of verifying one candidate, in posting entries read.
 VERIFY_COST = 20.0
@@ -62,17 +62,19 @@ def _parity(text: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
 
 def _summarise(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_BUCKETS, dtype=np.int64)
+        counts = np.zeros(_BUCKETS, dtype=np.uint32)
         names = ["doc_id", "n", "k1", "k2", "parity", "chunk", "counts"]
         for batch in batches:
             for block in text_blocks(batch.column(1)):
                 text, h, _ = shingles(block, k)
                 text, h = distinct(text, h)
-                counts += np.bincount((h >> U(52 - BUCKET_BITS)).astype(np.int64), minlength=_BUCKETS)
+                bucket, times = np.unique(h >> U(52 - BUCKET_BITS), return_counts=True)
+                counts[bucket.astype(np.int64)] += times.astype(np.uint32)
                 size, k1, k2 = _sums(text, h, block.n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), _parity(text, h, block.n), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
         if counts.any():
-            parts = [x.astype("<u4").tobytes() for x in np.split(np.minimum(counts, 0xFFFFFFFF), CHUNKS)]
+            # A byte a bucket: beyond 255 in one task, a shingle is common enough to tell.
+            parts = [x.astype(np.uint8).tobytes() for x in np.split(np.minimum(counts, 255), CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -80,26 +82,23 @@ def _summarise(k: int):
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the sketches of each chunk within one task."""
+    """Sum the tasks' sketches of each chunk."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            got = np.frombuffer(counts.as_buffer(), dtype="<u4").astype(np.int64)
+            got = np.frombuffer(counts.as_buffer(), dtype=np.uint8).astype(np.uint32)
             total[chunk] = total[chunk] + got if chunk in total else got
     if total:
-        parts = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def _count_sketch(summary: DataFrame) -> np.ndarray:
-    """All documents' shingle counts by hash bucket: 4 MB, whatever the corpus."""
+    """All documents' shingle counts by hash bucket: 16 MB, whatever the corpus."""
     rows = summary.filter("chunk IS NOT NULL").select("chunk", "counts")
-    # First many sketches to a few per chunk, then one per chunk.
-    some = rows.repartition(4 * CHUNKS, "chunk", F.xxhash64("counts") % 8).mapInArrow(_add_counts, "chunk int, counts binary")
-    one = some.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
-    out = np.zeros(_BUCKETS, dtype=np.int64)
+    one = rows.repartition(min(CHUNKS, 16), "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
+    out = np.zeros(_BUCKETS, dtype=np.uint32)
     for r in one.toLocalIterator():  # CHUNKS rows
-        out[r.chunk * (_BUCKETS // CHUNKS) : (r.chunk + 1) * (_BUCKETS // CHUNKS)] += np.frombuffer(r.counts, dtype="<u4")
+        out[r.chunk * (_BUCKETS // CHUNKS) : (r.chunk + 1) * (_BUCKETS // CHUNKS)] = np.frombuffer(r.counts, dtype="<u4")
     return out
 
 
@@ -123,11 +122,11 @@ def _emit_prefixes(k: int, percent: int, sketch):
                 if not len(text):
                     continue
                 seen_count = counts[(h >> U(52 - BUCKET_BITS)).astype(np.int64)]
-                level = np.minimum(seen_count, (1 << 20) - 1).astype(np.uint64)
+                level = np.minimum(seen_count, (1 << 20) - 1).astype(np.uint64)  # 20 bits of the packed value
                 packed = (text.astype(np.uint64) << U(52)) | (level << U(32)) | np.arange(len(h), dtype=np.uint64)
                 packed.sort()
                 order = (packed & U(0xFFFFFFFF)).astype(np.int64)
-                text, h, cost = text[order], h[order], np.maximum(seen_count[order] - usual, 0).astype(np.float64)
+                text, h, cost = text[order], h[order], np.maximum(seen_count[order].astype(np.float64) - usual, 0.0)
                 n = np.where(fresh, size, 0)
                 begin = np.cumsum(n) - n
                 place = np.arange(len(text)) - begin[text]
@@ -265,6 +264,16 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     # shingles: either it is the first class's pair in all of them and was tried, or it turns up here.
     nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", "parity", F.coalesce("component", "id").alias("part"))
     placed = stored(stars.filter("more").select("token", "b1", "b2", n_of("bnl").alias("n")).join(nodes, ["b1", "b2"]).drop("b1", "b2"), "ngram-placed")
+    # A near copy's original shares more shingles than any other copy: the member with the most postings is tried next.
+    weight = placed.groupBy("id").agg(F.count("*").alias("w"))
+    hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "parity", "part"), F.struct("w", "id")).alias("hub"))
+    h = lambda c: F.col(f"hub.{c}")
+    spokes = placed.join(hub, "token").filter((F.col("part") != h("part")) & fits(F.col("n"), h("n")) & _close_enough(F.col("parity"), h("parity"), F.col("n"), h("n"), percent))
+    spokes = spokes.select(F.least("id", h("id")).alias("a"), F.greatest("id", h("id")).alias("b")).distinct()
+    links = first.unionByName(stored(_verify(stored(spokes, "ngram-near"), rows, words, percent), "ngram-links"))
+    part = connected_components(links)
+    placed = stored(placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "ngram-placed")
+
     by_part = placed.groupBy("token", "part").agg(F.count("*").alias("rows"))
     main = stored(by_part.groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "ngram-main")
     open_ = placed.join(main, "token")
@@ -275,7 +284,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     across = across.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
     second = stored(_verify(stored(across, "ngram-near"), rows, words, percent), "ngram-links")
     if not second.isEmpty():
-        part = connected_components(first.unionByName(second))
+        part = connected_components(links.unionByName(second))
 
     member = classes.join(part, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     member = stored(member, "ngram-members")
