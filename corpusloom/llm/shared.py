@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
     Only where the session has no such setting (tests on one machine) a
-    temporary folder takes its place, and the setting is then kept in the
-    session so that later calls agree.
+    temporary folder takes its place, one per application.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set(key, found)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = tempfile.mkdtemp(prefix="corpusloom-")
+        found = _temporary[app]
     return found.rstrip("/")
 
 
