@@ -16,6 +16,7 @@ lattices are built once per worker and kept up to a bound.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,10 +32,12 @@ SAMPLES = 2
 SHARPNESS = 1.0
 SPACE = "▁"
 #: Units whose lattices are kept; then the store starts anew.
-KEPT_UNITS = 100_000
+KEPT_UNITS = 200_000
 CHUNK_CHARS = 100_000
-BATCH_CHARS = 400_000
+BATCH_CHARS = 1_500_000
+SEEN_BITS = 21
 
+_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _SPREAD = U(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(31)
 _STEP = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * U(2) + U(1)
@@ -65,7 +68,7 @@ def uniform(seed: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
 
 
 class Lattices:
-    """Lattices of units as arrays: edges sorted by their first node, with conditional probabilities."""
+    """Lattices of units as arrays: edges by their first node, likely ones first, with conditional probabilities."""
 
     def __init__(self, path: str, sharpness: float = SHARPNESS):
         m = model(path)
@@ -82,15 +85,29 @@ class Lattices:
         key = self._hash(h, end - size, size)
         order = np.argsort(key)
         self.key, self.piece = key[order], np.array(list(pieces.values()))[order]
+        # Most substrings are no piece, and most can't grow into one: two tables of hashed bits tell.
+        cut = np.arange(len(chars)) - np.repeat(end - size, size) + 1
+        starts = self._hash(h, np.repeat(end - size, size), cut)
+        self.whole, self.start = np.zeros(1 << SEEN_BITS, dtype=bool), np.zeros(1 << SEEN_BITS, dtype=bool)
+        for table, hashes in ((self.whole, self.key), (self.start, starts)):
+            table[(hashes >> U(64 - SEEN_BITS)).astype(np.int64)] = True
         self.log_weight = -sharpness * np.log(np.arange(m.get_piece_size()) + 2.0)
         self.byte_weight = -sharpness * np.log(m.get_piece_size() + 2.0)
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.nodes = 0
-        self.first = np.zeros(1, np.int64)  # of each node: its first edge
-        self.to, self.id, self.log_p, self.cum = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1, np.int64)  # of each node: its first edge; like the others with room to grow
+        self.to, self.id, self.log_p, self.log_rest, self.cum = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def _append(self, name: str, at: int, values: np.ndarray) -> None:
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            new = np.empty(2 * (at + len(values)), old.dtype)
+            new[:at] = old[:at]
+            setattr(self, name, old := new)
+        old[at : at + len(values)] = values
 
     @staticmethod
     def _prefix(chars: np.ndarray) -> np.ndarray:
@@ -109,7 +126,10 @@ class Lattices:
         """First node of each unit's lattice; builds those not known."""
         if len(self.units) > KEPT_UNITS:
             self.clear()
-        new = sorted({u for u in units if u not in self.units}, key=len)  # chunks of about equal lengths
+        found = list(map(self.units.get, units))
+        if None not in found:
+            return np.array(found, np.int64)
+        new = sorted({u for u, root in zip(units, found) if root is None}, key=len)  # chunks of about equal lengths
         at = 0
         while at < len(new):
             chars, part = 0, []
@@ -118,7 +138,7 @@ class Lattices:
                 chars += len(new[at])
                 at += 1
             self._build(part)
-        return np.array([self.units[u] for u in units], np.int64)
+        return np.array(list(map(self.units.get, units)), np.int64)
 
     def _build(self, units: list[str]) -> None:
         chars = _code_points("".join(units))
@@ -129,45 +149,54 @@ class Lattices:
         left = np.repeat(end, size) - np.arange(len(chars))
         total = len(chars) + len(units)
         value = self._prefix(chars)
-        wide = min(self.longest, int(left.max()))
-        weight = np.full((total, wide), -np.inf)
-        piece = np.full((total, wide), -1, np.int64)
-        running = np.zeros(len(chars), np.uint64)
-        for n in range(1, wide + 1):
-            at = np.flatnonzero(left >= n)
-            running[at] += value[at + n - 1] * _STEP[n - 1]
-            key = mix(running[at] + U(n))
+        at, running, found = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
+        for n in range(1, min(self.longest, int(left.max())) + 1):
+            inside = left[at] >= n
+            at, running = at[inside], running[inside]
+            running = running + value[at + n - 1] * _STEP[n - 1]
+            key = mix(running + U(n))
+            slot = (key >> U(64 - SEEN_BITS)).astype(np.int64)
+            grows, maybe = self.start[slot], self.whole[slot]
+            live = at[maybe]
+            key = key[maybe]
             where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             hit = self.key[where] == key
-            ids = self.piece[where[hit]]
-            weight[node[at[hit]], n - 1] = self.log_weight[ids]
-            piece[node[at[hit]], n - 1] = ids
-        bare = piece[node, 0] < 0  # no piece for this character alone: its UTF-8 bytes
+            found.append((live[hit], np.full(int(hit.sum()), n), self.piece[where[hit]]))
+            at, running = at[grows], running[grows]
+        bare = np.ones(len(chars), dtype=bool)
+        bare[found[0][0]] = False
+        bare = np.flatnonzero(bare)  # no piece for this character alone: its UTF-8 bytes
         cp = chars[bare].astype(np.int64)
+        found.append((bare, np.ones(len(bare), np.int64), -2 - cp))
+        at, n, ids = (np.concatenate(x) for x in zip(*found))
         n_bytes = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
-        weight[node[bare], 0] = self.byte_weight * n_bytes
-        piece[node[bare], 0] = -2 - cp
-        beta = np.zeros(total + wide)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
-        ahead = 1 + np.arange(wide)
-        for r in range(len(cuts) - 1):
-            v = node[by_left[cuts[r] : cuts[r + 1]]]
-            x = weight[v] + beta[v[:, None] + ahead]
-            top = x.max(axis=1)
-            beta[v] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        row, column = np.nonzero(weight > -np.inf)
-        log_p = np.minimum(weight[row, column] + beta[row + column + 1] - beta[row], 0.0)
-        degree = np.bincount(row, minlength=total)
-        sums = np.concatenate(([0.0], np.cumsum(np.exp(log_p))))
+        weight = np.concatenate((self.log_weight[ids[: len(ids) - len(bare)]], self.byte_weight * n_bytes))
+        # Backward sums, from the units' ends: edges by how much is left, then by node.
+        order = np.argsort(left[at] << 40 | node[at])
+        at, n, ids, weight = at[order], n[order], ids[order], weight[order]
+        source = node[at]
+        to = source + n
+        beta = np.zeros(total)
+        cuts = np.append(np.flatnonzero(np.append(True, left[at[1:]] != left[at[:-1]])), len(at))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x = weight[a:b] + beta[to[a:b]]
+            first = np.flatnonzero(np.append(True, source[a + 1 : b] != source[a : b - 1]))
+            top = np.maximum.reduceat(x, first)
+            x = np.exp(x - np.repeat(top, np.diff(np.append(first, b - a))))
+            beta[source[a + first]] = top + np.log(np.add.reduceat(x, first))
+        log_p = np.minimum(weight + beta[to] - beta[source], 0.0)
+        chance = np.exp(log_p)
+        order = np.argsort(source << 30 | ((1.0 - chance) * (1 << 29)).astype(np.int64))  # likely edges first
+        source, to, ids, log_p = source[order], to[order], ids[order], log_p[order]
+        degree = np.bincount(source, minlength=total)
+        sums = np.concatenate(([0.0], np.cumsum(chance[order])))
         begin = np.cumsum(degree) - degree
         whole = np.where(degree > 0, sums[begin + degree] - sums[begin], 1.0)
-        cum = (sums[1:] - sums[begin[row]]) / whole[row]
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(degree)))
-        self.to = np.concatenate((self.to, self.nodes + row + column + 1))
-        self.id = np.concatenate((self.id, piece[row, column]))
-        self.log_p = np.concatenate((self.log_p, log_p))
-        self.cum = np.concatenate((self.cum, self.nodes + row + np.minimum(cum, 1.0)))
+        cum = (sums[1:] - sums[begin[source]]) / whole[source]
+        self._append("first", self.nodes + 1, self.edges + np.cumsum(degree))
+        for name, values in (("to", self.nodes + to), ("id", ids), ("log_p", log_p), ("log_rest", _log1mexp(log_p)), ("cum", cum)):
+            self._append(name, self.edges, values)
+        self.edges += len(to)
         start = self.nodes + (end - size) + np.arange(len(units))
         self.units.update(zip(units, start.tolist()))
         self.nodes += total
@@ -180,8 +209,12 @@ class Lattices:
         while len(live):
             live = live[self.first[node[live] + 1] > self.first[node[live]]]
             at = node[live]
-            e = np.searchsorted(self.cum, at + uniform(own[live], np.array([step])), side="right")
-            e = np.clip(e, self.first[at], self.first[at + 1] - 1)
+            u = uniform(own[live], np.array([step]))
+            e, last = self.first[at], self.first[at + 1] - 1
+            on = np.flatnonzero((self.cum[e] <= u) & (e < last))
+            while len(on):
+                e[on] += 1
+                on = on[(self.cum[e[on]] <= u[on]) & (e[on] < last[on])]
             node[live] = self.to[e]
             which.append(live)
             edges.append(e)
@@ -211,12 +244,7 @@ def split_units(text: str) -> list[str]:
     """Units of a text as the model normalises it: a space in front, spaces as marks."""
     if not text:
         return []
-    marked = SPACE + text.replace(" ", SPACE)
-    c = _code_points(marked)
-    space, line = c == 0x2581, c == 0x0A
-    new = np.flatnonzero((space[1:] & ~space[:-1]) | line[1:] | line[:-1]) + 1
-    cuts = [0, *new.tolist(), len(marked)]
-    return [marked[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    return _UNIT.findall(SPACE + text.replace(" ", SPACE))
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -230,45 +258,43 @@ class Search:
 
     def __init__(self, lattices: Lattices, roots: np.ndarray, seed: int):
         self.l, self.roots, self.seed = lattices, roots, np.uint64(seed)
-        self.groups: list[list] = []  # regions of one path: [path, unit of each edge, start, log mass, bound, ruled out at start]
+        self.groups: list[list] = []  # regions of one path: [path, unit of each edge, start, draws, ruled out at start, parent's value]
         self.draws = 0
 
     def _uniform(self, n: int) -> np.ndarray:
         self.draws += 1
-        return uniform(np.full(n, self.seed), np.arange(n), self.draws + (1 << 20))
+        own = mix(np.array([self.seed]) + np.array([self.draws + (1 << 20)], np.uint64) * _SPREAD)
+        return uniform(own, np.arange(n))
 
     def split(self, path: np.ndarray, unit: np.ndarray, start: int, value: float, out: list[int]) -> None:
         """Regions that leave ``path`` at its edges from ``start`` on; at ``start`` the edges in ``out`` are ruled out too."""
         log_p = self.l.log_p[path]
         before = np.cumsum(log_p) - log_p
-        mass = before[start:] + _log1mexp(log_p[start:])
+        mass = before[start:] + self.l.log_rest[path[start:]]
         if out:
             gone = np.exp(self.l.log_p[[*out, path[start]]]).sum()
             mass[0] = before[start] + np.log1p(-gone) if gone < 1 - 1e-12 else -np.inf
-        with np.errstate(divide="ignore"):
-            g = mass - np.log(-np.log(self._uniform(len(mass))))
-            # The largest of a region, given that none exceeds the parent's value.
-            bound = -np.logaddexp(-value, -g)
-        bound[~np.isfinite(mass)] = -np.inf
-        self.groups.append([path, unit, start, bound, out])
+        g = mass - np.log(-np.log(self._uniform(len(mass))))
+        self.groups.append([path, unit, start, g, out, value])
 
     def best(self) -> tuple[float, int, int]:
+        """(value, group, region) of the largest region.  A region's value is a Gumbel draw ``g`` of its mass, given that it lies below its parent's."""
         top = (-np.inf, -1, -1)
-        for i, g in enumerate(self.groups):
-            if len(g[3]):
-                j = int(g[3].argmax())
-                if g[3][j] > top[0]:
-                    top = (float(g[3][j]), i, j)
+        for i, (_, _, _, g, _, parent) in enumerate(self.groups):
+            if len(g):
+                j = int(g.argmax())
+                if np.isfinite(g[j]) and (value := float(-np.logaddexp(-parent, -g[j]))) > top[0]:
+                    top = (value, i, j)
         return top
 
     def choose(self, i: int, j: int) -> tuple:
         """The first new edge of a region's path: (prefix, its units, edge, unit, ruled out edges)."""
-        path, unit, start, bound, out = self.groups[i]
-        bound[j] = -np.inf
+        path, unit, start, g, out, _ = self.groups[i]
+        g[j] = -np.inf
         t = start + j
         ruled = [*(out if j == 0 else []), int(path[t])]
         # The node that the edge leaves: edges are sorted by it.
-        node = int(np.searchsorted(self.l.first, path[t], side="right")) - 1
+        node = int(np.searchsorted(self.l.first[: self.l.nodes + 1], path[t], side="right")) - 1
         choice = np.array([e for e in range(self.l.first[node], self.l.first[node + 1]) if e not in ruled])
         p = np.cumsum(np.exp(self.l.log_p[choice] - self.l.log_p[choice].max()))
         e = int(choice[min(np.searchsorted(p, self._uniform(1)[0] * p[-1], side="right"), len(choice) - 1)])
