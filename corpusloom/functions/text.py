@@ -201,7 +201,7 @@ def degrees(value: Column, north: str, south: str) -> Column:
 
 def year_of(date: Column) -> Column:
     """The year of an ISO date string; null where it is no date."""
-    return F.year(F.try_to_date(F.substring(date, 1, 10)) if hasattr(F, "try_to_date") else F.to_date(F.substring(date, 1, 10)))
+    return F.year(F.substring(date, 1, 10).try_cast("date"))
 
 
 def template_date(c: Column) -> Column:

@@ -1 +1 @@
-
+"""Readers of corpus files and the catalog of corpora."""

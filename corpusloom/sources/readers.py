@@ -111,7 +111,7 @@ def harvested_papers(spark: SparkSession, path: str) -> DataFrame:
     schema = f"header struct<_status: string, identifier: string, datestamp: string>, metadata struct<arXiv: struct<id: string, created: string, updated: string, authors: struct<author: {author}>, title: string, categories: string, comments: string, doi: string, `journal-ref`: string, abstract: string>>"
     df = xml_rows(spark, path, "record", schema)
     m = lambda n: F.col(f"metadata.arXiv.`{n}`")
-    named = F.filter(m("authors.author") if False else F.col("metadata.arXiv.authors.author"), lambda a: F.coalesce(a["keyname"], a["forenames"], a["affiliation"]).isNotNull())
+    named = F.filter("metadata.arXiv.authors.author", lambda a: F.coalesce(a["keyname"], a["forenames"], a["affiliation"]).isNotNull())
     authors = F.transform(named, lambda a: F.struct(a["keyname"].alias("keyname"), a["forenames"].alias("forenames"), a["affiliation"].alias("affiliation"), F.concat_ws(" ", a["forenames"], a["keyname"], a["suffix"]).alias("display_name")))
     out = df.filter(~F.coalesce(F.col("header._status") == "deleted", F.lit(False))).select(
         m("id").alias("id"), F.col("header.datestamp").alias("oai_datestamp"), collapse_spaces(m("title")).alias("title"), collapse_spaces(m("abstract")).alias("abstract"), authors.alias("authors"),

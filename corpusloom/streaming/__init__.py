@@ -1 +1 @@
-
+"""Incremental ingestion and windows over event streams."""
