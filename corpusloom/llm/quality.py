@@ -19,9 +19,9 @@ from .textkernel import SEPARATOR, Block, arrow_map, mix, windows
 WINDOW = 8
 #: A group's own fences need this many rows; smaller groups use their language's, then the corpus's.
 MIN_GROUP = 200
-#: A fence lies this many times the distance from median to tail quantile beyond that quantile.
-FENCE_FACTOR = 3.0
-TAIL = 0.05
+#: A fence lies this many times the distance from median to quartile beyond the quartile: a quarter of junk doesn't move it.
+FENCE_FACTOR = 6.0
+TAIL = 0.25
 #: Group tables up to this many rows are broadcast (languages times sources, at about 200 bytes each).
 BROADCAST_GROUPS = 20_000
 
@@ -102,7 +102,7 @@ def _fences(sketches: dict[str, Column]) -> dict[str, Column]:
 
 
 #: A fence never cuts closer than this, whatever the group looks like: below these values nothing is unusual.
-FLOOR = {"mean_word": 12.0, "symbol_share": 0.1, "dup_line_share": 0.3, "repeat_share": 0.2}
+FLOOR = {"mean_word": 12.0, "symbol_share": 0.05, "dup_line_share": 0.4, "repeat_share": 0.3}
 CEILING = {"mean_word": 3.0}
 
 
