@@ -38,7 +38,9 @@ BROADCAST_IDS = 1_000_000
 
 #: Bits of the parity signature that bounds a pair's difference from below.
 SIGNATURE_BITS = 1024
-_SUMMARY = "doc_id long, n long, k1 long, k2 long, parity array<long>, chunk int, counts binary"
+#: Larger sets, where that says little, have one of so many bits besides.
+WIDE_FROM, WIDE_BITS = 1_500, 1 << 14
+_SUMMARY = "doc_id long, n long, k1 long, k2 long, parity array<long>, wide array<long>, chunk int, counts binary"
 _BUCKETS = 1 << BUCKET_BITS
 
 
@@ -53,17 +55,26 @@ def _sums(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return size.astype(np.int64), out[0], out[1]
 
 
-def _parity(text: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
-    """Per text, the parity of the number of shingles that fall on each bit."""
-    odd = np.bincount(text * SIGNATURE_BITS + (h & U(SIGNATURE_BITS - 1)).astype(np.int64), minlength=n * SIGNATURE_BITS) & 1
-    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SIGNATURE_BITS // 64, dtype=np.int32)), pa.array(words))
+def _parity(text: np.ndarray, h: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Per text, the parity of the number of shingles that fall on each bit, as rows of 64-bit words."""
+    odd = np.bincount(text * bits + (h & U(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, bits // 64)
+
+
+def _signatures(text: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each text's short signature, and the wide one of large sets (else empty)."""
+    short = _parity(text, h, len(size), SIGNATURE_BITS)
+    large = np.flatnonzero(size > WIDE_FROM)
+    wide = [_parity(np.zeros(size[i], np.int64), h[text == i], 1, WIDE_BITS)[0] for i in large]
+    ends = np.concatenate(([0], np.cumsum(np.where(size > WIDE_FROM, WIDE_BITS // 64, 0)))).astype(np.int32)
+    words = np.concatenate(wide) if wide else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (SIGNATURE_BITS // 64)), pa.array(short.ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))
 
 
 def _summarise(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_BUCKETS, dtype=np.uint32)
-        names = ["doc_id", "n", "k1", "k2", "parity", "chunk", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "parity", "wide", "chunk", "counts"]
         for batch in batches:
             for block in text_blocks(batch.column(1)):
                 text, h, _ = shingles(block, k)
@@ -71,12 +82,12 @@ def _summarise(k: int):
                 bucket, times = np.unique(h >> U(52 - BUCKET_BITS), return_counts=True)
                 counts[bucket.astype(np.int64)] += times.astype(np.uint32)
                 size, k1, k2 = _sums(text, h, block.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), _parity(text, h, block.n), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), *_signatures(text, h, size), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
         if counts.any():
             # A byte a bucket: beyond 255 in one task, a shingle is common enough to tell.
             parts = [x.astype(np.uint8).tobytes() for x in np.split(np.minimum(counts, 255), CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, *[pa.nulls(CHUNKS, pa.list_(pa.int64()))] * 2, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -197,8 +208,15 @@ def _close_enough(pa_: Column, pb: Column, na: Column, nb: Column, percent: int)
     return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
-def _verify(near: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of near pairs of ids (a, b), those that link: compared on their whole sets, made only for documents that need it."""
+def _verify(near: DataFrame, wide: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of near pairs of ids (a, b), those that link: compared on their whole sets, made only for documents that need it.
+
+    wide (id, size, wide): the signatures of large sets, which rule out most pairs of them before any set is moved.
+    """
+    own = lambda c: wide.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    far = (100 + percent) * apart > (100 - percent) * (F.col("na") + F.col("nb"))
+    near = stored(near.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(~F.coalesce(far, F.lit(False))).select("a", "b"), "ngram-close")
     ids = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ngram-ids")
     few = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     sets = stored(rows.join(few, "doc_id", "left_semi").mapInArrow(_emit_sets(words), "id long, tokens array<long>"), "ngram-sets")
@@ -238,7 +256,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     summary = stored(rows.mapInArrow(_summarise(words), _SUMMARY), "ngram-summary")
     mine = summary.filter("chunk IS NULL").select("doc_id", "n", "k1", "k2")
-    classes = stored(summary.filter("chunk IS NULL").filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("parity").alias("parity")), "ngram-classes")
+    classes = stored(summary.filter("chunk IS NULL").filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("parity").alias("parity"), F.first("wide").alias("wide")), "ngram-classes")
 
     sketch = spark.sparkContext.broadcast(_count_sketch(summary))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -255,9 +273,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
         .agg(F.count("*").alias("both"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
         .filter("both >= l")
     )
+    wide = stored(classes.filter(F.size("wide") > 0).select("id", "size", "wide"), "ngram-wide")
     own = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     near = star.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).filter(_close_enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
-    first = stored(_verify(stored(near.select("a", "b"), "ngram-near"), rows, words, percent), "ngram-links")
+    first = stored(_verify(stored(near.select("a", "b"), "ngram-near"), wide, rows, words, percent), "ngram-links")
     part = connected_components(first)
 
     # Then the others among themselves, where they aren't connected yet.  A pair that links shares l prefix
@@ -270,7 +289,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     h = lambda c: F.col(f"hub.{c}")
     spokes = placed.join(hub, "token").filter((F.col("part") != h("part")) & fits(F.col("n"), h("n")) & _close_enough(F.col("parity"), h("parity"), F.col("n"), h("n"), percent))
     spokes = spokes.select(F.least("id", h("id")).alias("a"), F.greatest("id", h("id")).alias("b")).distinct()
-    links = first.unionByName(stored(_verify(stored(spokes, "ngram-near"), rows, words, percent), "ngram-links"))
+    links = first.unionByName(stored(_verify(stored(spokes, "ngram-near"), wide, rows, words, percent), "ngram-links"))
     part = connected_components(links)
     placed = stored(placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "ngram-placed")
 
@@ -282,7 +301,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     once = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id")))
     across = outside.join(open_, (outside.token == open_.token) & once & fits(F.col("n"), F.col("x_n")) & _close_enough(F.col("parity"), F.col("x_parity"), F.col("n"), F.col("x_n"), percent))
     across = across.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
-    second = stored(_verify(stored(across, "ngram-near"), rows, words, percent), "ngram-links")
+    second = stored(_verify(stored(across, "ngram-near"), wide, rows, words, percent), "ngram-links")
     if not second.isEmpty():
         part = connected_components(links.unionByName(second))
 
