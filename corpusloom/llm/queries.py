@@ -43,8 +43,7 @@ def op6_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    ids = F.array_join("ids", " ")
-    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,8 @@ class Lattices:
         found = list(map(self.units.get, units))
         if None not in found:
             return np.array(found, np.int64)
-        new = sorted({u for u, root in zip(units, found) if root is None}, key=len)  # chunks of about equal lengths
+        missing = [i for i, root in enumerate(found) if root is None]
+        new = sorted({units[i] for i in missing}, key=len)  # chunks of about equal lengths
         at = 0
         while at < len(new):
             chars, part = 0, []
@@ -138,7 +139,9 @@ class Lattices:
                 chars += len(new[at])
                 at += 1
             self._build(part)
-        return np.array(list(map(self.units.get, units)), np.int64)
+        for i in missing:
+            found[i] = self.units[units[i]]
+        return np.array(found, np.int64)
 
     def _build(self, units: list[str]) -> None:
         chars = _code_points("".join(units))
