@@ -11,7 +11,7 @@ def test_stages(spark, docs, text, tmp_path):
     base = text(200, 1)
     near = base.split()
     near[50] = "changed"
-    texts = [base, base + " ", " ".join(near), text(200, 2), None, "12 34", text(30, 3) + " password=b7db7aa4a5fcc78305 " + text(30, 4)]
+    texts = [base, base.replace(" ", "\t ", 3), " ".join(near), text(200, 2), None, "12 34", text(30, 3) + " password=b7db7aa4a5fcc78305 " + text(30, 4)]
     table = docs(texts)
     by = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "secret_scan", "packing"]
