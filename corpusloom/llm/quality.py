@@ -26,6 +26,10 @@ TAIL = 0.25
 BROADCAST_GROUPS = 20_000
 
 RATIOS = ("mean_word", "symbol_share", "dup_line_share", "repeat_share")
+#: Least distance from median to quartile: a group whose values are all the same still has room around them.
+SPREAD = {"mean_word": 0.1, "symbol_share": 0.004, "dup_line_share": 0.02, "repeat_share": 0.02}
+#: Ratios that can also be too low; of the others less is never worse.
+LOW_SIDE = ("mean_word",)
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -96,16 +100,12 @@ def _fences(sketches: dict[str, Column]) -> dict[str, Column]:
     for name, s in sketches.items():
         q = lambda p, s=s: F.kll_sketch_get_quantile_double(s, F.lit(p))
         low, mid, high = q(TAIL), q(0.5), q(1 - TAIL)
-        out[f"{name}_low"] = low - FENCE_FACTOR * (mid - low)
-        out[f"{name}_high"] = high + FENCE_FACTOR * (high - mid)
+        least = F.lit(SPREAD[name])
+        out[f"{name}_low"] = low - FENCE_FACTOR * F.greatest(mid - low, least)
+        out[f"{name}_high"] = high + FENCE_FACTOR * F.greatest(high - mid, least)
     return out
 
 
-#: A fence never cuts closer than this, whatever the group looks like: below these values nothing is unusual.
-FLOOR = {"mean_word": 12.0, "symbol_share": 0.05, "dup_line_share": 0.4, "repeat_share": 0.3}
-CEILING = {"mean_word": 3.0}
-
-
 def thresholds(ratios: DataFrame) -> DataFrame:
     """Fences per (lang, source): rows (lang, source, rows, <feature>_low, <feature>_high).
 
@@ -148,9 +148,9 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     bad = F.lit(False)
     for r in RATIOS:
-        bad = bad | (F.col(r) > F.greatest(F.col(f"{r}_high"), F.lit(FLOOR[r])))
-        if r in CEILING:
-            bad = bad | (F.col(r) < F.least(F.col(f"{r}_low"), F.lit(CEILING[r])))
+        bad = bad | (F.col(r) > F.col(f"{r}_high"))
+        if r in LOW_SIDE:
+            bad = bad | (F.col(r) < F.col(f"{r}_low"))
     return ratios.join(fences, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"),
