@@ -42,8 +42,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
+    found = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "text", "log_prob", "perturbed", "log_inclusion")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,7 +360,7 @@ def _sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
         yield i, out
 
 
-def _run(path: str, k: int, sharpness: float, seed: int):
+def _run(path: str, k: int, sharpness: float, seed: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(path, sharpness)
         for batch in batches:
@@ -381,15 +381,16 @@ def _run(path: str, k: int, sharpness: float, seed: int):
                         values.append((n + 1, *x[1:]))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 number, log_prob, perturbed, inclusion = zip(*values)
+                more = [pa.array([decode(path, x.tolist()) for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(log_prob), pa.array(perturbed), pa.array(inclusion)],
-                    names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
+                    [batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(log_prob), pa.array(perturbed), pa.array(inclusion), *more],
+                    names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *["text"] * decoded],
                 )
 
     return run
 
 
-def sample_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = 0, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """Up to k rows per document: doc_id, sample, ids, log_prob, perturbed, log_inclusion.
 
     The segmentations of one document are distinct, in the order of their
@@ -399,10 +400,11 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, sharpness
     were taken.  Null and empty texts have one segmentation without pieces.
     Draws depend on the key, the text and ``seed`` alone, so rows that repeat a
     key and its text repeat their samples.  Other columns are not read; an empty
-    table gives no rows.
+    table gives no rows.  ``decoded`` adds the decoded ``text`` of the ids, in
+    the worker that drew them: a second one would hold the model once more.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_run(path, k, sharpness, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(_run(path, k, sharpness, seed, decoded), f"doc_id {dict(rows.dtypes)['doc_id']}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
 
 def decode_segmentations(samples: DataFrame, path: str, ids: str = "ids") -> DataFrame:
