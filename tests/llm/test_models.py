@@ -211,24 +211,75 @@ def all_segmentations(t):
     return {k: w - z for k, w in found.items()}
 
 
+def drawn(vocabulary, texts, seeds, k):
+    """Per text its samples: (ids, log probability, perturbed value, log inclusion score)."""
+    owner, number, ids, bounds, *values = segment_sampling.sample_batch(vocabulary, [t.encode() for t in texts], np.array(seeds, np.uint64), k)
+    out = [[] for _ in texts]
+    for i, n, a, b, *v in zip(owner.tolist(), number.tolist(), bounds[:-1], bounds[1:], *(x.tolist() for x in values)):
+        assert n == len(out[i]) + 1
+        out[i].append((tuple(ids[a:b].tolist()), *v))
+    return out
+
+
 def test_samples_against_enumeration():
     from corpusloom.llm.textkernel import mix
 
     want = all_segmentations("the cat")
-    lattices = segment_sampling.Lattices(PIECES)
-    first, estimate = {}, []
-    for s in range(600):
-        ((_, found),) = segment_sampling._sample(lattices, ["the cat"], mix(np.array([s], np.uint64)), 3)
-        keys = [tuple(f[0].tolist()) for f in found]
+    vocabulary = segment_sampling.Vocabulary(PIECES)
+    first, pairs, estimate = {}, {}, []
+    for found in drawn(vocabulary, ["the cat"] * 3000, mix(np.arange(3000, dtype=np.uint64)), 3):
+        keys = [f[0] for f in found]
         assert len(set(keys)) == 3 and found[0][2] > found[1][2] > found[2][2]
         assert all(abs(want[k] - f[1]) < 1e-6 for k, f in zip(keys, found))
         first[keys[0]] = first.get(keys[0], 0) + 1
+        pairs[keys[0], keys[1]] = pairs.get((keys[0], keys[1]), 0) + 1
         estimate.append(sum(np.exp(f[1] - f[3]) for f in found))
-    top = max(want, key=want.get)
-    assert abs(first[top] / 600 - np.exp(want[top])) < 0.05
+    p = {k: np.exp(w) for k, w in want.items()}
+    for key in sorted(p, key=p.get)[-4:]:
+        assert abs(first.get(key, 0) / 3000 - p[key]) < 0.03
+    for a, b in sorted(pairs, key=pairs.get)[-4:]:  # without replacement: the second by what the first leaves
+        assert abs(pairs[a, b] / 3000 - p[a] * p[b] / (1 - p[a])) < 0.03
     assert abs(np.mean(estimate) - 1) < 0.02  # inclusion scores weigh without bias
-    ((_, every),) = segment_sampling._sample(lattices, ["the"], mix(np.array([1], np.uint64)), 1000)
-    assert {tuple(f[0].tolist()) for f in every} == set(all_segmentations("the")) and all(f[3] == 0 for f in every)
+    for t in ("the", "a", "at a"):
+        (every,) = drawn(vocabulary, [t], [1], 1000)
+        assert {f[0] for f in every} == set(all_segmentations(t)) and all(f[3] == 0 for f in every)
+
+
+def test_samples_do_not_depend_on_neighbours(text):
+    vocabulary = segment_sampling.Vocabulary(PIECES)
+    texts = ["", text(30, 5), "x", text(400, 6), "日本語のテキスト\n\n  two  spaces", "q" * 5000, text(30, 5)]
+    seeds = [5, 6, 7, 8, 9, 10, 6]
+    together = drawn(vocabulary, texts, seeds, 4)
+    assert together == [drawn(vocabulary, [t], [s], 4)[0] for t, s in zip(texts, seeds)]
+    assert together[1] == together[6]
+
+
+def test_decoding_equals_the_library(text):
+    vocabulary = segment_sampling.Vocabulary(PIECES)
+    m = segment_sampling.model(PIECES)
+    rng = np.random.default_rng(3)
+    plain = [m.encode(t) for t in ("", " ", "  a b ", text(50, 9), "é😀日\n", "\n x", "▁")]
+    rows = [*plain, [0], [1, 2], [13, 0], rng.integers(3, 259, 40).tolist(), rng.integers(0, 32000, 200).tolist()]
+    for some in (plain, rows):
+        bounds = np.cumsum([0, *map(len, some)])
+        got = vocabulary.decoded(np.array([i for r in some for i in r], np.int64), bounds).to_pylist()
+        assert got == [m.decode(r) for r in some]
+
+
+def test_equal_hashes_of_different_units(monkeypatch):
+    """Units that only share their hash get lattices of their own."""
+    monkeypatch.setattr(segment_sampling, "mix", lambda x: x * segment_sampling.U(0))
+    u = segment_sampling.units_of([b"ab cd ab", b"xy"])
+    begin = np.cumsum(u.size) - u.size
+    words = ["".join(map(chr, u.chars[begin[k] : begin[k] + u.size[k]])) for k in u.kind]
+    assert words == ["▁ab", "▁cd", "▁ab", "▁xy"]
+
+
+def test_segment_sampling_string_and_null_keys(spark):
+    rows = spark.createDataFrame([("a", "some words", 1), (None, "some words", 2), ("b", None, 3), ("a", "some words", 4)], "doc_id string, text string, seed int")
+    got = segment_sampling.sample_segmentations(rows, PIECES).collect()
+    assert sorted((r.doc_id or "", r.sample) for r in got) == [("", 1), ("", 2), ("a", 1), ("a", 1), ("a", 2), ("a", 2), ("b", 1)]
+    assert len({tuple(r.ids) for r in got if r.doc_id == "a"}) == 2
 
 
 def test_segment_sampling(docs, text):
