@@ -55,6 +55,5 @@ def test_ids_are_the_tokenizers():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for x in ["", " ", "\n\n  x\t\r\n y", "Ünï ©od € 😀 日本語     don't I'LL 12345 <|endoftext|> ¼²", "a" * 3000, " " * 500 + "b", "\x00\x1f\x7f\x85​", "Thon's été, überall."]:
+    for x in ["", " ", "\n\n  x\t\r\n y", "Ünï ©od € 😀 日本語     don't I'LL 12345 <|endoftext|> ¼²", "a" * 3000, " " * 500 + "b", "\x00\x1f\x7f\x85​", "Thon's été, überall.", "<|endoftext|>", "<|endoftext|>hello <|endoftext|> there<|endoftext|><|endoftext|>", "  <|endoftext|>\n <|endoftext", "<|endoftext|>" * 50]:
         assert tokens.encode(path, x).tolist() == t.encode(x, add_special_tokens=False).ids

@@ -2,10 +2,11 @@ import re
 
 import numpy as np
 import public_tokenizers
+import tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, license_scan, packing, quality, secret_scan, segment_sampling, tokens, toxicity
+from corpusloom.llm import language_id, license_scan, packing, quality, secret_scan, segment_sampling, toxicity
 from corpusloom.llm.license_texts import TEMPLATES
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,9 +155,11 @@ def test_packing(docs, text, parts):
     import zlib
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [None, "", "a"] + [text(n * 17 % 700 + 1, n) for n in range(80)] + [text(6000, 3)]
+    library = tokenizers.Tokenizer.from_file(path)
+    special = ["<|endoftext|>", "<|endoftext|>start", "mid <|endoftext|> dle", "end<|endoftext|>", "<|endoftext|><|endoftext|> x " * 300]
+    texts = [None, "", "a", *special] + [text(n * 17 % 700 + 1, n) for n in range(80)] + [text(6000, 3)]
     rows = packing.pack(docs(texts).repartition(parts), path).collect()
-    ids = {i: np.append(tokens.encode(path, t or ""), 0).astype("<u4") for i, t in enumerate(texts)}
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
