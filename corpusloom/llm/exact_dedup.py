@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement.
 
-Documents are first grouped by the length of their normalised text, then by a
-hash of its first characters, and only members of groups that still have two
-rows get a full hash.  Every grouping works on narrow rows; texts are never
-shuffled.
+One scan of the texts writes a narrow row per document: the length of its
+normalised text, a hash of its first characters, and its full digest, which is
+a column of the result.  Documents are grouped by length, then by prefix hash,
+and only members of groups that still have two rows are grouped by full digest.
+Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import one_of_each, stored, text_hash
 
 PREFIX_CHARS = 128
-#: Survivors up to this many (length, prefix) groups are broadcast, at about 24 bytes each.
-BROADCAST_GROUPS = 500_000
+#: Groups with this share of all rows or more are sent round, so there are at most 1 / HOT_SHARE of them; no other group is large.
+HOT_SHARE = 1e-4
 
 
 def normalised(text: Column) -> Column:
@@ -23,44 +24,59 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def surviving_groups(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def narrow_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """(doc_id, row, n, head, digest) of each row: hash of the text, length, prefix hash and SHA-256 of the normalised text."""
+    rows = docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("row"), normalised(F.col(text)).alias("t"))
+    return rows.select("doc_id", "row", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("head"), F.unhex(F.sha2("t", 256)).alias("digest"))
+
+
+def surviving_groups(narrow: DataFrame) -> DataFrame:
     """(n, head) of the groups that have two rows or more after length and prefix refinement."""
-    t = normalised(F.col(text))
-    narrow = docs.select(F.length(t).alias("n"), F.xxhash64(F.substring(t, 1, prefix_chars)).alias("head"))
     # Partial sums first: a hot length or prefix costs one row per task.
     by_head = narrow.groupBy("n", "head").agg(F.count("*").alias("rows"))
     by_length = by_head.groupBy("n").agg(F.sum("rows").alias("length_rows")).filter("length_rows > 1")
     return by_head.join(by_length, "n", "left_semi").filter("rows > 1").select("n", "head")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per surviving group of equal texts: sha256, keep_id, group_size (2 or more)."""
-    survivors = stored(surviving_groups(docs, text), "dedup-survivors")
-    t = normalised(F.col(text))
-    rows = docs.select(F.col(key).alias("doc_id"), F.length(t).alias("n"), F.xxhash64(F.substring(t, 1, PREFIX_CHARS)).alias("head"), t.alias("t"))
-    if survivors.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        full = rows.join(F.broadcast(survivors), ["n", "head"], "left_semi").select("doc_id", F.sha2("t", 256).alias("text_sha256"))
-    else:
-        # Too many groups to send round: hashing in the scan is cheaper than moving texts to them.
-        full = rows.select("doc_id", "n", "head", F.sha2("t", 256).alias("text_sha256")).join(survivors, ["n", "head"], "left_semi").select("doc_id", "text_sha256")
-    return full.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+def exact_groups(narrow: DataFrame) -> DataFrame:
+    """One row per surviving group of equal texts: digest, keep_id, group_size (2 or more)."""
+    # Equal rows of a task are one row before they move, so a hot group is no hot key of the join.
+    texts = narrow.groupBy("n", "head", "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return texts.join(surviving_groups(narrow), ["n", "head"], "left_semi").filter("group_size > 1").select("digest", "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_share: float = HOT_SHARE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal means identical after normalising white space; the smallest key of a
     group stays.  Null and empty texts form one group.  A key that occurs on
-    several rows gives as many rows, each with the same verdict.  Columns other
-    than key and text are not read.  An empty table gives an empty result.
+    several rows gives as many rows, each with the same verdict.  A null key goes
+    where its group has another; a group of null keys alone has no smallest, so all
+    its rows are kept, with a null keep_id.  Columns other than key and text are
+    not read.  An empty table gives an empty result.
     """
-    groups = stored(exact_groups(docs, key, text), "dedup-groups")
-    every = docs.select(F.col(key).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
+    narrow = stored(narrow_rows(docs, key, text), "dedup-narrow")
+    groups = stored(exact_groups(narrow), "dedup-groups")
+    least = max(2, int(narrow.count() * hot_share))
+    hot, others = F.broadcast(groups.filter(F.col("group_size") >= least)), groups.filter(F.col("group_size") < least)
+    members = narrow.join(hot, "digest").unionByName(narrow.join(hot, "digest", "left_anti").join(others, "digest", "left"), allowMissingColumns=False)
     keep = F.coalesce("keep_id", "doc_id")
-    return every.join(groups, "text_sha256", "left").select(
+    return members.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
-        "text_sha256",
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts: the one with the smallest key.
+
+    Of rows that repeat a key, too, only one with the same normalised text stays;
+    rows with a null key stay where no other row has their text.
+    """
+    narrow = stored(narrow_rows(docs, key, text), "dedup-narrow")
+    groups = exact_groups(narrow).select("digest")
+    # Members of groups only, by partial sums of rows that repeat key and text.
+    return one_of_each(docs, narrow.select("doc_id", "row", "digest").join(stored(groups, "dedup-groups"), "digest", "left_semi"), "digest", key, text)
