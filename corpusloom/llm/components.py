@@ -8,30 +8,52 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+def roots(parents: DataFrame) -> tuple[DataFrame, int]:
+    """(id, parent) with every parent followed to its end, and the number of steps; no chain of parents is a circle.
+
+    Each step doubles the way: a parent is replaced by its parent.
+    """
+    steps = 0
+    while True:
+        above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
+        parents = stored(parents.join(above, "parent").select("id", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "cc-jump")
+        steps += 1
+        if parents.filter("moved").isEmpty():
+            return parents.select("id", "parent"), steps
+        parents = parents.select("id", "parent")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (columns a, b); component is the smallest id reachable.
 
-    Each round hooks every node to its smallest neighbour, jumps once over the
-    parents, and contracts: ends are replaced by their parents and loops go.
-    The smallest node of a component never hooks to another, so it is the last
-    one left.  All steps are joins and partial aggregations of narrow rows, and
-    every round's tables are written, so a lost executor repeats no round.
+    Each round hooks every node to its smallest neighbour, where that is smaller,
+    follows the parents to their roots and contracts: ends are replaced by their
+    roots and loops go.  Every node that is left with a link hooks or is hooked to,
+    so a round at least halves them, and parents are followed by doubling: chains
+    take a logarithmic number of steps.  All steps are joins and partial
+    aggregations of narrow rows, and each one's table is written, so a lost
+    executor repeats no step.
     """
+    return _components(links)[0]
+
+
+def _components(links: DataFrame) -> tuple[DataFrame, int, int]:
+    """The components, the number of rounds, and of doubling steps in all rounds."""
     ends = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-edges")
-    mapped = None
+    mapped, rounds, steps = None, 0, 0
     while not edges.isEmpty():
         hook = stored(ends(edges).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("parent")), "cc-hook")
-        above = hook.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        jump = stored(hook.join(above, "parent").select("id", F.col("grand").alias("parent")), "cc-jump")
-        at = lambda c, to: jump.select(F.col("id").alias(c), F.col("parent").alias(to))  # noqa: E731,B023
+        root, taken = roots(hook)
+        rounds, steps = rounds + 1, steps + taken
+        at = lambda c, to: root.select(F.col("id").alias(c), F.col("parent").alias(to))  # noqa: E731,B023
         edges = stored(
             edges.join(at("a", "pa"), "a").join(at("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(),
             "cc-edges",
         )
         if mapped is None:
-            mapped = jump.withColumnRenamed("parent", "component")
+            mapped = root.withColumnRenamed("parent", "component")
         else:
             moved = mapped.join(at("component", "to"), "component", "left")
             mapped = stored(moved.select("id", F.coalesce("to", "component").alias("component")), "cc-map")
-    return mapped if mapped is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return (mapped if mapped is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))), rounds, steps

@@ -12,7 +12,8 @@ Documents with equal sets form one class and are joined once.  Candidates are
 searched in steps, so that a large group of near copies doesn't give all its
 pairs: each posting list is first compared with its first member, then with its
 best connected one; at last only pairs in different components are compared, all
-of them.  After the first step the signatures alone decide who is verified.
+of them.  Every step asks for the l shared prefix shingles.  The first two only
+see some of a pair's lists and so may miss it; the last sees all of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import one_of_each, stored, text_hash
 from .textkernel import U, distinct, mix, shingles, text_blocks
 
 BUCKET_BITS = 22
@@ -36,11 +37,15 @@ VERIFY_COST = 20.0
 #: Involved ids up to this many are broadcast, at 8 bytes each; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 
+#: Posting lists are split into parts of about 2 ** SPLIT_BITS classes.
+SPLIT_BITS = 12
+#: Keys that a task remembers, to give out repeated rows and equal sets once; then it starts anew.
+SEEN_ROWS = 200_000
 #: Bits of the parity signature that bounds a pair's difference from below.
 SIGNATURE_BITS = 1024
 #: Larger sets, where that says little, have one of so many bits besides.
 WIDE_FROM, WIDE_BITS = 1_500, 1 << 14
-_SUMMARY = "doc_id long, n long, k1 long, k2 long, parity array<long>, wide array<long>, chunk int, counts binary"
+_SUMMARY = "doc_id long, row long, n long, k1 long, k2 long, parity array<long>, wide array<long>, chunk int, counts binary"
 _BUCKETS = 1 << BUCKET_BITS
 
 
@@ -74,20 +79,20 @@ def _signatures(text: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[pa.A
 def _summarise(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_BUCKETS, dtype=np.uint32)
-        names = ["doc_id", "n", "k1", "k2", "parity", "wide", "chunk", "counts"]
+        names = ["doc_id", "row", "n", "k1", "k2", "parity", "wide", "chunk", "counts"]
         for batch in batches:
-            for block in text_blocks(batch.column(1)):
+            for block in text_blocks(batch.column(2)):
                 text, h, _ = shingles(block, k)
                 text, h = distinct(text, h)
                 bucket, times = np.unique(h >> U(52 - BUCKET_BITS), return_counts=True)
                 counts[bucket.astype(np.int64)] += times.astype(np.uint32)
                 size, k1, k2 = _sums(text, h, block.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(size), pa.array(k1), pa.array(k2), *_signatures(text, h, size), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(block.first, block.n) for i in (0, 1)), pa.array(size), pa.array(k1), pa.array(k2), *_signatures(text, h, size), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
         if counts.any():
             # A byte a bucket: beyond 255 in one task, a shingle is common enough to tell.
             parts = [x.astype(np.uint8).tobytes() for x in np.split(np.minimum(counts, 255), CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, *[pa.nulls(CHUNKS, pa.list_(pa.int64()))] * 2, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, *[pa.nulls(CHUNKS, pa.list_(pa.int64()))] * 2, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -113,6 +118,9 @@ def _count_sketch(summary: DataFrame) -> np.ndarray:
     return out
 
 
+_PREFIX = ["token", "part", "k1", "k2", "nl"]
+
+
 def _emit_prefixes(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -124,6 +132,8 @@ def _emit_prefixes(k: int, percent: int, sketch):
                 text, h = distinct(text, h)
                 size, k1, k2 = _sums(text, h, block.n)
                 fresh = np.zeros(block.n, dtype=bool)
+                if len(seen) > SEEN_ROWS:
+                    seen.clear()
                 for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
                     if size[i] and key not in seen:  # copies within a task are emitted once
                         seen.add(key)
@@ -152,50 +162,50 @@ def _emit_prefixes(k: int, percent: int, sketch):
                     best[better], extra[better] = price[better], l
                 take = place < (spare + extra)[text]
                 t = text[take]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(k1[t]), pa.array(k2[t]), pa.array(n[t] << 8 | extra[t])], names=["token", "k1", "k2", "nl"])
+                # Long posting lists are split by class.
+                parts = 1 + (seen_count[order][take].astype(np.int64) >> SPLIT_BITS)
+                part = parts << 32 | (k1[t] & 0x7FFFFFFF) % parts
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(part), pa.array(k1[t]), pa.array(k2[t]), pa.array(n[t] << 8 | extra[t])], names=_PREFIX)
 
     return run
 
 
-_STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl", "more"]
+_STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl"]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class: each token's first class (a) with every other (b).
+    """Of rows sorted by token, part and class: each list's first class (a) with every class (b), itself included.
 
-    ``more``: the token has three classes or more.  Rows stream; of a posting
-    list only its first class and its latest row are held.
+    A list that is a token's only part and has only one class gives no row.  Rows
+    stream; of a list only its first class and its latest row are held.
     """
-    lead: np.ndarray | None = None  # token, k1, k2, nl of the current token's first class
-    held: np.ndarray | None = None  # the latest distinct row, not given out yet
-    place = 0  # of the held row within its token
-
-    def give(rows: np.ndarray, leads: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.ascontiguousarray(c)) for c in (rows[0], *leads[1:], *rows[1:])]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(more)], names=_STAR)
+    lead: np.ndarray | None = None  # the current list's first row: token, part, k1, k2, nl
+    last: np.ndarray | None = None  # the latest distinct row, given out already
+    place = 0  # of that row in its list
 
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
-        if held is not None:
-            rows = np.concatenate((held, rows), axis=1)
-        new = np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
-        rows = rows[:, new]
+        old = int(last is not None)
+        if old:
+            rows = np.concatenate((last, rows), axis=1)
+        rows = rows[:, np.append(True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0))]
         n = rows.shape[1]
         if not n:
             continue
-        first = np.append(held is None or place == 0, rows[0, 1:] != rows[0, :-1])
+        first = np.append(not place, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
         at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
         leads = rows[:, np.maximum(at, 0)]
         if lead is not None:
             leads[:, at < 0] = lead
         places = np.where(at >= 0, np.arange(n) - at, np.arange(n) + place)
-        out = (places > 0) & (np.arange(n) < n - 1)
-        more = (places > 1) | np.append(~first[1:], False)
-        if out.any():
-            yield give(rows[:, out], leads[:, out], more[out])
-        held, place, lead = rows[:, -1:], int(places[-1]), leads[:, -1:]
-    if held is not None and place > 0:
-        yield give(held, lead, np.array([place > 1]))
+        fresh = np.arange(n) >= old
+        several = rows[1] >> 32 > 1  # parts of the token
+        b, a = rows[:, fresh & ((places > 0) | several)], leads[:, fresh & ((places > 0) | several)]
+        own = leads[:, fresh & (places == 1) & ~several]  # a first row goes out once a second follows
+        a, b = np.concatenate((own, a), axis=1), np.concatenate((own, b), axis=1)
+        if b.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (b[0], *a[2:], *b[2:])], names=_STAR)
+        last, place, lead = rows[:, -1:], int(places[-1]), leads[:, -1:]
 
 
 def _linked(x: Column, y: Column, both: Column, percent: int) -> Column:
@@ -208,7 +218,7 @@ def _close_enough(pa_: Column, pb: Column, na: Column, nb: Column, percent: int)
     return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
-def _verify(near: DataFrame, wide: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _verify(near: DataFrame, wide: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Of near pairs of ids (a, b), those that link: compared on their whole sets, made only for documents that need it.
 
     wide (id, size, wide): the signatures of large sets, which rule out most pairs of them before any set is moved.
@@ -217,58 +227,64 @@ def _verify(near: DataFrame, wide: DataFrame, rows: DataFrame, words: int, perce
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     far = (100 + percent) * apart > (100 - percent) * (F.col("na") + F.col("nb"))
     near = stored(near.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(~F.coalesce(far, F.lit(False))).select("a", "b"), "ngram-close")
-    ids = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ngram-ids")
-    few = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    sets = stored(rows.join(few, "doc_id", "left_semi").mapInArrow(_emit_sets(words), "id long, tokens array<long>"), "ngram-sets")
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    ids = stored(ids.join(classes.select("id", "k1", "k2", "text_of"), "id"), "ngram-ids")
+    # A class's texts all give its set; the one of its smallest key is read.
+    few = ids.select(F.col("text_of.doc_id").alias("few_id"), F.col("text_of.row").alias("few_row"))
+    few = F.broadcast(few) if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else few
+    read = rows.join(few, rows.doc_id.eqNullSafe(few.few_id) & (rows.row == few.few_row), "left_semi")
+    sets = read.select("row", "text").mapInArrow(_emit_sets(words), "k1 long, k2 long, tokens array<long>")
+    sets = stored(sets.join(ids.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "tokens"), "ngram-sets")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     return near.join(left, "a").join(right, "b").filter(_linked(F.size("ta"), F.size("tb"), both, percent)).select("a", "b").distinct()
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The postings (token, part, ..) of tokens whose classes lie in several components."""
+    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
+    return placed.join(mixed, "token", "left_semi")
+
+
 def _emit_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat within a task are emitted once
         for batch in batches:
-            for block in text_blocks(batch.column(1)):
+            fresh = np.array([r not in seen and not seen.add(r) for r in batch.column(0).to_pylist()], dtype=bool)
+            if len(seen) > SEEN_ROWS:
+                seen.clear()
+            for block in text_blocks(batch.filter(pa.array(fresh)).column(1)):
                 text, h, _ = shingles(block, k)
                 text, h = distinct(text, h)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=block.n)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "tokens"])
+                size, k1, k2 = _sums(text, h, block.n)
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["k1", "k2", "tokens"])
 
     return run
 
 
-def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their
-    sets of ``words``-word shingles over the whole text, A-Z lower-cased; a text
-    of fewer words is one shingle.  component_id is the smallest key reachable
-    over links.  Null texts and texts without words have the empty set and link
-    with nothing.  Keys are non-null integers; rows that share a key are one node,
-    which links where any of its texts does.  Other columns are not read;
-    an empty table gives an empty result.
-
-    Shingles are 52-bit hashes: two different shingles of one compared pair fall
-    together with a chance of about 1e-10 for documents of a thousand words.
-    """
+def _components(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """(doc_id, row, n, group, smallest) per row: the text's hash, the set's size, its component (null: the empty set) and the component's smallest key."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("row"), F.col(text).alias("text"))
     summary = stored(rows.mapInArrow(_summarise(words), _SUMMARY), "ngram-summary")
-    mine = summary.filter("chunk IS NULL").select("doc_id", "n", "k1", "k2")
-    classes = stored(summary.filter("chunk IS NULL").filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.first("parity").alias("parity"), F.first("wide").alias("wide")), "ngram-classes")
+    mine = summary.filter("chunk IS NULL").select("doc_id", "row", "n", "k1", "k2")
+    classes = summary.filter("chunk IS NULL").filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("text_of"), F.first("n").alias("size"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
+    # Keys may repeat or be null, so classes are numbered; the numbers hold as they are written.
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "ngram-classes")
 
     sketch = spark.sparkContext.broadcast(_count_sketch(summary))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), "token long, k1 long, k2 long, nl long")
-    stars = prefixes.repartition(partitions, "token").sortWithinPartitions("token", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in _STAR))
+    prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), ", ".join(f"{c} long" for c in _PREFIX))
+    stars = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} long" for c in _STAR))
     stars = stored(stars, "ngram-stars")
     n_of, l_of = (lambda c: F.shiftright(c, 8)), (lambda c: F.col(c).bitwiseAND(255))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     # Each posting list's first class against its others.
     star = (
-        stars.filter(fits(n_of("anl"), n_of("bnl")))
+        stars.filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
+        .filter(fits(n_of("anl"), n_of("bnl")))
         .groupBy("a1", "a2", "b1", "b2")
         .agg(F.count("*").alias("both"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
         .filter("both >= l")
@@ -276,35 +292,64 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: st
     wide = stored(classes.filter(F.size("wide") > 0).select("id", "size", "wide"), "ngram-wide")
     own = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     near = star.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).filter(_close_enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
-    first = stored(_verify(stored(near.select("a", "b"), "ngram-near"), wide, rows, words, percent), "ngram-links")
-    part = connected_components(first)
+    links = stored(_verify(stored(near.select("a", "b"), "ngram-near"), wide, classes, rows, words, percent), "ngram-links")
+    part = connected_components(links)
 
-    # Then the others among themselves, where they aren't connected yet.  A pair that links shares l prefix
-    # shingles: either it is the first class's pair in all of them and was tried, or it turns up here.
-    nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", "parity", F.coalesce("component", "id").alias("part"))
-    placed = stored(stars.filter("more").select("token", "b1", "b2", n_of("bnl").alias("n")).join(nodes, ["b1", "b2"]).drop("b1", "b2"), "ngram-placed")
+    # Then the others, where they aren't connected yet: a pair that links shares l prefix shingles, so it turns up
+    # l times or more in the lists of all classes.
+    nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", F.coalesce("component", "id").alias("part"))
+    placed = stars.join(nodes, ["b1", "b2"]).select("token", "id", n_of("bnl").alias("n"), l_of("bnl").alias("l"), "part")
+    placed = stored(_open(placed).join(classes.select("id", "parity"), "id"), "ngram-placed")
+    several = lambda pairs: pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("l").alias("l")).filter("both >= l").select("a", "b")
+    close = lambda x, y: fits(F.col(f"{x}n"), F.col(f"{y}n")) & _close_enough(F.col(f"{x}parity"), F.col(f"{y}parity"), F.col(f"{x}n"), F.col(f"{y}n"), percent)
+    pair = lambda x, y: (F.least(f"{x}id", f"{y}id").alias("a"), F.greatest(f"{x}id", f"{y}id").alias("b"), F.least(f"{x}l", f"{y}l").alias("l"))
     # A near copy's original shares more shingles than any other copy: the member with the most postings is tried next.
     weight = placed.groupBy("id").agg(F.count("*").alias("w"))
-    hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "parity", "part"), F.struct("w", "id")).alias("hub"))
-    h = lambda c: F.col(f"hub.{c}")
-    spokes = placed.join(hub, "token").filter((F.col("part") != h("part")) & fits(F.col("n"), h("n")) & _close_enough(F.col("parity"), h("parity"), F.col("n"), h("n"), percent))
-    spokes = spokes.select(F.least("id", h("id")).alias("a"), F.greatest("id", h("id")).alias("b")).distinct()
-    links = first.unionByName(stored(_verify(stored(spokes, "ngram-near"), wide, rows, words, percent), "ngram-links"))
+    hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "l", "parity", "part"), F.struct("w", "id")).alias("hub"))
+    spokes = placed.join(hub.select("token", *(F.col(f"hub.{c}").alias(f"x_{c}") for c in ("id", "n", "l", "parity", "part"))), "token")
+    spokes = several(spokes.filter((F.col("part") != F.col("x_part")) & close("", "x_")).select(*pair("", "x_")))
+    links = links.unionByName(stored(_verify(stored(spokes, "ngram-near"), wide, classes, rows, words, percent), "ngram-links"))
     part = connected_components(links)
-    placed = stored(placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "ngram-placed")
+    placed = placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    placed = stored(_open(placed), "ngram-placed")
 
+    # At last all pairs of classes in different components; of a list's largest component only those with others.
     by_part = placed.groupBy("token", "part").agg(F.count("*").alias("rows"))
-    main = stored(by_part.groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "ngram-main")
-    open_ = placed.join(main, "token")
-    outside = open_.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "parity", "part")))
-    # Of a list's largest component only the pairs with other components are made, of a pair of components each pair once.
+    main = by_part.groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"))
+    lists = stored(placed.join(main, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")), "ngram-lists")
+    # Sets that may link lie in the same or neighbouring bands of sizes, which split the lists.
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    outside = lists.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "l", "parity", "part")), bands.alias("band"))
     once = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id")))
-    across = outside.join(open_, (outside.token == open_.token) & once & fits(F.col("n"), F.col("x_n")) & _close_enough(F.col("parity"), F.col("x_parity"), F.col("n"), F.col("x_n"), percent))
-    across = across.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
-    second = stored(_verify(stored(across, "ngram-near"), wide, rows, words, percent), "ngram-links")
+    across = several(outside.join(lists, ["token", "band"]).filter(once & close("", "x_")).select(*pair("", "x_")))
+    second = stored(_verify(stored(across, "ngram-near"), wide, classes, rows, words, percent), "ngram-links")
     if not second.isEmpty():
         part = connected_components(links.unionByName(second))
 
-    member = classes.join(part, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    member = stored(member, "ngram-members")
-    return mine.join(member, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    member = stored(classes.join(part, "id", "left").select("k1", "k2", F.col("text_of.doc_id").alias("least"), F.coalesce("component", "id").alias("group")), "ngram-members")
+    smallest = member.groupBy("group").agg(F.min("least").alias("smallest"))
+    return mine.join(member.join(smallest, "group").select("k1", "k2", "group", "smallest"), ["k1", "k2"], "left").select("doc_id", "row", "n", "group", "smallest")
+
+
+def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their
+    sets of ``words``-word shingles over the whole text, A-Z lower-cased; a text
+    of fewer words is one shingle.  component_id is the smallest key reachable
+    over links.  Null texts and texts without words have the empty set and link
+    with nothing.  Keys are integers; rows that repeat a key are documents of their
+    own, a null key is never the smallest, and a component of null keys alone has
+    none.  Other columns are not read; an empty table gives an empty result.
+
+    Shingles are 52-bit hashes: two different shingles of one compared pair fall
+    together with a chance of about 1e-10 for documents of a thousand words.
+    """
+    found = _components(docs, words, percent, key, text)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest key; rows without words stay."""
+    found = stored(_components(docs, words, percent, key, text).select("doc_id", "row", "group"), "ngram-groups")
+    return one_of_each(docs, found, "group", key, text)
