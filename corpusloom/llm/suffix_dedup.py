@@ -8,8 +8,8 @@ Neighbouring windows share an anchor and travel as one *context*.
 
 1. Anchors of all texts are counted; only windows whose anchor occurs twice or
    more can repeat, and only their contexts are kept.
-2. Equal contexts are counted by fingerprint.  Different contexts are dealt to
-   shards by anchor; each shard sorts its suffixes by Larsson-Sadakane
+2. Equal contexts are counted by two 64-bit fingerprints of their bytes, and one
+   of each goes on.  Different contexts are dealt to shards by anchor; each shard sorts its suffixes by Larsson-Sadakane
    refinement, takes common prefixes by Kasai's walk, and marks windows that
    share ``LENGTH`` bytes with another.  Where one anchor's contexts fill several
    shards, those are merged by binary search.
@@ -35,8 +35,10 @@ ANCHOR = 64
 HOT = 4_000
 SHARD_BYTES = 1 << 20
 SEGMENT = 8 << 20
-#: Row ids up to this many are broadcast, at 16 bytes each; more go through a shuffle join.
+#: Row ids up to this many are broadcast, at 24 bytes each; more go through a shuffle join.
 BROADCAST_IDS = 500_000
+#: Contexts that a task remembers as sent; then it starts anew.
+SENT = 200_000
 
 _POSITION = U((1 << 24) - 1)
 _SPREAD = U(0x9E3779B97F4A7C15)
@@ -55,13 +57,7 @@ class Windows:
         self.prefix = self.block.prefix_hash()
         at = np.arange(n - anchor + 1)
         self.gram = self.block.range_hash(self.prefix, at, at + anchor)
-        low = (self.gram & ~_POSITION) | at.astype(np.uint64)
-        width, size = length - anchor + 1, 1
-        while 2 * size <= width:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < width:
-            low = np.minimum(low[: -(width - size)], low[width - size :])
+        low = self._least((self.gram & ~_POSITION) | at.astype(np.uint64))
         self.at = (low & _POSITION).astype(np.int64)
         big = np.flatnonzero(np.diff(bounds) >= length)
         step = np.zeros(self.count + 1, dtype=np.int64)
@@ -81,19 +77,30 @@ class Windows:
         return np.searchsorted(self.bounds, start, side="right") - 1
 
     def samples(self) -> np.ndarray:
-        """Per window, a value of its content alone: its first and last k-gram whose hash is 0 modulo 32."""
-        n, width = len(self.gram), self.length - self.anchor
+        """Per window, a value of its content alone: its first and last k-gram whose hash is 0 modulo 32.
+
+        A window without one has its least k-gram by another hash instead.
+        """
+        width = self.length - self.anchor
         chosen = np.flatnonzero((self.gram & U(31)) == 0)
+        other = self._least(mix(self.gram + _SPREAD))
         if not len(chosen):
-            return np.zeros(self.count, np.uint64)
+            return other
         start = np.arange(self.count)
         after = np.searchsorted(chosen, start)
         before = np.searchsorted(chosen, start + width, side="right") - 1
         some = (after < len(chosen)) & (before >= after)
         first = self.gram[chosen[np.minimum(after, len(chosen) - 1)]]
         last = self.gram[chosen[np.maximum(before, 0)]]
-        assert n >= self.count
-        return np.where(some, mix(first * U(3) + last), U(0))
+        return np.where(some, mix(first * U(3) + last), other)
+
+    def _least(self, value: np.ndarray) -> np.ndarray:
+        """The least value of each window's k-grams."""
+        width, size = self.length - self.anchor + 1, 1
+        while 2 * size <= width:
+            value = np.minimum(value[:-size], value[size:])
+            size *= 2
+        return np.minimum(value[: -(width - size)], value[width - size :]) if size < width else value
 
 
 def _stretches(block: Block, length: int) -> Iterator[tuple[int, Windows]]:
@@ -121,7 +128,8 @@ def _anchors(length: int):
     return run
 
 
-_CONTEXT = "row_id long, start long, windows long, shard long, print long, context binary"
+_CONTEXT = "row_id {kind}, start long, windows long, shard long, print long, second long, context binary"
+_PRINT = ["shard", "print", "second"]
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +140,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        sent: set[tuple[int, int, int]] = set()
         for batch in batches:
             known = [_flat(batch.column(i)) for i in (2, 3)]
             for block in text_blocks(batch.column(1)):
@@ -160,9 +168,11 @@ def _contexts(length: int):
                         sub[hot] = w.samples()[hot]
                     a, b = w.runs(keep, sub)
                     shard = mix(w.gram[w.at[a]] + sub[a] * _SPREAD).view(np.int64)
-                    mark = w.block.range_hash(w.prefix, a, b + length).view(np.int64)
+                    marks = [w.block.range_hash(h, a, b + length).view(np.int64) for h in (w.prefix, w.block.prefix_hash(second=True))]
                     context = []
-                    for i, pair in enumerate(zip(shard.tolist(), mark.tolist())):
+                    if len(sent) > SENT:
+                        sent.clear()
+                    for i, pair in enumerate(zip(shard.tolist(), *(m.tolist() for m in marks))):
                         if pair in sent:  # a copy within this task: its bytes went already
                             context.append(None)
                         else:
@@ -171,8 +181,8 @@ def _contexts(length: int):
                     rows = pa.array(w.text_of(a) + block.first)
                     base = block.bounds[w.text_of(a)] if offset == 0 else np.zeros(len(a), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), pa.array(a + offset - base), pa.array(b - a + 1), pa.array(shard), pa.array(mark), pa.array(context, pa.binary())],
-                        names=["row_id", "start", "windows", "shard", "print", "context"],
+                        [batch.column(0).take(rows), pa.array(a + offset - base), pa.array(b - a + 1), pa.array(shard), *map(pa.array, marks), pa.array(context, pa.binary())],
+                        names=["row_id", "start", "windows", *_PRINT, "context"],
                     )
 
     return run
@@ -319,9 +329,9 @@ class Shard:
 
 
 def _search(length: int, shard_bytes: int):
-    """Over contexts sorted by shard: (shard, print, first, past) of their repeated windows."""
+    """Over contexts sorted by shard: (shard, print, second, first, past) of their repeated windows."""
 
-    def solve(shards: list[tuple[list[tuple[int, int]], Shard]]) -> pa.RecordBatch:
+    def solve(shards: list[tuple[list[tuple[int, int, int]], Shard]]) -> pa.RecordBatch:
         for i, (_, x) in enumerate(shards):
             for _, y in shards[:i]:
                 x.merge(y)
@@ -329,18 +339,18 @@ def _search(length: int, shard_bytes: int):
         for keys, x in shards:
             c, a, b = x.ranges()
             out += [(*keys[i], p, q) for i, p, q in zip(c.tolist(), a.tolist(), b.tolist())]
-        columns = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["shard", "print", "first", "past"])
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=[*_PRINT, "first", "past"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple[int, int, bytes]] = []  # whole anchor groups of two contexts or more
-        group: list[tuple[int, int, bytes]] = []
+        ready: list[tuple] = []  # whole anchor groups of two contexts or more
+        group: list[tuple] = []
         parts: list = []  # shards of an anchor group that fills several
         ready_bytes = group_bytes = 0
         last = None
 
-        def make(rows: list[tuple[int, int, bytes]]):
-            return [(r[0], r[1]) for r in rows], Shard([r[2] for r in rows], length)
+        def make(rows: list[tuple]):
+            return [r[:3] for r in rows], Shard([r[3] for r in rows], length)
 
         def close() -> Iterator[pa.RecordBatch]:
             """The current anchor's contexts are complete."""
@@ -356,14 +366,14 @@ def _search(length: int, shard_bytes: int):
                 ready, ready_bytes = [], 0
 
         for batch in batches:
-            for shard, mark, context in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if (shard, mark) == last:  # the same context from another task
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] == last:  # the same context from another task
                     continue
-                if last and shard != last[0]:
+                if last and row[0] != last[0]:
                     yield from close()
-                last = shard, mark
-                group.append((shard, mark, context))
-                group_bytes += len(context)
+                last = row[:3]
+                group.append(row)
+                group_bytes += len(row[3])
                 if group_bytes >= shard_bytes:
                     parts.append(make(group))
                     group, group_bytes = [], 0
@@ -400,22 +410,21 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removal_ranges(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(row_id, first, past): byte ranges to remove; rows has row_id and text."""
-    spark = rows.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = stored(rows.select("row_id", "text").mapInArrow(_anchors(length), "row_id long, anchor long"), "suffix-anchors")
+    kind = dict(rows.dtypes)["row_id"]
+    anchors = stored(rows.select("row_id", "text").mapInArrow(_anchors(length), f"row_id {kind}, anchor long"), "suffix-anchors")
     twice = stored(anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "suffix-twice")
     listed = anchors.join(twice, "anchor").groupBy("row_id").agg(F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("times") > hot, F.col("anchor"))).alias("hot"))
     listed = stored(listed, "suffix-listed")
     ids = listed.select("row_id")
     near = rows.join(F.broadcast(ids), "row_id", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
-    contexts = near.join(listed, "row_id").select("row_id", "text", "known", "hot").mapInArrow(_contexts(length), _CONTEXT)
+    contexts = near.join(listed, "row_id").select("row_id", "text", "known", "hot").mapInArrow(_contexts(length), _CONTEXT.format(kind=kind))
     contexts = stored(contexts, "suffix-contexts")
-    dealt = contexts.filter("context IS NOT NULL").select("shard", "print", "context").repartition(partitions, "shard").sortWithinPartitions("shard", "print")
-    partly = stored(dealt.mapInArrow(_search(length, shard_bytes), "shard long, print long, first long, past long"), "suffix-marked")
-    many = contexts.groupBy("shard", "print").agg(F.count("*").alias("times"), F.first("windows").alias("past")).filter("times > 1")
-    whole = stored(many.select("shard", "print", F.lit(0).cast("long").alias("first"), "past"), "suffix-whole")
-    found = partly.join(whole, ["shard", "print"], "left_anti").unionByName(whole)
-    marked = contexts.select("shard", "print", "row_id", "start").join(stored(found, "suffix-found"), ["shard", "print"])
+    dealt = contexts.filter("context IS NOT NULL").select(*_PRINT, "context").repartition("shard").sortWithinPartitions(*_PRINT)
+    partly = stored(dealt.mapInArrow(_search(length, shard_bytes), "shard long, print long, second long, first long, past long"), "suffix-marked")
+    many = contexts.groupBy(*_PRINT).agg(F.count("*").alias("times"), F.first("windows").alias("past")).filter("times > 1")
+    whole = stored(many.select(*_PRINT, F.lit(0).cast("long").alias("first"), "past"), "suffix-whole")
+    found = partly.join(whole, _PRINT, "left_anti").unionByName(whole)
+    marked = contexts.select(*_PRINT, "row_id", "start").join(stored(found, "suffix-found"), _PRINT)
     return marked.select("row_id", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("past") - 1 + length).alias("past"))
 
 
@@ -427,11 +436,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     another; strings are judged on the input.  Texts shorter than ``length`` stay
     whole.  Rows that repeat a key are documents of their own, and equal ones
     remove each other.  Other columns are not read; an empty table gives an empty
-    result.  Strings are compared as bytes within shards; anchors and equal
-    contexts by 64-bit hashes.
+    result.  Strings are compared as bytes within shards; anchors by 64-bit
+    hashes, where a chance hit only costs work, and equal contexts by 128 bits
+    besides their shard.  Texts that share an anchor with another are moved to
+    their anchors' lists where these are too many to send round.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))
+    # Rows are told by key and text hash; those that share both are equal and get equal ranges.
+    rows = rows.withColumn("row_id", F.struct("doc_id", F.xxhash64("text").alias("text")))
     kind = dict(rows.dtypes)["doc_id"]
     ranges = removal_ranges(rows, length, shard_bytes, hot)
     spans = ranges.distinct().groupBy("row_id").agg(F.collect_list("first").alias("first"), F.collect_list("past").alias("past"))

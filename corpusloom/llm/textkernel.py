@@ -27,6 +27,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[65:91] = _BYTE[97:123]
 _MULT = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * U(2) + U(1)
+_SECOND_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
@@ -74,8 +75,9 @@ class Block:
         c = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return c[self.bounds[1:]] - c[self.bounds[:-1]]
 
-    def prefix_hash(self, lower: bool = False) -> np.ndarray:
-        table = _LOWER_BYTE if lower else _BYTE
+    def prefix_hash(self, lower: bool = False, second: bool = False) -> np.ndarray:
+        """Prefix sums for :meth:`range_hash`; ``second``: of hashes that are independent of the others."""
+        table = _SECOND_BYTE if second else _LOWER_BYTE if lower else _BYTE
         p, _ = _power(len(self.data) + 1)
         h = np.empty(len(self.data) + 1, dtype=np.uint64)
         h[0] = 0
