@@ -25,6 +25,10 @@ EMBED = 4
 SAMPLE_DOCS = 800
 SAMPLE_WINDOWS = 4
 EPOCHS = 12
+#: Languages that are learned: those with the most documents. Others are never predicted.
+LANGUAGES = 1_000
+ACCEPT_ROWS = 512
+MARGIN = 0.12
 UNKNOWN = "und"
 
 _STEP = WINDOW - max(WIDTHS) + 1
@@ -142,10 +146,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> ByteConvNet | N
     """Train on (doc_id, lang, text) rows; None where no row has a language and a text.
 
     At most about ``per_language`` documents of each language, chosen by a hash
-    of their key, and ``SAMPLE_WINDOWS`` windows of each, come to the driver.
+    of their key, and ``SAMPLE_WINDOWS`` windows of each, come to the driver; of
+    more than ``LANGUAGES`` languages, those with the most documents are learned.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     languages = sorted(counts)
@@ -200,9 +205,11 @@ def _accept(net: ByteConvNet, least: float, text: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            narrow = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text), batch.column(batch.num_columns - 1)], names=["doc_id", "text", "letters"])
-            keep = np.concatenate([(b.column(1).to_numpy(zero_copy_only=False) != UNKNOWN) & (b.column(2).to_numpy() >= least) for b in predict(iter([narrow]))] or [np.zeros(0, bool)])
-            yield batch.filter(pa.array(keep)).select(batch.schema.names[:-1])
+            for a in range(0, batch.num_rows, ACCEPT_ROWS):  # few rows at a time, as whole rows are copied
+                part = batch.slice(a, ACCEPT_ROWS)
+                narrow = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(text), part.column(part.num_columns - 1)], names=["doc_id", "text", "letters"])
+                keep = np.concatenate([(b.column(1).to_numpy(zero_copy_only=False) != UNKNOWN) & (b.column(2).to_numpy() >= least) for b in predict(iter([narrow]))] or [np.zeros(0, bool)])
+                yield part.filter(pa.array(keep)).select(range(part.num_columns - 1))
 
     return run
 
@@ -216,7 +223,16 @@ def accepted(docs: DataFrame, net: ByteConvNet | None, least: float, text: str =
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return docs.filter(letters)
-    return docs.withColumn("_letters", letters).mapInArrow(_accept(net, least, docs.columns.index(text)), docs.schema)
+    own = "has letters"
+    while own in docs.columns:
+        own += "_"
+    return docs.withColumn(own, letters).mapInArrow(_accept(net, least, docs.columns.index(text)), docs.schema)
+
+
+def least_score(net: ByteConvNet | None, margin: float = MARGIN) -> float:
+    """A score that a guess doesn't reach, whatever the number of languages: ``margin`` of the way from chance to certainty."""
+    chance = 1 / len(net.languages) if net else 0.0
+    return chance + margin * (1 - chance)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
