@@ -19,9 +19,9 @@ from .textkernel import SEPARATOR, Block, arrow_map, mix, windows
 WINDOW = 8
 #: A group's own fences need this many rows; smaller groups use their language's, then the corpus's.
 MIN_GROUP = 200
-#: A fence lies this many times the distance from median to quartile beyond the quartile: a quarter of junk doesn't move it.
-FENCE_FACTOR = 6.0
-TAIL = 0.25
+#: A fence lies beyond each of these tail quantiles, by so many times the quantile's distance from the median: the
+#: quartile tells how wide the middle is, the tenth what a ratio that is mostly 0 has where it isn't.
+TAILS = ((0.25, 6.0), (0.10, 2.0))
 #: Group tables up to this many rows are broadcast (languages times sources, at about 200 bytes each).
 BROADCAST_GROUPS = 20_000
 
@@ -96,13 +96,13 @@ def _ratios(f: DataFrame) -> DataFrame:
 
 
 def _fences(sketches: dict[str, Column]) -> dict[str, Column]:
+    """Cutoffs of each ratio: the farther of its tails' fences; groups of one value have ``SPREAD`` around it."""
     out = {}
     for name, s in sketches.items():
         q = lambda p, s=s: F.kll_sketch_get_quantile_double(s, F.lit(p))
-        low, mid, high = q(TAIL), q(0.5), q(1 - TAIL)
-        least = F.lit(SPREAD[name])
-        out[f"{name}_low"] = low - FENCE_FACTOR * F.greatest(mid - low, least)
-        out[f"{name}_high"] = high + FENCE_FACTOR * F.greatest(high - mid, least)
+        mid, least = q(0.5), F.lit(SPREAD[name])
+        out[f"{name}_low"] = F.least(*(q(t) - by * F.greatest(mid - q(t), least) for t, by in TAILS))
+        out[f"{name}_high"] = F.greatest(*(q(1 - t) + by * F.greatest(q(1 - t) - mid, least) for t, by in TAILS))
     return out
 
 
@@ -135,7 +135,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated
     8-word windows.  ``kept``: the base holds and no ratio lies beyond its
-    group's fences.  Null text has no words and so fails the base; null language
+    group's fences (a ratio at a fence stays).  Null text has no words and so fails the base; null language
     or source form groups of their own; a group all of whose rows fail the base
     needs no fence.  Repeated keys give a row each.  Other columns are not read.
     """
