@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 # Right after a secret word and an assignment; two cheap looks back rule out most places before the long one.
 _WORD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private)[ _\-]?key|auth|credentials?|bearer)(?:[_\-A-Z0-9][A-Za-z0-9_\-]{0,24})?"
 _ASSIGNED = r"(?<=[=:>\"'` \t])(?<=[=:>][ \t]{0,16}[\"'`]?)(?<=" + _WORD + r"[\"']?\]?[ \t]{0,16}(?::=|=>|={1,3}|:)[ \t]{0,16}[\"'`]?)"
+# The password of an address: after scheme, user and colon, before the at sign.
+_IN_ADDRESS = r"(?<=:)(?<=://[^\s:@/\"'`<>]{0,40}:)[^\s@/\"'`<>]+(?=@)"
 #: What is assigned to a secret word, of any length and with any signs but spaces, quotes and <>, up to the next assignment;
 #: elsewhere a run of 16 or more key characters. The forest tells words and names from keys.
 CANDIDATE = (
-    _ASSIGNED + r"(?![=:>])(?:[^\s\"'`<>&,;]|[&,;](?![A-Za-z_][A-Za-z0-9_\-]*[=:]))+(?<![.,;:)\]}])"
+    _IN_ADDRESS + "|" + _ASSIGNED + r"(?![=:>])(?:[^\s\"'`<>&,;]|[&,;](?![A-Za-z_][A-Za-z0-9_\-]*[=:]))+(?<![.,;:)\]}])"
     r"|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-=\"']))?"
 )
 LEFT, RIGHT = 40, 24
@@ -28,7 +30,7 @@ TREES, DEPTH = 15, 6
 SCORE = 0.5
 MASK = "[SECRET]"
 #: Bound of the labelled findings that train the forest.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 9_000
 
 # Words that made-up, structural or descriptive strings are built from.
 DICTIONARY = (
@@ -36,12 +38,17 @@ DICTIONARY = (
     "your here insert replace value string name config build release version candidate branch feature master main commit "
     "image icon button header footer layout style theme page content index module class function object data file path "
     "static assets public private local server client service request response http https html json text data null none "
-    "true false required optional string input undefined empty hidden environ getenv process self settings params number type"
+    "true false required optional string input undefined empty hidden environ getenv process self settings params number type "
+    "about action account address amount answer array author balance before begin between block board border bucket cache call center "
+    "channel check child city click close cluster color column command comment company contact copy count country customer date debug "
+    "delete detail device display document domain download email engine error event export field filter first folder format frame group "
+    "health history house image import index item label language large last length level library light list load lock machine manager "
+    "market member menu message method model month network north note object open order origin"
 ).split()
 PREFIX = r"(^|[^A-Za-z0-9])(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)[A-Za-z0-9+/_\-]{12}"
 NEAR_SECRET = r"(?i)(pass(word|wd)?|pwd|secret|token|api[ _\-]?key|access[ _\-]?key|auth|credential|bearer)"
 NEAR_HASH = r"(?i)(sha-?[0-9]*|md5|checksum|digest|commit|revision|uuid|guid|etag|version|serial|isbn|order|phone|card|id)[ \t\"':=#(]*$"
-TEST_PATH = r"(?i)(test|example|sample|mock|fixture|demo|docs?/)"
+TEST_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|samples?|mocks?|fixtures?|demos?|docs?)([/_.\-]|$)"
 
 FEATURES = ("length", "digit_share", "upper_share", "other_share", "hex", "distinct_share", "class_changes", "runs", "dictionary", "known_prefix", "test_path", "secret_word_left", "hash_word_left", "assigned", "quoted", "secret_word_right", "by_equals", "wordlike", "vowels", "reference")
 
@@ -95,12 +102,14 @@ def features(secret: Column, left: Column, right: Column, path: Column) -> dict[
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Made labelled findings: secret, left, right, path, label (1: a secret), the same every time.
+    """Made labelled findings: secret, left, right, path, label (1: a secret) and kind, the same every time.
 
     Random parts come from hashes of the row number.  A third are keys of known
     kinds or assigned random strings; the rest are what scanners report by
     mistake: hashes, numbers, words, identifiers, placeholders and test data.
     Keys without a digit and assigned values of a few characters are among both.
+    Of what lies in test paths a third counts as harmless whatever it is, so the
+    path weighs but doesn't clear a real key.
     """
     i = F.col("id")
     hexa = lambda n, salt: F.substring(F.sha2(F.concat(F.lit(salt), i.cast("string")), 256), 1, n)
@@ -143,7 +152,12 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (F.substring(small(20, "v"), F.lit(1), size("v", 6, 20)), F.concat(lead("lm"), name("n8"), eq), 1),
         (F.concat(phrase("ph"), pick("q2", "", "", "1", "42", "!", "2024", "_x")), F.concat(lead("ln"), name("n9"), eq), 1),
         (F.concat(b64(5, "x"), pick("q3", "!", "@", "#", "$%", "&", "*"), small(4, "y")), F.concat(lead("lo"), name("na"), eq), 1),
-        (pick("ph2", *DICTIONARY), F.concat(lead("lp"), name("nb"), eq), 0),
+        (F.concat(b64(40, "pem1"), b64(24, "pem2")), F.concat(pick("pm0", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"), F.lit("\n")), 1),
+        (F.concat(b64(40, "pem3"), b64(24, "pem4")), F.concat(b64(39, "pem5"), F.lit("\n")), 1),
+        (F.concat(F.substring(b64(20, "url"), F.lit(1), size("url", 6, 18))), F.concat(pick("ur0", "postgres://", "mysql://", "mongodb+srv://", "redis://", "https://", "amqp://"), pick("ur1", "app", "root", "admin", "user", "svc"), F.lit(":")), 1),
+        (F.concat(phrase("ur2"), pick("ur3", "1", "42", "!", "2024", "_x", "99")), F.concat(pick("ur4", "postgres://", "mysql://", "mongodb://", "redis://", "ftp://"), pick("ur5", "app", "root", "db", "user"), F.lit(":")), 1),
+        (pick("ur6", "password", "pass", "PASSWORD", "${DB_PASS}", "$PASS", "****", "xxxx", "<password>", "{password}", "secret", "changeme", "%s"), F.concat(pick("ur7", "postgres://", "mysql://", "https://", "redis://"), pick("ur8", "user", "username", "root"), F.lit(":")), 0),
+        (pick("ph2", *DICTIONARY[:68]), F.concat(lead("lp"), name("nb"), eq), 0),
         (F.concat(word("wa"), pick("q4", "", "_", "-", "."), word("wb")), F.concat(lead("lq"), name("nc"), eq), 0),
         (pick("ref", "os.environ", "getToken()", "get_password(user)", "${PASSWORD}", "$TOKEN", "config.password", "self.token", "req.body.token", "process.env.TOKEN", "********", "xxxxxxxx", "%s", "{password}", "{{token}}", "[hidden]", "input()", "...", "$1"), F.concat(lead("lr"), name("nd"), eq), 0),
         (pick("gr", "is", "the", "a", "must", "will", "and", "not", "that", "this", "it", "1", "0", "no", "yes", "12", "60"), F.concat(lead("ls"), name("ne"), pick("q5", ": ", "=", " = ")), 0),
@@ -160,11 +174,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     def of(part: list[int]) -> DataFrame:
         choose = lambda k: F.coalesce(*(F.when(kind == j, x if isinstance(x := kinds[j][k], Column) else F.lit(x)) for j in part))
         left = choose(1)
-        right = F.when(left.endswith("\""), "\" and").when(left.endswith("'"), "',").otherwise(pick("r", " the of", "\n", ".", " und die", " de la"))
+        right = F.when(left.rlike("://[a-z]+:$"), "@db.host").when(left.endswith("\""), "\" and").when(left.endswith("'"), "',").otherwise(pick("r", " the of", "\n", ".", " und die", " de la"))
         in_test = F.pmod(F.xxhash64(i, F.lit("path")), F.lit(12)) == 0
         path = F.when(in_test, pick("tp", "tests/test_api.py", "docs/example.md", "fixtures/data.json")).otherwise(pick("np", "src0", "src7", "web", "src/app.py", "config/prod.env"))
         rows_of = spark.range(rows).filter(kind.isin(part))
-        return rows_of.select(choose(0).alias("secret"), left.alias("left"), right.alias("right"), path.alias("path"), F.when(in_test, 0).otherwise(choose(2)).alias("label"))
+        return rows_of.select(choose(0).alias("secret"), left.alias("left"), right.alias("right"), path.alias("path"), F.when(in_test & (F.pmod(F.xxhash64(i, F.lit("harmless")), F.lit(3)) == 0), 0).otherwise(choose(2)).alias("label"), kind.alias("kind"))
 
     # A few kinds at a time, so that each part's generated code stays small.
     return reduce(DataFrame.unionAll, [of(list(range(k, min(k + 7, len(kinds))))) for k in range(0, len(kinds), 7)])
@@ -200,12 +214,21 @@ class Forest:
         return f"({' + '.join(each)}) / {len(each)}"
 
 
-def scored(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
-    """``docs`` with an array column ``_found`` of struct<secret, score>; null where the text has no candidate."""
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scored(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> tuple[DataFrame, str]:
+    """``docs`` with an array column of struct<secret, score>, null where the text has no candidate; and that column's name."""
+    described, found = _free(docs, "described findings"), _free(docs, "scored findings")
     listed = F.when(F.col(text).rlike(CANDIDATE), candidates(F.col(text)))
-    described = F.transform(listed, lambda x: F.struct(x["secret"].alias("secret"), *(c.alias(n) for n, c in features(x["secret"], x["left"], x["right"], F.coalesce(F.col(path).cast("string"), F.lit(""))).items())))
-    judged = F.expr(f"transform(_described, x -> named_struct('secret', x.secret, 'score', {forest.expression('x.')}))")
-    return docs.withColumn("_described", described).withColumn("_found", judged).drop("_described")
+    features_of = F.transform(listed, lambda x: F.struct(x["secret"].alias("secret"), *(c.alias(n) for n, c in features(x["secret"], x["left"], x["right"], F.coalesce(F.col(path).cast("string"), F.lit(""))).items())))
+    judged = F.expr(f"transform(`{described}`, x -> named_struct('secret', x.secret, 'score', {forest.expression('x.')}))")
+    return docs.withColumn(described, features_of).withColumn(found, judged).drop(described), found
 
 
 def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -217,9 +240,10 @@ def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text:
     repeat.  Other columns are not read; an empty table gives no rows.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    rows = scored(narrow, forest, "text", "path").withColumn("_row", F.monotonically_increasing_id())
+    rows, found = scored(narrow, forest, "text", "path")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     gaps = F.transform(F.split("text", CANDIDATE, -1), lambda x: F.length(x))
-    each = rows.select("doc_id", "_row", F.posexplode(F.arrays_zip(F.col("_found").alias("f"), gaps.alias("gap"))).alias("ordinal", "x")).filter("x.f IS NOT NULL")
+    each = rows.select("doc_id", "_row", F.posexplode(F.arrays_zip(F.col(found).alias("f"), gaps.alias("gap"))).alias("ordinal", "x")).filter("x.f IS NOT NULL")
     before = Window.partitionBy("_row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("x.f.secret")
     return each.select(
@@ -236,8 +260,9 @@ def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text:
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``MASK``; other rows and columns as they were."""
     columns = docs.columns
-    kept = F.transform("_found", lambda x: F.when(x["score"] >= SCORE, F.lit(MASK)).otherwise(x["secret"]))
+    rows, found = scored(docs, forest, text, path)
+    kept = F.transform(found, lambda x: F.when(x["score"] >= SCORE, F.lit(MASK)).otherwise(x["secret"]))
     # Each gap is followed by what stands for its candidate; the last gap by nothing.
     joined = F.array_join(F.zip_with(F.split(F.col(text), CANDIDATE, -1), kept, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
-    any_ = F.exists("_found", lambda x: x["score"] >= SCORE)
-    return scored(docs, forest, text, path).withColumn(text, F.when(any_, joined).otherwise(F.col(text))).select(*columns)
+    any_ = F.exists(found, lambda x: x["score"] >= SCORE)
+    return rows.withColumn(text, F.when(any_, joined).otherwise(F.col(text))).select(*columns)
