@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import exact_dedup, ngram_join, suffix_dedup
-from corpusloom.llm.components import connected_components
+from corpusloom.llm.components import _components, connected_components
 
 
 def test_exact(docs):
@@ -19,11 +19,14 @@ def test_exact(docs):
         assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_exact_beyond_the_broadcast_bound(docs, monkeypatch):
-    df = docs(["a", "a ", "b", "a", "b"])
-    want = sorted(map(tuple, exact_dedup.exact_dedup(df).collect()))
-    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
-    assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect())) == want
+@pytest.mark.parametrize("share", [1e-4, 0.5, 2.0])
+def test_exact_hot_and_other_groups(docs, share):
+    """Groups sent round, some of each, and none."""
+    df = docs(["a", "a ", "b", "a", "b", "c", None, "a"])
+    want = [(0, 0, 4, True), (1, 1, 4, False), (2, 2, 2, True), (3, 0, 4, False), (4, 2, 2, False), (5, 5, 1, True), (6, 6, 1, True), (7, 0, 4, False)]
+    want[1] = (1, 1, 1, True)  # "a " keeps its space
+    want = [(i, k, 3 if i in (0, 3, 7) else n, kept) for i, k, n, kept in want]
+    assert sorted(tuple(r)[:4] for r in exact_dedup.exact_dedup(df, hot_share=share).collect()) == want
 
 
 def test_exact_odd_tables(docs):
@@ -32,6 +35,24 @@ def test_exact_odd_tables(docs):
     assert sorted((r.doc_id, r.kept, r.group_size) for r in exact_dedup.exact_dedup(twice).collect()) == [(0, True, 2), (0, True, 2), (1, True, 1)]
 
 
+def keyed(spark, rows):
+    return spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row long")
+
+
+def test_drop_copies_with_repeated_and_null_keys(spark):
+    rows = [(1, "x y"), (5, "x y"), (5, "unique words"), (5, "unique words"), (5, "unique  words"), (None, "x y"), (None, "z"), (None, "z"), (2, None), (3, ""), (4, "q")]
+    got = exact_dedup.drop_copies(keyed(spark, rows))
+    assert got.columns == ["doc_id", "text", "row"]
+    got = sorted((r.doc_id or 0, re.sub(" +", " ", r.text or "")) for r in got.collect())
+    assert got == [(0, "z"), (1, "x y"), (2, ""), (4, "q"), (5, "unique words")]
+
+
+def test_exact_null_keys(spark):
+    rows = [(None, "a"), (3, "a"), (None, "b"), (None, "b")]
+    got = sorted((r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(keyed(spark, rows)).collect())
+    assert got == [(0, 2, True), (0, 2, True), (3, 2, False), (3, 2, True)]
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
@@ -78,6 +99,44 @@ def test_ngram_join_odd_tables(docs):
     assert sorted(map(tuple, ngram_join.ngram_components(twice).collect())) == [(0, 2, 0), (0, 2, 0), (1, 1, 1)]
 
 
+def test_ngram_join_split_lists(docs, text, monkeypatch, spark):
+    """Every posting list in parts: same result."""
+    monkeypatch.setattr(ngram_join, "SPLIT_BITS", 0)
+    texts = near_copies(text)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(texts).repartition(3), 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_ngram_join_version_history(docs, text):
+    """Each version is near its predecessor alone."""
+    words = text(200, 3).split()
+    versions = [" ".join(words[4 * i : 4 * i + 100]) for i in range(25)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(versions), 4, 85).collect()}
+    assert got == brute_components(versions, 4, 85) and {c for _, c in got.values()} == {0}
+
+
+def test_drop_near_copies_with_repeated_and_null_keys(spark, text):
+    base = text(100, 1).split()
+    near = lambda i: " ".join([*base[:i], "changed", *base[i + 1 :]])
+    rows = [(7, near(0)), (7, near(99)), (3, near(50)), (7, text(60, 2)), (7, text(60, 2)), (None, text(60, 3)), (None, text(60, 3) + " more"), (2, ""), (2, None), (None, "short")]
+    got = ngram_join.drop_near_copies(keyed(spark, rows))
+    assert got.columns == ["doc_id", "text", "row"]
+    got = sorted((r.doc_id or 0, (r.text or "")[:12]) for r in got.collect())
+    assert [k for k, _ in got] == [0, 0, 2, 2, 3, 7] and (7, text(60, 2)[:12]) in got and (0, "short") in got
+    ids = {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(keyed(spark, rows)).collect()}
+    assert ids == {(7, 3), (3, 3), (7, 7), (None, None), (2, 2)}
+
+
+def test_components_of_a_long_chain(spark):
+    """Both in order and shuffled, in a logarithmic number of steps."""
+    r = np.random.default_rng(4)
+    for order in (np.arange(10_000), r.permutation(10_000)):
+        links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "a long, b long").coalesce(2)
+        found, rounds, steps = _components(links)
+        assert found.filter("component = 0").count() == found.count() == 10_000
+        assert rounds <= 10 and steps <= 40
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(30)] + [(int(a) + 100, int(b) + 100) for a, b in r.integers(0, 40, (25, 2))] + [(7, 7)]
@@ -123,6 +182,22 @@ def test_suffix_dedup(docs, text, shard_bytes, hot):
     assert got == brute_removal(texts, 200)
 
 
+def test_suffix_dedup_tells_rows_with_one_key_apart(spark, text):
+    rows = [(None, text(80, 1)), (1, text(80, 2)), (1, text(80, 1)), (1, text(80, 3)), (None, None)]
+    got = suffix_dedup.remove_repeats(keyed(spark, rows)).collect()
+    want = brute_removal([t for _, t in rows], 200)
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want.values())
+
+
+def test_suffix_windows_without_a_sampled_gram(text):
+    """They are split by another value of their content."""
+    data = np.frombuffer(text(300, 4).encode(), np.uint8)
+    w = suffix_dedup.Windows(data, np.array([0, len(data)]))
+    assert (w.samples() != 0).all() and len(np.unique(w.samples())) > 10
+    again = suffix_dedup.Windows(data[37:], np.array([0, len(data) - 37]))
+    assert np.array_equal(again.samples(), w.samples()[37:])
+
+
 def test_suffix_dedup_stretches(docs, text, monkeypatch):
     texts = [text(4000, 1), text(10, 2) + text(4000, 1)[7000:9000]]
     want = brute_removal(texts, 200)

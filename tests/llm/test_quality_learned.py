@@ -1,5 +1,7 @@
 """Documents far outside a tight group, each within every fixed number that rules like these commonly use."""
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import quality
 
 
@@ -27,3 +29,33 @@ def test_loose_groups_keep_what_is_usual_there(docs, text):
     doubled = outliers(text)["dup_line_share"][0]
     rows = quality.quality_rules(docs([text(60, i) for i in range(300)] + [doubled] * 300)).collect()
     assert len(rows) == 600 and all(r.kept for r in rows)
+
+
+def test_fences_are_those_of_exact_quantiles(spark):
+    """Within the sketches' rank error, per pair and where a small pair takes its language's."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    groups = {("en", "a"): r.gamma(3, 1, 4000), ("en", "b"): r.normal(20, 2, 5000), ("de", "a"): np.where(r.random(3000) < 0.8, 0.0, r.random(3000)), ("de", "few"): r.random(20)}
+    rows = [(lang, source, False, *[float(v)] * 4) for (lang, source), x in groups.items() for v in x]
+    names = "lang string, source string, base_failed boolean, " + ", ".join(f"{n} double" for n in quality.RATIOS)
+    found = {(f.lang, f.source): f for f in quality.thresholds(spark.createDataFrame(rows, names)).collect()}
+    groups["de", "few"] = np.concatenate((groups["de", "a"], groups["de", "few"]))
+    for key, x in groups.items():
+        least = quality.SPREAD["symbol_share"]
+
+        def high(off):
+            q = lambda p: np.quantile(x, min(max(p, 0), 1), method="lower")
+            return max(q(1 - t + off) + by * max(q(1 - t + off) - q(0.5 - off), least) for t, by in quality.TAILS)
+
+        assert high(-0.02) - 1e-9 <= found[key].symbol_share_high <= high(0.02) + 1e-9, key
+
+
+def test_the_same_ratio_in_two_languages(docs, text):
+    """4 % signs are usual in one language and not in the other."""
+    marked = [" ".join(x + "##" * (i % 8 == 0) for i, x in enumerate(text(60, 4000 + j).split())) for j in range(250)]
+    plain = docs([text(60, i) for i in range(300)] + marked[:1], lang="en")
+    signs = docs(marked, lang="de").withColumn("doc_id", F.col("doc_id") + 1000)
+    rows = {r.doc_id: r for r in quality.quality_rules(plain.unionByName(signs)).collect()}
+    assert rows[300].symbol_share == rows[1000].symbol_share
+    assert not rows[300].kept and rows[1000].kept
