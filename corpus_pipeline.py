@@ -7,26 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, language_id, ngram_join, packing, secret_scan
-from corpusloom.llm.shared import stored, without
-
-#: Language ID rejects texts without a letter and those that no language fits; a guess among four has 0.25.
-LEAST_LANGUAGE_SCORE = 0.34
+from corpusloom.llm.shared import discarding, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; the network learns from the documents' own languages."""
+    """Documents in a known language; texts without a letter and those that no language fits go.
+
+    The network learns from the documents' own languages.
+    """
     net = language_id.fit(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"))
-    return language_id.accepted(docs, net, LEAST_LANGUAGE_SCORE)
+    return language_id.accepted(docs, net, language_id.least_score(net))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    """Of equal texts the one with the smallest doc_id stays, and one of rows that repeat it."""
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
-    return without(docs, ngram_join.ngram_components(docs, words=5, percent=80).filter("doc_id != component_id"))
+    return ngram_join.drop_near_copies(docs, words=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each but the last is written as Parquet and read again."""
+    """All stages on ``documents``; each but the last is written as Parquet and read again, then its own tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with discarding(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
