@@ -40,6 +40,26 @@ def pending(status: Column, force: bool = False, retry_no_body: bool = False) ->
     return status.isNull() | (status == "retry")
 
 
+def fetched(body: Column, error: Column) -> Column:
+    """Status of a row after a fetch: error, missing (no body came) or fetched."""
+    return F.when(F.length(F.trim(F.coalesce(body, F.lit("")))) == 0, "missing").when(error.isNotNull(), "error").otherwise("fetched")
+
+
+def after(df: DataFrame, columns: Sequence[str], done: Sequence) -> DataFrame:
+    """Rows that come after the last one done, by several columns in order; all where nothing is done (None)."""
+    if not done or done[0] is None:
+        return df
+    later, same = F.lit(False), F.lit(True)
+    for c, v in zip(columns, done):
+        later, same = later | (same & (F.col(c) > v)), same & (F.col(c) == v)
+    return df.filter(later)
+
+
+def at_most_pages(chars: Column, pages: int, chars_per_page: int = 2_000) -> Column:
+    """Whether a text is no longer than so many pages."""
+    return chars <= pages * chars_per_page
+
+
 def is_status(status: Column, wanted: str, yes: bool = True) -> Column:
     same = status.eqNullSafe(wanted)
     return same if yes else ~same

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2, reciprocal_rank
+from .search import sparse_hits
 
-K_MOST = 4_096
+#: Bounds of the numbers that a caller may ask for.
+K_MOST, TOP_MOST, CANDIDATES = 4_096, 100, (10, 200)
 
 
-def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "embedding", allow: DataFrame | None = None) -> DataFrame:
+def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "embedding", allow: DataFrame | None = None, most: int | None = K_MOST) -> DataFrame:
     """(key, distance): the exact k nearest, among the allowed keys if given.
 
+    A k beyond ``most`` gives ``most`` rows, which is the contract of a page; None sets no bound.
+
     The allowlist is a semi join before the top-k, so a narrow scope can't be
     starved by nearer vectors outside it.
     """
@@ -22,7 +26,7 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: st
         raise ValueError("k must be positive")
     scope = vectors if allow is None else vectors.join(allow.select(key).distinct(), key, "left_semi")
     q = F.array(*(F.lit(float(x)) for x in query))
-    return scope.select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(min(k, K_MOST))
+    return scope.select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k if most is None else min(k, most))
 
 
 def ranked(hits: DataFrame, score: str, key: str, name: str) -> DataFrame:
@@ -50,54 +54,70 @@ def fused_top(fused: DataFrame, k: int, key: str) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, meta: DataFrame, key: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
-    """Chunk text and document data of a top-k; the hits are few, so they are the broadcast side."""
-    return chunks.join(F.broadcast(hits), key).join(meta, doc, "left")
+    """Chunk text and document data of a top-k of at most ``K_MOST`` hits, which are the broadcast side; data are null where missing."""
+    return chunks.join(F.broadcast(hits.limit(K_MOST)), key).join(meta, doc, "left")
 
 
-def nearest_per_query(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", block: int = 512) -> DataFrame:
-    """k nearest for each row of a stated query set, in blocks of queries.
+def retrieve(query: str, point: Sequence[float] | None, chunks: DataFrame, vectors: DataFrame, meta: DataFrame, words: Column, top_k: int = 20, candidate_k: int = 50, allow: DataFrame | None = None, key: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
+    """Hybrid search: the ``top_k`` best chunks with their documents' data, in fused order (column ``rank``).
 
-    Every block of queries meets every vector once; k rows per query and task
-    leave the task, and the k best of those stay.
+    ``chunks`` (key, doc, ..), ``vectors`` (key, embedding), ``meta`` (doc, ..),
+    ``words`` the chunks' tokens.  The dense arm is left out where ``point`` is
+    None (no query vector could be made), which ``used_dense`` tells.  ``allow``
+    (key) limits both arms before their top-k; None means no limit, an empty one
+    gives nothing, as does a blank query.
+    """
+    if not 1 <= top_k <= TOP_MOST:
+        raise ValueError(f"top_k must be 1 to {TOP_MOST}")
+    if not CANDIDATES[0] <= candidate_k <= CANDIDATES[1]:
+        raise ValueError(f"candidate_k must be {CANDIDATES[0]} to {CANDIDATES[1]}")
+    sparse = sparse_hits(chunks, key, words, query, candidate_k, allow)
+    dense = knn(vectors, point, candidate_k, key, allow=allow) if point is not None and query.strip() else None
+    best = fused_top(fuse(dense, sparse, key), top_k, key)
+    order = Window.orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), key)
+    placed = best.withColumn("rank", F.row_number().over(order))  # top_k rows
+    return hydrate(placed, chunks, meta, key, doc).orderBy("rank")
+
+
+def scope(meta: DataFrame, key: str, **wanted: Sequence | None) -> DataFrame | None:
+    """The keys whose columns hold one of the wanted values each; None (no limit) where nothing is asked for."""
+    given = {c: list(v) for c, v in wanted.items() if v is not None}
+    if not given:
+        return None
+    rows = meta
+    for column, values in given.items():
+        rows = rows.filter(F.col(column).isin(*values))
+    return rows.select(key).distinct()
+
+
+def nearest_per_query(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", block: int = 1024, share: int = 8192) -> DataFrame:
+    """k nearest for each row of a query set, in blocks of queries.
+
+    Queries are dealt to blocks of about ``block`` rows, vectors to shares of about
+    ``share``; every block meets every share in one task, from which k rows per
+    query leave, and the k best of those stay.  Nothing passes the driver.
     """
     import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select(query_key, vector).orderBy(query_key).toLocalIterator()  # a stated query set, block by block
-    kind = dict(vectors.dtypes)[key]
-    query_kind = dict(queries.dtypes)[query_key]
-    out, names, points = None, [], []
-
-    def search(names: list, points: list) -> DataFrame:
-        q = np.array(points, np.float64)
-
-        def run(batches):
-            held_id = held_d = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                d = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None], 0))
-                ids = np.broadcast_to(batch.column(0).to_numpy(), d.shape)
-                if held_d is not None:
-                    d, ids = np.concatenate((held_d, d), 1), np.concatenate((held_id, ids), 1)
-                order = np.lexsort((ids, d), axis=1)[:, :k]
-                held_d, held_id = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-            if held_d is not None:
-                n = held_d.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), n)), pa.array(held_id.ravel()), pa.array(held_d.ravel())], names=[query_key, "neighbour", "distance"])
-
-        return vectors.select(key, vector).mapInArrow(run, f"{query_key} {query_kind}, neighbour {kind}, distance double")
-
-    for r in rows:
-        names.append(r[0])
-        points.append(r[1])
-        if len(names) == block:
-            part = search(names, points)
-            out = part if out is None else out.unionByName(part)
-            names, points = [], []
-    if names or out is None:
-        part = search(names, points) if names else vectors.limit(0).select(F.lit(None).cast(query_kind).alias(query_key), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy(query_key).orderBy("distance", "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    import pandas as pd
+
+    kinds, query_kind = dict(vectors.dtypes), dict(queries.dtypes)[query_key]
+    q = queries.select(F.col(query_key).alias("query"), F.col(vector).alias("point"))
+    blocks, shares = max(1, -(-q.count() // block)), max(1, -(-vectors.count() // share))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    left = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("share", every)
+    right = vectors.select(F.col(key).alias("neighbour"), F.col(vector).alias("vector")).withColumn("share", F.pmod(F.xxhash64("neighbour"), F.lit(shares)).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def near(points: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(found):
+            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
+        a, b = np.stack(points["point"]).astype(np.float64), np.stack(found["vector"]).astype(np.float64)
+        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0))
+        ids = np.broadcast_to(found["neighbour"].to_numpy(), d.shape)
+        best = np.lexsort((ids, d), axis=1)[:, :k]
+        return pd.DataFrame({"query": np.repeat(points["query"].to_numpy(), best.shape[1]), "neighbour": np.take_along_axis(ids, best, 1).ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+
+    parts = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(near, f"query {query_kind}, neighbour {kinds[key]}, distance double")
+    w = Window.partitionBy("query").orderBy("distance", "neighbour")
+    best = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select(F.col("query").alias(query_key), "neighbour", "distance", "rank")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -15,10 +16,6 @@ IDF_FLOOR = 1e-6
 TRIGRAM_LEAST = 3
 
 
-class MatchSyntaxError(ValueError):
-    """The match expression can't be read."""
-
-
 def trigram(c: Column, part: str) -> Column:
     """Case-insensitive substring match; parts of fewer than three characters match nothing."""
     return F.contains(F.lower(c), F.lit(part.lower())) if len(part) >= TRIGRAM_LEAST else F.lit(False)
@@ -31,97 +28,64 @@ def _phrase(words: Column, wanted: Sequence[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {' '.join(wanted)} ")
 
 
-def match(query: str, columns: dict[str, Column], stem: Callable[[str], str] = lambda w: w) -> Column:
-    """A predicate for a match expression over named token arrays.
-
-    Words next to each other must all occur; ``"a b"`` is a phrase, ``a*`` a
-    prefix, ``OR`` and ``NOT`` combine, parentheses group and ``name:`` limits to
-    one column.  NOT binds closest, then AND, then OR.
-    """
-    found = re.findall(r'"[^"]*"|[()]|[^\s()"]+', query)
-    if query.count('"') % 2:
-        raise MatchSyntaxError("unbalanced quote")
-    at = 0
-
-    def peek() -> str | None:
-        return found[at] if at < len(found) else None
-
-    def either() -> Column:
-        nonlocal at
-        left = every()
-        while peek() == "OR":
-            at += 1
-            left = left | every()
-        return left
-
-    def every() -> Column:
-        nonlocal at
-        left = minus()
-        while peek() not in (None, "OR", ")"):
-            if peek() == "AND":
-                at += 1
-            left = left & minus()
-        return left
-
-    def minus() -> Column:
-        nonlocal at
-        left = one()
-        while peek() == "NOT":
-            at += 1
-            left = left & ~one()
-        return left
-
-    def one() -> Column:
-        nonlocal at
-        word = peek()
-        if word in (None, "OR", "AND", "NOT", ")"):
-            raise MatchSyntaxError(f"a term is missing before {word or 'the end'}")
-        at += 1
-        if word == "(":
-            inner = either()
-            if peek() != ")":
-                raise MatchSyntaxError("a parenthesis is open")
-            at += 1
-            return inner
-        use = columns
-        if ":" in word and not word.startswith('"'):
-            name, _, word = word.partition(":")
-            if name not in columns:
-                raise MatchSyntaxError(f"there is no column {name}")
-            use = {name: columns[name]}
-            if not word:
-                word = peek() or ""
-                at += 1
-        prefix = word.endswith("*")
-        parts = [p for p in re.split(r"[\W_]+", word.lower()) if p]
-        if not parts:
-            raise MatchSyntaxError(f"no word in {word!r}")
-        hit = F.lit(False)
-        for c in use.values():
-            if prefix and len(parts) == 1:
-                hit = hit | F.exists(c, lambda t: t.startswith(parts[0]))
-            else:
-                hit = hit | _phrase(c, [stem(p) for p in parts])
-        return hit
-
-    out = either()
-    if peek() is not None:
-        raise MatchSyntaxError(f"unexpected {peek()}")
+def has_words(words: Column, wanted: Sequence[str]) -> Column:
+    """All of the words occur; combine such predicates with ``&``, ``|`` and ``~``."""
+    out = F.lit(True)
+    for w in wanted:
+        out = out & F.array_contains(words, w.lower())
     return out
 
 
+def has_phrase(words: Column, phrase: str) -> Column:
+    """The phrase's words occur next to each other."""
+    return _phrase(words, plain_terms(phrase))
+
+
+def has_prefix(words: Column, start: str) -> Column:
+    return F.exists(words, lambda t: t.startswith(start.lower()))
+
+
 def plain_terms(query: str) -> list[str]:
     """The words of a free-text query, quotes dropped."""
     return [w for w in re.split(r"[\W_]+", query.replace('"', "").lower()) if w]
 
 
-def index_documents(docs: DataFrame, key: str, words: Column) -> tuple[DataFrame, DataFrame]:
-    """(postings (term, key, tf), lengths (key, dl)); write the postings bucketed or sorted by term."""
+def index_documents(docs: DataFrame, key: str, words: Column, terms: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, key, tf), lengths (key, dl)); of the given terms alone, if any are given."""
     cut = docs.select(F.col(key), words.alias("_words"))
-    postings = cut.select(key, F.explode("_words").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    chosen = F.col("_words") if terms is None else F.filter("_words", lambda w: w.isin(*terms))
+    postings = cut.select(key, F.explode(chosen).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
     return postings, cut.select(key, F.size("_words").cast("long").alias("dl"))
 
 
+BUCKETS = 64
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
+    """One directory per bucket of terms, sorted by term: a search reads its terms' buckets and row groups only.
+
+    A build that stopped goes on with the documents that have no postings yet
+    (:func:`indexed_ids`) and the mode ``append``.
+    """
+    rows = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def indexed_ids(postings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The keys of ``docs`` that have postings."""
+    return docs.select(key).join(postings.select(key).distinct(), key, "left_semi")
+
+
+def read_postings(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """The postings of ``terms``; the buckets prune directories, the terms row groups."""
+    wanted = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("term").isin(*terms)).drop("bucket")
+
+
 def bm25(postings: DataFrame, lengths: DataFrame, terms: Sequence[str], key: str) -> DataFrame:
     """(key, score) of the documents with all terms; smaller is better, as in SQLite's FTS5.
 
@@ -146,8 +110,11 @@ def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
 
-def bm25_scan(docs: DataFrame, key: str, words: Column, terms: Sequence[str]) -> DataFrame:
-    """As :func:`bm25` without an index: two scans, nothing exploded, no shuffle but one row of sums."""
+def bm25_scan(docs: DataFrame, key: str, words: Column, terms: Sequence[str], allow: DataFrame | None = None) -> DataFrame:
+    """As :func:`bm25` without an index: two scans, nothing exploded, no shuffle but one row of sums.
+
+    ``allow`` limits the hits to its keys; the corpus figures stay those of all documents.
+    """
     wanted = sorted(set(terms))
     counted = docs.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("dl"), *(_times("_w", t).alias(f"tf{i}") for i, t in enumerate(wanted)))
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))))
@@ -156,7 +123,23 @@ def bm25_scan(docs: DataFrame, key: str, words: Column, terms: Sequence[str]) ->
         tf, raw = F.col(f"tf{i}"), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score - list(terms).count(t) * F.when(raw <= 0, IDF_FLOOR).otherwise(raw) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         has = has & (tf > 0)
-    return counted.filter(has).crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))
+    hits = counted.filter(has)
+    if allow is not None:
+        hits = hits.join(allow.select(key).distinct(), key, "left_semi")
+    return hits.crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))
+
+
+def sparse_hits(docs: DataFrame, key: str, words: Column, query: str, k: int, allow: DataFrame | None = None, stem: Callable[[str], str] | None = None) -> DataFrame:
+    """(key, score): the k best documents with all words of a free-text query, among the allowed ones.
+
+    The allowlist is a semi join before the top-k, so a narrow scope isn't starved
+    by better hits outside it; an empty one gives nothing, as does a query without
+    words.  ``stem`` is put on the query's words, where ``words`` are stems.
+    """
+    terms = [stem(w) if stem else w for w in plain_terms(query)]
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    return bm25_scan(docs, key, words, terms, allow).orderBy("score", key).limit(k)
 
 
 def document_tokens(c: Column) -> Column:

@@ -91,7 +91,7 @@ def test_bm25_as_sqlite(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), q
 
 
-def test_match_as_sqlite(spark):
+def test_predicates_as_sqlite(spark):
     con = sqlite3.connect(":memory:")
     try:
         con.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='unicode61')")
@@ -99,12 +99,24 @@ def test_match_as_sqlite(spark):
         pytest.skip("no FTS5")
     con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(DOCS)))
     df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").withColumn("w", search.document_tokens(F.col("text")))
-    for q in ("the day", '"the quick"', "qui*", "fox OR day", "the NOT quick", "(fox OR day) NOT the", "t:fox", "fox AND run"):
+    w = F.col("w")
+    has = lambda *x: search.has_words(w, x)
+    cases = {"the day": has("the", "day"), '"the quick"': search.has_phrase(w, "the quick"), "qui*": search.has_prefix(w, "qui"), "fox OR day": has("fox") | has("day"), "the NOT quick": has("the") & ~has("quick"), "(fox OR day) NOT the": (has("fox") | has("day")) & ~has("the")}
+    for q, predicate in cases.items():
         want = sorted(r[0] for r in con.execute("SELECT rowid FROM f WHERE f MATCH ?", (q,)))
-        assert sorted(r.doc_id for r in df.filter(search.match(q, {"t": F.col("w")})).collect()) == want, q
-    for bad in ('"open', "OR a", "(a", "x:y", "a )", "***"):
-        with pytest.raises(search.MatchSyntaxError):
-            search.match(bad, {"t": F.col("w")})
+        assert sorted(r.doc_id for r in df.filter(predicate).collect()) == want, q
+
+
+def test_stored_postings(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    postings, lengths = search.index_documents(df, "doc_id", search.document_tokens(F.col("text")))
+    search.write_postings(postings, str(tmp_path / "p"), buckets=8)
+    read = search.read_postings(spark, str(tmp_path / "p"), ["the", "fox"], buckets=8)
+    assert sorted(map(tuple, read.select("term", "doc_id", "tf").collect())) == sorted(map(tuple, postings.filter("term IN ('the', 'fox')").select("term", "doc_id", "tf").collect()))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "In(term" in plan
+    a = {tuple(r) for r in search.bm25(read, lengths, ["the", "fox"], "doc_id").collect()}
+    assert a == {tuple(r) for r in search.bm25(postings, lengths, ["the", "fox"], "doc_id").collect()} and a
 
 
 def test_trigram(spark):
@@ -147,6 +159,65 @@ def test_nearest_per_query(spark):
         assert [x.neighbour for x in sorted((g for g in got if g.q == i), key=lambda x: x.rank)] == want
 
 
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Chunks 0 to 39 of 20 documents, ten of them about foxes; vectors on a circle."""
+    import math
+
+    rows = [(i, i // 2, "red fox runs" if i % 4 == 0 else "the quick brown dog", f"p. {i % 2}") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string, section string")
+    vectors = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)], "chunk_id long, embedding array<double>")
+    meta = spark.createDataFrame([(i, f"title {i}", "even" if i % 2 == 0 else "odd") for i in range(19)], "doc_id long, title string, subject string")
+    return chunks, vectors, meta, search.document_tokens(F.col("text"))
+
+
+def test_retrieve(corpus):
+    chunks, vectors, meta, words = corpus
+    hits = retrieve.retrieve("fox", [1.0, 0.0], chunks, vectors, meta, words, top_k=15).collect()
+    assert [r.rank for r in hits] == list(range(1, 16)) and hits[0].chunk_id == 0 and all(r.used_dense for r in hits)
+    assert all(a.score >= b.score for a, b in zip(hits, hits[1:])) and hits[0].title == "title 0"
+    sparse = retrieve.retrieve("fox", None, chunks, vectors, meta, words, top_k=100, candidate_k=200).collect()
+    assert {r.chunk_id for r in sparse} == set(range(0, 40, 4)) and not any(r.used_dense for r in sparse)
+    assert [r.title for r in sparse if r.doc_id == 18] == ["title 18"]
+    late = retrieve.retrieve("dog", [1.0, 0.0], chunks, vectors, meta, words, top_k=100, candidate_k=200).collect()
+    assert len(late) == 40 and {r.title for r in late if r.doc_id == 19} == {None}
+    for bad in ({"top_k": 0}, {"top_k": 101}, {"candidate_k": 9}, {"candidate_k": 201}):
+        with pytest.raises(ValueError):
+            retrieve.retrieve("fox", None, chunks, vectors, meta, words, **bad)
+
+
+def test_retrieve_in_scope(spark, corpus):
+    chunks, vectors, meta, words = corpus
+    odd = chunks.join(meta, "doc_id").filter("subject = 'odd'").select("chunk_id")
+    hits = retrieve.retrieve("the", [1.0, 0.0], chunks, vectors, meta, words, top_k=5, candidate_k=10, allow=odd).collect()
+    assert len(hits) == 5 and {r.subject for r in hits} == {"odd"}
+    for query, allow in (("", None), ("  ", None), ("fox", odd.limit(0))):
+        assert retrieve.retrieve(query, [1.0, 0.0], chunks, vectors, meta, words, allow=allow).count() == 0
+    best = search.sparse_hits(chunks, "chunk_id", words, 'The "quick" brown', 3, odd).collect()
+    assert len(best) == 3 and {r.chunk_id for r in best} <= {r.chunk_id for r in odd.collect()}
+    assert retrieve.scope(meta, "doc_id") is None
+    assert [r.doc_id for r in retrieve.scope(meta, "doc_id", subject=["odd"], title=["title 1", "title 2"]).collect()] == [1]
+    assert retrieve.scope(meta, "doc_id", subject=[]).count() == 0
+
+
+def test_long_redirects_and_deep_trees(spark):
+    chain = [(i, f"T{i}", None if i == 0 else f"T{i - 1}") for i in range(13)] + [(20, "A", "B"), (21, "B", "A"), (22, "C", "b"), (30, "D", "E"), (31, "E", None), (32, "F", "d")]
+    pages = spark.createDataFrame(chain, "page_id long, title string, target string")
+    got = {r.page_id: r.resolved for r in graph.resolve_redirects(pages).collect()}
+    want = {i: 0 if 0 < i <= 10 else None for i in range(13)} | {20: None, 21: None, 22: None, 30: 31, 31: None, 32: 31}
+    assert got == want
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id long, parent long")
+    rows = graph.tree_closure(deep, "id", "parent").collect()
+    assert len(rows) == 150 * 151 // 2 and all(r.id - r.ancestor == r.depth for r in rows)
+    with pytest.raises(ValueError):
+        graph.tree_closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), "id", "parent")
+
+
+def test_taxonomy(spark):
+    codes = spark.createDataFrame([("math.CO",), ("math.AG",), ("hep-th",), ("math.CO",), (None,), ("cs",), ("cs.LG",)], "code string")
+    assert {r.parent: r.children for r in graph.taxonomy(codes, "code").collect()} == {"math": ["math.AG", "math.CO"], "hep-th": [], "cs": ["cs.LG"]}
+
+
 def test_reindex(spark):
     from corpusloom.functions import chunking
 
