@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, markup, stemming
@@ -12,28 +10,8 @@ from ..functions import text as T
 from ..functions.vector import l2
 from ..operators import graph, index, listing, merge, quality, retrieve, search
 from ..streaming import incremental
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(oracle: str | None = None):
-    """Register a query over named tables: ``@query(sql) def name(t)`` with ``t("orders")``."""
-
-    def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda name: table(spark, sf_dir, name))
-
-        QUERIES[fn.__name__] = run
-        if oracle:
-            ORACLE_SQL[fn.__name__] = oracle
-        return fn
-
-    return register
+from . import functions, pages  # noqa: F401  they register theirs
+from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 
 # ---- listing ----------------------------------------------------------------------------------
@@ -155,18 +133,17 @@ def union_all_branches(t):
 def counts_with_examples(t):
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     kind = F.when(F.col("l_quantity") < 10, "small").otherwise("large")
-    # The three smallest per group from a bounded aggregate, not from a list of all rows.
+    # A group's three smallest keys: the smallest, and those of what is left in windows that keep three rows of each task.
     rows = t("lineitem").select(F.col("l_shipdate").isNotNull().alias("dated"), kind.alias("action"), key.alias("k"))
-    first = rows.groupBy("dated", "action").agg(F.count("*").alias("n"), F.min("k").alias("a"))
-    second = rows.join(F.broadcast(first), ["dated", "action"]).filter("k > a").groupBy("dated", "action").agg(F.min("k").alias("b"))
-    third = rows.join(F.broadcast(second), ["dated", "action"]).filter("k > b").groupBy("dated", "action").agg(F.min("k").alias("c"))
-    out = first.join(second, ["dated", "action"], "left").join(third, ["dated", "action"], "left")
-    return out.select("dated", "action", "n", F.concat(F.lit("["), F.concat_ws(", ", "a", "b", "c"), F.lit("]")).alias("examples"))
+    order = Window.partitionBy("dated", "action").orderBy("k")
+    first = rows.withColumn("place", F.row_number().over(order)).filter("place <= 3").groupBy("dated", "action").agg(F.array_sort(F.collect_list("k")).alias("examples"))
+    n = rows.groupBy("dated", "action").agg(F.count("*").alias("n"))
+    return n.join(first, ["dated", "action"]).select("dated", "action", "n", F.concat(F.lit("["), F.array_join("examples", ", "), F.lit("]")).alias("examples"))
 
 
 # ---- upserts ----------------------------------------------------------------------------------
 
-_HALVES = """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, year(o_orderdate) AS version FROM orders WHERE o_orderkey % 3 != 0),
+_HALVES = """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, year(o_orderdate) AS version FROM orders WHERE o_orderkey % 3 != 0 OR o_orderkey % 2 = 1),
 n AS (SELECT o_orderkey AS id, o_totalprice + 1 AS price, CASE WHEN o_orderkey % 4 = 0 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END AS version, o_orderkey % 7 AS seq
       FROM orders WHERE o_orderkey % 2 = 0) """
 
@@ -174,7 +151,7 @@ n AS (SELECT o_orderkey AS id, o_totalprice + 1 AS price, CASE WHEN o_orderkey %
 def _halves(t):
     """An old and a new table out of orders, which overlap."""
     k, year = F.col("o_orderkey"), F.year("o_orderdate").cast("long")
-    old = t("orders").filter(k % 3 != 0).select(k.alias("id"), F.col("o_totalprice").alias("price"), year.alias("version"))
+    old = t("orders").filter((k % 3 != 0) | (k % 2 == 1)).select(k.alias("id"), F.col("o_totalprice").alias("price"), year.alias("version"))
     new = t("orders").filter(k % 2 == 0).select(k.alias("id"), (F.col("o_totalprice") + 1).alias("price"), F.when(k % 4 == 0, year).otherwise(year + 1).alias("version"))
     return old, new
 
@@ -287,8 +264,8 @@ def chunk_stats(t):
     """Invariants of chunking: no chunk beyond the cap, none with words that its document lacks, no document lost."""
     cut = chunking.chunks(t("documents"), "text", chunking.DENSE)
     per_doc = cut.groupBy("doc_id").agg(F.count(F.when(F.col("text_length") > chunking.DENSE.cap, 1)).alias("over"), F.count("*").alias("n"))
-    first = cut.filter("chunk_index = 0").join(t("documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("clean")), "doc_id")
-    lacking = first.filter(~F.col("clean").contains(F.col("text"))).agg(F.count("*").cast("int").alias("not_in_text"))
+    every = cut.join(t("documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("clean")), "doc_id")
+    lacking = every.filter(~F.col("clean").contains(F.col("text"))).agg(F.count("*").cast("int").alias("not_in_text"))
     return per_doc.agg(F.sum("over").cast("int").alias("over_cap"), F.count("*").alias("documents")).crossJoin(lacking)
 
 
@@ -353,7 +330,7 @@ def bm25_scores(t):
 
 @query(ORACLE_SQL["bm25_scores"] + " ORDER BY score, doc_id LIMIT 20")
 def bm25_topk(t):
-    postings, lengths = search.index_documents(t("documents"), "doc_id", search.document_tokens(F.col("text")))
+    postings, lengths = search.index_documents(t("documents"), "doc_id", search.document_tokens(F.col("text")), ["license", "the"])
     hits = search.bm25(postings, lengths, ["license", "the"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
     return hits.orderBy("score", "doc_id").limit(20)
 
@@ -366,23 +343,23 @@ def bm25_stemmed(t):
 
 @query(rf"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d WHERE list_contains(w, 'license') AND list_contains(w, 'apache')")
 def fts_and(t):
-    return _words(t).filter(search.match("license apache", {"text": F.col("w")})).select("doc_id")
+    return _words(t).filter(search.has_words(F.col("w"), ["license", "apache"])).select("doc_id")
 
 
 @query(rf"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' general public license ')")
 def fts_phrase(t):
-    return _words(t).filter(search.match('"general public license"', {"text": F.col("w")})).select("doc_id")
+    return _words(t).filter(search.has_phrase(F.col("w"), "general public license")).select("doc_id")
 
 
 @query(rf"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0")
 def fts_prefix(t):
-    return _words(t).filter(search.match("text:licen*", {"text": F.col("w")})).select("doc_id")
+    return _words(t).filter(search.has_prefix(F.col("w"), "licen")).select("doc_id")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d
   WHERE (list_contains(w, 'apache') OR list_contains(w, 'mit')) AND NOT list_contains(w, 'the')""")
 def fts_or_not(t):
-    return _words(t).filter(search.match("(apache OR mit) NOT the", {"text": F.col("w")})).select("doc_id")
+    return _words(t).filter((search.has_words(F.col("w"), ["apache"]) | search.has_words(F.col("w"), ["mit"])) & ~search.has_words(F.col("w"), ["the"])).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'apache lic')")
