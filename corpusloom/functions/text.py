@@ -209,7 +209,7 @@ def mirror_path(number: Column) -> Column:
 def human_size(n: Column) -> Column:
     step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).when(n < 1024**4, 3).otherwise(4)
     unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), step + 1)
-    return F.concat(F.format_number(n / F.pow(F.lit(1024.0), step), 1), F.lit(" "), unit)
+    return F.concat(F.replace(F.format_number(n / F.pow(F.lit(1024.0), step), 1), F.lit(","), F.lit("")), F.lit(" "), unit)
 
 
 def place_sentence(name: Column, feature: Column, country: Column, lat: Column, lon: Column, population: Column, timezone: Column) -> Column:
