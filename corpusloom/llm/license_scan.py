@@ -1,9 +1,9 @@
 """License scans: MinHash bands over text windows retrieve templates, exact containment verifies them.
 
 Words are runs of letters and digits, A-Z lower-cased.  Templates fall into
-size classes by powers of two; a text is cut into overlapping windows of twice
-the class's largest template, half a window apart, so that any copy of a
-template lies whole in one window.  The bands' number follows from the least
+size classes by powers of two; a text is cut into overlapping windows of three
+times the class's largest template, a third of a window apart, so that any copy
+of a template lies whole in one window, also with as many words put in as it has.  The bands' number follows from the least
 Jaccard similarity that a window with a match can have.
 """
 
@@ -70,7 +70,7 @@ class Index:
             members = [i for i, s in enumerate(self.sets) if len(s).bit_length() == c]
             top = max(len(self.sets[i]) for i in members)
             low = min(len(self.sets[i]) for i in members)
-            width = 2 * top
+            width = 3 * top
             shared = math.ceil(containment * low)
             bands, rows = band_settings(shared / (width + low - shared))
             salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -100,7 +100,7 @@ class Index:
             near = hits[np.isin(h[hits], known)]
             own = text[near]
             number = (near - first[own]) // step
-            open_ = {(int(t), int(w)) for t, n in zip(own.tolist(), number.tolist()) for w in (n - 1, n) if w >= 0}
+            open_ = {(int(t), int(w)) for t, n in zip(own.tolist(), number.tolist()) for w in (n - 2, n - 1, n) if w >= 0}
             for t, w in sorted(open_):
                 a = int(first[t]) + w * step
                 window = np.unique(h[a : min(a + width, int(last[t]))])

@@ -23,6 +23,7 @@ STEMS = (4, 5, 6, 7)
 #: Bounds of the training sample, in documents.
 SAMPLE_TOXIC = 2_000
 SAMPLE_UNLABELLED = 6_000
+#: Bounds of the classifier, which like the sample's are documented parameters: features, and how sure their choice must be.
 FEATURES = 512
 LEAST_DOCS = 5
 LEAST_ERRORS = 4.0
@@ -76,11 +77,18 @@ def _counts(known: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarr
     return out
 
 
+def risk_parts(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The estimated risks on positives and on negatives, from the logits of positives and of unlabelled documents."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
     """Fit on the documents' distinct features by the non-negative risk estimator.
 
     risk = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the
     logistic loss; where the second term is negative, the step undoes it instead.
+    Of all features the ``FEATURES`` that tell the samples apart best are used, in
+    at least ``LEAST_DOCS`` documents and by ``LEAST_ERRORS`` standard errors.
     """
     df = [np.unique(np.concatenate(docs), return_counts=True) for docs in (toxic, unlabelled)]
     known = np.union1d(df[0][0], df[1][0])
@@ -105,7 +113,7 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
     for t in range(1, STEPS + 1):
         zp, zu = xp @ w + b, xu @ w + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        negative = risk_parts(zp, zu, prior)[1]
         gu, gp = sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp)
         if negative >= 0:
             up, uu = -prior * sigmoid(-zp) / len(zp) - gp, gu
