@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+def _doubled(parents: DataFrame) -> DataFrame:
+    """(id, parent, before): each parent replaced by its parent."""
+    above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
+    return parents.select("id", "parent").join(above, "parent").select("id", F.col("grand").alias("parent"), F.col("parent").alias("before"))
+
+
 def roots(parents: DataFrame) -> tuple[DataFrame, int]:
     """(id, parent) with every parent followed to its end, and the number of steps; no chain of parents is a circle.
 
-    Each step doubles the way: a parent is replaced by its parent.
+    Each step doubles the way twice; where the second doubling moves nobody, all are at their ends.
     """
     steps = 0
     while True:
-        above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        parents = stored(parents.join(above, "parent").select("id", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "cc-jump")
+        twice = _doubled(_doubled(parents)).select("id", "parent", (F.col("parent") != F.col("before")).alias("moved"))
+        parents = stored(twice, "cc-jump")
         steps += 1
         if parents.filter("moved").isEmpty():
             return parents.select("id", "parent"), steps

@@ -134,7 +134,7 @@ def test_components_of_a_long_chain(spark):
         links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "a long, b long").coalesce(2)
         found, rounds, steps = _components(links)
         assert found.filter("component = 0").count() == found.count() == 10_000
-        assert rounds <= 10 and steps <= 40
+        assert rounds <= 10 and steps <= 20
 
 
 def test_components(spark):
