@@ -58,6 +58,25 @@ def reindex(docs: DataFrame, chunks: DataFrame, meta: DataFrame, chunk: Callable
     )
 
 
+def index_tables(docs: DataFrame, old: dict[str, DataFrame], chunk: Callable[[DataFrame], DataFrame], embed: Callable[[Column, Column], Column], words: Callable[[Column], Column], key: str = "doc_id") -> dict[str, DataFrame]:
+    """chunks, vectors, postings and meta after indexing what changed in ``docs`` (doc_id, title, version, text).
+
+    ``old`` holds the same four, as they are.  Each chunk has an id of document
+    and place, one vector (``embed`` of the document's title and the chunk's text)
+    and the postings of its ``words``; what a document had before goes from all
+    tables alike.  A table of one document replaces that document alone.  Write all
+    four before reading them again; chunks are made once if ``chunk`` stores them.
+    """
+    todo = to_index(docs, old["meta"], key)
+    fresh = chunk(todo).withColumn("chunk_id", F.concat_ws("#", F.col(key).cast("string"), "chunk_index"))
+    named = fresh.join(todo.select(key, "title"), key)
+    terms = fresh.select("chunk_id", key, F.explode(words(F.col("text"))).alias("term")).groupBy("term", "chunk_id", key).agg(F.count("*").alias("tf"))
+    counted = fresh.groupBy(key).agg(F.count("*").alias("chunk_count"))
+    meta = todo.select(key, "version", "title").join(counted, key).withColumn("indexed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    new = {"chunks": fresh, "vectors": named.select("chunk_id", key, embed(F.col("title"), F.col("text")).alias("embedding")), "postings": terms, "meta": meta}
+    return {name: delete_docs(old[name], todo, key).unionByName(rows, allowMissingColumns=True) for name, rows in new.items()}
+
+
 def reading_order(chunks: DataFrame, doc_id, key: str = "doc_id") -> DataFrame:
     """One document's chunks from first to last."""
     return chunks.filter(F.col(key) == doc_id).orderBy("chunk_index")

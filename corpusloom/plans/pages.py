@@ -356,3 +356,30 @@ def regulation_records(t):
 def code_records(t):
     xml = F.concat(F.lit('<uslm xmlns="http://x/uslm"><main><section><num>§ 1.</num> <heading>'), "n_name", F.lit("</heading><content>  Whole <b>text</b></content></section><section> </section></main></uslm>"))
     return archives.code_sections(t("nation").select(F.col("n_nationkey").alias("title_num"), xml.alias("xml")), ["title_num"], "xml")
+
+
+@query("""SELECT 0::BIGINT AS without_vector, 0::BIGINT AS without_postings, count(*) AS documents, count(CASE WHEN conv_id % 3 = 0 THEN 1 END) AS second_version FROM conversations WHERE trim(coalesce(text, '')) != ''""")
+def index_tables_kept(t):
+    """An index of half the turns, then of all with some changed: every chunk has its vector and its postings, and no old ones."""
+    from ..functions import chunking
+    from ..functions.vector import hashed_embedding
+    from ..sources.scratch import written
+
+    turns = t("conversations")
+    spark = turns.sparkSession
+    changed = F.col("conv_id") % 3 == 0
+    docs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("title"), F.lit("v1").alias("version"), "text", changed.alias("changed"))
+    empty = {
+        "chunks": "doc_id long, section string, chunk_index int, text string, text_length int, chunk_id string", "vectors": "chunk_id string, doc_id long, embedding array<float>",
+        "postings": "term string, chunk_id string, doc_id long, tf long", "meta": "doc_id long, version string, title string, chunk_count long, indexed_at string",
+    }
+    old = {name: spark.createDataFrame([], schema) for name, schema in empty.items()}
+    cut = lambda d: written(chunking.chunks(d, "text", chunking.Profile(300, 360, 30)), "index-chunks")
+    embed = lambda title, text: hashed_embedding(search.document_tokens(T.embed_input(title, F.lit(""), text)), 8)
+    for part in (docs.filter("doc_id % 2 = 0"), docs.withColumn("version", F.when(F.col("changed"), "v2").otherwise("v1"))):
+        old = {name: written(rows, f"index-{name}") for name, rows in index.index_tables(part.drop("changed"), old, cut, embed, search.document_tokens).items()}
+    lacks = lambda name: F.count(F.when(F.col(name).isNull(), 1)).alias(f"without_{name}")
+    one = lambda name: old[name].groupBy("chunk_id").agg(F.count("*").alias(name.rstrip("s") if name == "vectors" else name))
+    chunks = old["chunks"].select("chunk_id", F.size(search.document_tokens(F.col("text"))).alias("words"))
+    both = chunks.filter("words > 0").join(one("vectors"), "chunk_id", "full").join(one("postings"), "chunk_id", "full").agg(lacks("vector"), lacks("postings"))
+    return both.crossJoin(old["meta"].agg(F.count("*").alias("documents"), F.count(F.when(F.col("version") == "v2", 1)).alias("second_version")))

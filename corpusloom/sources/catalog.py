@@ -28,7 +28,14 @@ SOURCES = (
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "id string, name string, kind string, style string")
+    """The sources with the place where their chunks are searched."""
+    rows = spark.createDataFrame(SOURCES, "id string, name string, kind string, style string")
+    return rows.withColumn("endpoint", F.concat(F.lit("/"), "id", F.lit("/chunks")))
+
+
+def in_step(block: DataFrame, text: str) -> bool:
+    """Whether a page still holds the block that the catalog gives; where not, it has drifted."""
+    return block.filter(F.lit(text).contains(F.col("block"))).count() == 1
 
 
 def markdown_block(catalog: DataFrame) -> DataFrame:

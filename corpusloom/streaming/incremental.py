@@ -14,32 +14,42 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     """Merge files that arrived since the last call into the table at ``target``.
 
     The checkpoint is the watermark: files done before are not read again, and a
-    batch that failed is repeated.  Each batch writes a numbered version and then
-    one pointer, so a repeated batch replaces its own version.
+    batch that failed is repeated.  Each batch writes a numbered version, which
+    counts once it is complete, so a repeated batch replaces its own version.  Then
+    all versions but the batch's own and the one before are deleted.
     """
     def merge(batch: DataFrame, number: int) -> None:
         new = prepare(batch)
         old = current(spark, target, before=number)
         rows = upsert(old, new, keys, order) if old is not None else upsert(new.limit(0), new, keys, order)
         rows.write.mode("overwrite").parquet(f"{target}/v={number}")
+        complete = [v for v in _versions(spark, target) if v < number]
+        for v in complete[:-1]:
+            _path(spark, f"{target}/v={v}")[0].delete(_path(spark, f"{target}/v={v}")[1], True)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of a path's text."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the complete versions, in order."""
+    fs, path = _path(spark, target)
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if fs.exists(_path(spark, f"{target}/{p.getName()}/_SUCCESS")[1]))
+
+
 def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """The latest complete version of an ingested table, or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{target}/v={max(found)}") if found else None
+    found = [v for v in _versions(spark, target) if before is None or v < before]
+    return spark.read.parquet(f"{target}/v={found[-1]}") if found else None
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, value: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
