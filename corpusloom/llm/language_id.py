@@ -26,7 +26,7 @@ SAMPLE_DOCS = 800
 SAMPLE_WINDOWS = 4
 EPOCHS = 12
 #: Languages that are learned: those with the most documents. Others are never predicted.
-LANGUAGES = 1_000
+LANGUAGES = 500
 ACCEPT_ROWS = 512
 MARGIN = 0.12
 UNKNOWN = "und"

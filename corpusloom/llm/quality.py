@@ -125,7 +125,7 @@ def thresholds(ratios: DataFrame) -> DataFrame:
 
     lang = merged("lang").select(F.col("lang").alias("l_lang"), F.col("rows").alias("l_rows"), *(F.col(r).alias(f"l_{r}") for r in RATIOS))
     every = merged().select(*(F.col(r).alias(f"a_{r}") for r in RATIOS))
-    joined = pair.join(F.broadcast(lang), F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every))
+    joined = pair.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every))
     chosen = {r: F.when(F.col("rows") >= MIN_GROUP, F.col(r)).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}")) for r in RATIOS}
     return joined.select("lang", "source", "rows", *(c.alias(n) for n, c in _fences(chosen).items()))
 

@@ -23,6 +23,8 @@ STEMS = (4, 5, 6, 7)
 #: Bounds of the training sample, in documents.
 SAMPLE_TOXIC = 2_000
 SAMPLE_UNLABELLED = 6_000
+#: Distinct features of one document of the sample, those with the smallest hashes: very long ones give no more.
+SAMPLE_FEATURES = 8_000
 #: Bounds of the classifier, which like the sample's are documented parameters: features, and how sure their choice must be.
 FEATURES = 512
 LEAST_DOCS = 5
@@ -132,6 +134,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batch.column(1)):
             text, feature = _features(block)
             pairs = np.unique((text << 32) | feature)
+            first = np.searchsorted(pairs >> 32, np.arange(block.n))
+            pairs = pairs[np.arange(len(pairs)) - first[pairs >> 32] < SAMPLE_FEATURES]
             ends = np.concatenate(([0], np.cumsum(np.bincount(pairs >> 32, minlength=block.n)))).astype(np.int32)
             found = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), found], names=["doc_id", "features"])
