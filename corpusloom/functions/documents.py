@@ -30,10 +30,11 @@ def book_body(c: Column) -> Column:
 
 
 def filing_body(c: Column, form: Column) -> Column:
-    """Text of a filing's main document: the first of its form, else the first."""
-    blocks = F.slice(F.split(c, "(?i)<DOCUMENT>"), 2, 10_000)
+    """Text of a filing's main document: the first of its form, else the first; of a filing without documents what follows its header."""
+    parts = F.split(c, "(?i)<DOCUMENT>")
+    blocks = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     kind = lambda b: F.upper(strip_all(F.regexp_extract(b, r"(?i)<TYPE>([^\r\n<]*)", 1)))
-    chosen = F.coalesce(F.get(F.filter(blocks, lambda b: kind(b) == F.upper(form)), F.lit(0)), F.get(blocks, F.lit(0)), c)
+    chosen = F.coalesce(F.get(F.filter(blocks, lambda b: kind(b) == F.upper(form)), F.lit(0)), F.get(blocks, F.lit(0)), F.regexp_replace(c, r"(?is)\A.*?</(?:SEC|IMS)-HEADER>", ""))
     body = F.regexp_extract(chosen, r"(?is)<TEXT>(.*?)(?:</TEXT>|\z)", 1)
     body = F.when(body != "", body).otherwise(chosen)
     for silent in (r"(?is)<(script|style|ix:header)\b.*?</\1\s*>", r"(?is)<(\w+)[^>]*display:\s*none[^>]*>.*?</\1\s*>"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -91,9 +92,17 @@ def any_of(c: Column, values: Sequence) -> Column | None:
     return c.isin(*values) if values else None
 
 
-def check_page(limit: int, offset: int, sort: str, orders: Mapping, q: str | None = None) -> None:
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
+def check_id(value: str, pattern: str) -> str:
+    """The value, if all of it has the form of its source's ids."""
+    if not re.fullmatch(pattern, value):
+        raise ValueError(f"{value!r} is no id of this kind")
+    return value
+
+
+def check_page(limit: int, offset: int, sort: str, orders: Mapping, q: str | None = None, most: int = MAX_LIMIT) -> None:
+    """ValueError where a page can't be asked for like this; ``most`` is the route's own bound."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be 1 to {most}")
     if offset < 0:
         raise ValueError("offset must not be negative")
     if sort not in orders:

@@ -246,6 +246,17 @@ def wiki_articles(t):
     return t("customer").select("c_custkey", markup.wiki_to_markdown(raw).alias("body"))
 
 
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE c_name || ' plain' END AS body FROM customer")
+def filing_bodies(t):
+    """The document of the asked form, the first where there is none, and a filing without documents."""
+    k = F.col("c_custkey")
+    main = F.concat(F.lit("<DOCUMENT>\n<TYPE>10-K\n<TEXT><p>"), "c_name", F.lit("</p><script>x < y</script><div style='display: none'>hidden</div></TEXT></DOCUMENT>"))
+    other = F.concat(F.lit("<SEC-HEADER>head</SEC-HEADER><DOCUMENT><TYPE>EX-1\n<TEXT>"), "c_mktsegment", F.lit("</TEXT></DOCUMENT>"))
+    old = F.concat(F.lit("<IMS-HEADER>head\n</IMS-HEADER>\n"), "c_name", F.lit("  plain\n"))
+    raw = F.when(k % 3 == 0, F.concat(other, main)).when(k % 3 == 1, other).otherwise(old)
+    return t("customer").select("c_custkey", documents.filing_body(raw, F.lit("10-K")).alias("body"))
+
+
 # ---- readers: files written from the tables and read again ------------------------------------
 
 

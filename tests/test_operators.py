@@ -213,6 +213,14 @@ def test_long_redirects_and_deep_trees(spark):
         graph.tree_closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), "id", "parent")
 
 
+def test_bounds_of_a_route():
+    assert listing.check_id("W123", r"W\d+") == "W123"
+    listing.check_page(1_500, 0, "id", {"id": ()}, most=2_000)
+    for bad in (lambda: listing.check_id("W12x", r"W\d+"), lambda: listing.check_page(201, 0, "id", {"id": ()}), lambda: listing.check_page(5, 0, "relevance", {"relevance": ()})):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_taxonomy(spark):
     codes = spark.createDataFrame([("math.CO",), ("math.AG",), ("hep-th",), ("math.CO",), (None,), ("cs",), ("cs.LG",)], "code string")
     assert {r.parent: r.children for r in graph.taxonomy(codes, "code").collect()} == {"math": ["math.AG", "math.CO"], "hep-th": [], "cs": ["cs.LG"]}
