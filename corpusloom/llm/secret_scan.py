@@ -45,6 +45,17 @@ DICTIONARY = (
     "health history house image import index item label language large last length level library light list load lock machine manager "
     "market member menu message method model month network north note object open order origin"
 ).split()
+
+
+def _any_word(words: list[str]) -> str:
+    """A pattern of all the words, longest first, by their first letters: a place in a text meets few of them."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=len, reverse=True):
+        tails.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(tails.items()))
+
+
+DICTIONARY_WORD = _any_word(DICTIONARY)
 PREFIX = r"(^|[^A-Za-z0-9])(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)[A-Za-z0-9+/_\-]{12}"
 NEAR_SECRET = r"(?i)(pass(word|wd)?|pwd|secret|token|api[ _\-]?key|access[ _\-]?key|auth|credential|bearer)"
 NEAR_HASH = r"(?i)(sha-?[0-9]*|md5|checksum|digest|commit|revision|uuid|guid|etag|version|serial|isbn|order|phone|card|id)[ \t\"':=#(]*$"
@@ -53,16 +64,16 @@ TEST_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|samples?|mocks?|fixtures?|demos?|
 FEATURES = ("length", "digit_share", "upper_share", "other_share", "hex", "distinct_share", "class_changes", "runs", "dictionary", "known_prefix", "test_path", "secret_word_left", "hash_word_left", "assigned", "quoted", "secret_word_right", "by_equals", "wordlike", "vowels", "reference")
 
 
-def candidates(text: Column) -> Column:
+def candidates(found: Column, gaps: Column) -> Column:
     """array<struct<secret, left, right>>: each candidate with the characters next to it, in order.
 
-    The candidate before counts to the left, as the name that a value is assigned to may be one.
+    ``found`` are a text's candidates, ``gaps`` the texts around them.  The candidate
+    before counts to the left, as the name that a value is assigned to may be one.
     """
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    last = F.concat(F.array(F.lit("")), found)
-    between = F.split(text, CANDIDATE, -1)
+    n = F.size(found)
+    last = F.slice(F.concat(F.array(F.lit("")), found), 1, n)
     return F.transform(
-        F.arrays_zip(found.alias("secret"), F.slice(last, 1, F.size(found)).alias("last"), F.slice(between, 1, F.size(found)).alias("before"), F.slice(between, 2, F.size(found)).alias("after")),
+        F.arrays_zip(found.alias("secret"), last.alias("last"), F.slice(gaps, 1, n).alias("before"), F.slice(gaps, 2, n).alias("after")),
         lambda x: F.struct(x["secret"].alias("secret"), F.right(F.concat(x["last"], x["before"]), F.lit(LEFT)).alias("left"), F.left(x["after"], F.lit(RIGHT)).alias("right")),
     )
 
@@ -83,7 +94,7 @@ def features(secret: Column, left: Column, right: Column, path: Column) -> dict[
         (F.length(F.regexp_replace(secret, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])", "|")) - n) / n,
         # Repeated and counting characters.
         (n - F.length(F.regexp_replace(secret, r"(?i)(.)\1{2,}|0123|1234|2345|3456|4567|5678|6789|abcd|bcde|cdef", ""))) / n,
-        (n - F.length(F.regexp_replace(F.lower(secret), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))) / n,
+        (n - F.length(F.regexp_replace(F.lower(secret), DICTIONARY_WORD, ""))) / n,
         yes(secret.rlike(PREFIX)),
         yes(path.rlike(TEST_PATH)),
         yes(left.rlike(NEAR_SECRET)),
@@ -222,13 +233,23 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def scored(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> tuple[DataFrame, str]:
-    """``docs`` with an array column of struct<secret, score>, null where the text has no candidate; and that column's name."""
-    described, found = _free(docs, "described findings"), _free(docs, "scored findings")
-    listed = F.when(F.col(text).rlike(CANDIDATE), candidates(F.col(text)))
-    features_of = F.transform(listed, lambda x: F.struct(x["secret"].alias("secret"), *(c.alias(n) for n, c in features(x["secret"], x["left"], x["right"], F.coalesce(F.col(path).cast("string"), F.lit(""))).items())))
-    judged = F.expr(f"transform(`{described}`, x -> named_struct('secret', x.secret, 'score', {forest.expression('x.')}))")
-    return docs.withColumn(described, features_of).withColumn(found, judged).drop(described), found
+def scored(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> tuple[DataFrame, str, str]:
+    """``docs`` with two array columns, null where the text has no candidate, and their names: struct<secret, score> of each candidate, and the texts around them.
+
+    Each step is a column of its own, as a later one refers to it more than once:
+    the candidates are looked for once per text, and once more to cut it.
+    """
+    names = [_free(docs, n) for n in ("candidate findings", "finding gaps", "described findings", "scored findings")]
+    found, gaps, described, judged = names
+    c = F.col(text)
+    rows = docs.withColumn(found, F.regexp_extract_all(c, F.lit(CANDIDATE), F.lit(0)))
+    some = F.size(found) > 0
+    rows = rows.withColumn(gaps, F.when(some, F.split(c, CANDIDATE, -1)))
+    source = F.coalesce(F.col(path).cast("string"), F.lit(""))
+    of = F.transform(candidates(F.col(found), F.col(gaps)), lambda x: F.struct(x["secret"].alias("secret"), *(v.alias(n) for n, v in features(x["secret"], x["left"], x["right"], source).items())))
+    rows = rows.withColumn(described, F.when(some, of))
+    score = F.expr(f"transform(`{described}`, x -> named_struct('secret', x.secret, 'score', {forest.expression('x.')}))")
+    return rows.withColumn(judged, score).drop(found, described), judged, gaps
 
 
 def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -239,11 +260,11 @@ def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text:
     empty.  Rows that repeat a key are scanned separately, so their findings
     repeat.  Other columns are not read; an empty table gives no rows.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    rows, found = scored(narrow, forest, "text", "path")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    gaps = F.transform(F.split("text", CANDIDATE, -1), lambda x: F.length(x))
-    each = rows.select("doc_id", "_row", F.posexplode(F.arrays_zip(F.col(found).alias("f"), gaps.alias("gap"))).alias("ordinal", "x")).filter("x.f IS NOT NULL")
+    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path"))
+    rows, found, gaps = scored(narrow, forest, "text", "path")
+    rows = rows.filter(F.col(found).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    sizes = F.transform(gaps, lambda x: F.length(x))
+    each = rows.select("doc_id", "_row", F.posexplode(F.arrays_zip(F.col(found).alias("f"), sizes.alias("gap"))).alias("ordinal", "x")).filter("x.f IS NOT NULL")
     before = Window.partitionBy("_row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("x.f.secret")
     return each.select(
@@ -260,9 +281,9 @@ def secret_findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text:
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``MASK``; other rows and columns as they were."""
     columns = docs.columns
-    rows, found = scored(docs, forest, text, path)
+    rows, found, gaps = scored(docs, forest, text, path)
     kept = F.transform(found, lambda x: F.when(x["score"] >= SCORE, F.lit(MASK)).otherwise(x["secret"]))
     # Each gap is followed by what stands for its candidate; the last gap by nothing.
-    joined = F.array_join(F.zip_with(F.split(F.col(text), CANDIDATE, -1), kept, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, kept, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
     any_ = F.exists(found, lambda x: x["score"] >= SCORE)
     return rows.withColumn(text, F.when(any_, joined).otherwise(F.col(text))).select(*columns)

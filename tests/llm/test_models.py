@@ -321,7 +321,7 @@ def test_secret_forest_on_held_out_findings(spark):
     part = F.pmod(F.xxhash64("secret", "left"), F.lit(4))
     forest = secret_scan.Forest.fit(found.filter(part != 0))
     test = found.filter(part == 0).withColumn("text", F.concat("left", "secret", "right")).withColumn("source", F.col("path"))
-    rows, name = secret_scan.scored(test, forest)
+    rows, name, _ = secret_scan.scored(test, forest)
     one = rows.filter(F.size(name) == 1)
     right = one.select(((F.col(name)[0]["score"] >= 0.5).cast("int") == F.col("label")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.95

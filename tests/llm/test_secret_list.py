@@ -83,7 +83,7 @@ def test_every_made_secret_is_a_candidate(spark, forest):
     from pyspark.sql import functions as F
 
     made = secret_scan.labelled_findings(spark, 3000).filter("label = 1").withColumns({"text": F.concat("left", "secret", "right"), "source": F.col("path")})
-    found, name = secret_scan.scored(made, forest)
+    found, name, _ = secret_scan.scored(made, forest)
     rows = found.select("secret", F.coalesce(F.transform(name, lambda x: x["secret"]), F.array().cast("array<string>")).alias("found"), F.coalesce(F.exists(name, lambda x: (x["secret"] == F.col("secret")) & (x["score"] >= 0.5)), F.lit(False)).alias("hit"))
     rows = rows.collect()
     assert len(rows) > 800 and all(r.secret in r.found for r in rows), [r for r in rows if r.secret not in r.found][:5]
