@@ -188,6 +188,30 @@ def acts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     return _records(df, keys, content, _act, "kind string, number string, short_title string, long_title string, in_force string, amended string")
 
 
+def _contents(root: ElementTree.Element) -> Iterator[tuple]:
+    child = lambda e, name: next((x for x in e if _local(x.tag) == name), None) if e is not None else None
+    meta, content = child(root, "metadata"), child(root, "content")
+    book = [_text(child(meta, name)) for name in ("title", "uuid", "slug")]
+    license_ = child(meta, "license")
+    book.append(_text(license_) or (license_.get("url", "") if license_ is not None else ""))
+    chapter = place = 0
+    for e in content if content is not None else ():
+        inside = [x.get("document") for x in e.iter() if _local(x.tag) == "module" and x.get("document")]
+        number = title = None
+        if _local(e.tag) == "subcollection":
+            chapter += 1
+            named = child(e, "title")
+            number, title = chapter, _text(named if named is not None else child(child(e, "metadata"), "title"))
+        for name in inside:
+            yield *book, number, title, name, place
+            place += 1
+
+
+def book_contents(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """The modules of textbooks in order, with their numbered chapters; modules outside of chapters have none."""
+    return _records(df, keys, content, _contents, "book_title string, uuid string, slug string, license string, chapter_number int, chapter_title string, module_id string, place int")
+
+
 # ---- library records --------------------------------------------------------------------------
 
 

@@ -1,0 +1,76 @@
+"""Formulas, modules and tables of contents of textbooks."""
+
+from xml.etree import ElementTree
+
+from corpusloom.functions import textbook
+from corpusloom.sources import archives
+
+M = 'xmlns:m="http://www.w3.org/1998/Math/MathML"'
+
+
+def tex(inner):
+    return textbook.tex(ElementTree.fromstring(f'<math xmlns="http://www.w3.org/1998/Math/MathML">{inner}</math>')).strip()
+
+
+def test_formulas():
+    cases = {
+        "<mi>x</mi><mo>=</mo><mn>2</mn>": "x=2",
+        "<mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mi>b</mi></mfrac>": r"\frac{a+1}{b}",
+        "<msup><mi>x</mi><mn>2</mn></msup><msub><mi>v</mi><mi>max</mi></msub>": r"x^{2}v_{\max}",
+        "<msubsup><mi>a</mi><mi>i</mi><mn>2</mn></msubsup>": "a_{i}^{2}",
+        "<msup><mrow><mo>(</mo><mi>x</mi><mo>)</mo></mrow><mn>2</mn></msup>": "{(x)}^{2}",
+        "<msqrt><mi>x</mi></msqrt><mroot><mi>y</mi><mn>3</mn></mroot>": r"\sqrt{x}\sqrt[3]{y}",
+        "<mover><mi>v</mi><mo>→</mo></mover><mover><mi>x</mi><mo>¯</mo></mover>": r"\vec{v}\overline{x}",
+        "<munderover><mo>∑</mo><mi>i</mi><mi>n</mi></munderover>": r"\sum_{i}^{n}",
+        '<mfenced open="[" close="]"><mi>a</mi><mi>b</mi></mfenced>': r"\left[a,b\right]",
+        "<mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd><mtd><mn>4</mn></mtd></mtr></mtable>": r"\begin{matrix}1 & 2 \\ 3 & 4\end{matrix}",
+        "<mi>sin</mi><mi>θ</mi><mo>≤</mo><mtext>some text</mtext>": r"\sin \theta \le \text{some text}",
+    }
+    for inner, want in cases.items():
+        assert tex(inner) == want, inner
+
+
+MODULE = f"""<document xmlns="http://cnx" {M} xmlns:md="http://md"><title>Rates of <emphasis>change</emphasis></title>
+<metadata><md:title>Other</md:title><md:abstract><list><item>Find  rates</item><item>Use them</item></list></md:abstract></metadata>
+<content><para>The rate <m:math><m:mi>v</m:mi></m:math> is<newline/>here.</para>
+<section><title>One</title><para>Text <m:math/></para><section><title>Two</title><list><item>a</item><item>b</item></list></section></section>
+<equation>where <m:math><m:mi>x</m:mi><m:mo>=</m:mo><m:mn>1</m:mn></m:math> holds</equation>
+<figure><media alt="A [red] box"><image src="../../media/box.jpg"/></media><label>no</label></figure>
+<table><tgroup><tbody><row><entry>1</entry><entry>2</entry></row></tbody></tgroup></table></content></document>"""
+BODY = r"""The rate \(v\) is
+here.
+
+## One
+
+Text
+
+### Two
+
+- a
+- b
+where
+
+\[x=1\]
+
+holds
+
+![A red box](box.jpg)
+
+1 | 2"""
+
+
+def test_modules(spark):
+    assert textbook.module(MODULE) == {"title": "Rates of change", "objectives": "Find rates\nUse them", "body": BODY}
+    assert textbook.module("<broken") is None and textbook.module(None) is None
+    assert textbook.module('<d><metadata><title>T</title><abstract>Just  prose</abstract></metadata></d>') == {"title": "T", "objectives": "Just prose", "body": ""}
+    rows = spark.createDataFrame([(1, MODULE), (2, None)], "id long, xml string").select("id", textbook.module_markdown("xml").alias("m")).select("id", "m.*").collect()
+    assert {r.id: r.title for r in rows} == {1: "Rates of change", 2: None}
+
+
+def test_book_contents(spark):
+    xml = """<c:collection xmlns:c="http://c" xmlns:md="http://md"><c:metadata><md:title>Book</md:title><md:slug>book</md:slug><md:license url="http://by"/></c:metadata><c:content>
+      <c:module document="m0"/><c:subcollection><md:title>First</md:title><c:content><c:module document="m1"/><c:subcollection><c:content><c:module document="m2"/></c:content></c:subcollection></c:content></c:subcollection>
+      <c:subcollection><c:metadata><md:title>Second</md:title></c:metadata><c:content><c:module document="m3"/><c:module/></c:content></c:subcollection></c:content></c:collection>"""
+    rows = archives.book_contents(spark.createDataFrame([("b", xml)], "book string, xml string"), ["book"], "xml").orderBy("place").collect()
+    assert [(r.chapter_number, r.chapter_title, r.module_id) for r in rows] == [(None, None, "m0"), (1, "First", "m1"), (1, "First", "m2"), (2, "Second", "m3")]
+    assert (rows[0].book_title, rows[0].slug, rows[0].license, rows[0].uuid) == ("Book", "book", "http://by", "")
