@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import builders, markup, textbook
+from ..functions import acts, builders, markup, textbook
 from ..functions import text as T
 from ..operators import graph, index, listing, merge, retrieve, routes, search
 from ..sources import archives
@@ -414,3 +414,9 @@ def act_records(t):
 def paper_pages(t):
     html = F.concat(F.lit('<body><nav>menu</nav><article class="ltx_document"><h1>Title</h1><h6 class="ltx_title_abstract">Abstract</h6><p>'), "c_name", F.lit(' has <math alttext="x^2"/>.</p><ul><li>'), "c_mktsegment", F.lit('</li><li><cite>[<a href="#b1">1</a>]</cite></li></ul></article></body>'))
     return t("customer").select("c_custkey", markup.paper_to_markdown(html).alias("markdown"))
+
+
+@query("""SELECT n_nationkey, '## Part' || chr(10) || chr(10) || '### 1 — ' || n_name || chr(10) || chr(10) || '**(2)** In **' || n_name || '**' || chr(10) || chr(10) || '- **(a)** item ' || n_regionkey AS body FROM nation""")
+def act_bodies(t):
+    xml = F.concat(F.lit('<Statute><Body><Heading level="1"><TitleText>Part</TitleText></Heading><Section><Label>1</Label><MarginalNote>'), "n_name", F.lit("</MarginalNote><Subsection><Label>(2)</Label><Text>In <DefinedTermEn>"), "n_name", F.lit("</DefinedTermEn></Text><Paragraph><Label>(a)</Label><Text>item "), "n_regionkey", F.lit("</Text></Paragraph></Subsection></Section></Body></Statute>"))
+    return t("nation").select("n_nationkey", acts.act_to_markdown(xml).alias("body"))

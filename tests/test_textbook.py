@@ -74,3 +74,24 @@ def test_book_contents(spark):
     rows = archives.book_contents(spark.createDataFrame([("b", xml)], "book string, xml string"), ["book"], "xml").orderBy("place").collect()
     assert [(r.chapter_number, r.chapter_title, r.module_id) for r in rows] == [(None, None, "m0"), (1, "First", "m1"), (1, "First", "m2"), (2, "Second", "m3")]
     assert (rows[0].book_title, rows[0].slug, rows[0].license, rows[0].uuid) == ("Book", "book", "http://by", "")
+
+
+def test_acts():
+    from corpusloom.functions.acts import act_markdown
+
+    xml = """<Statute><Identification><ShortTitle>X</ShortTitle></Identification><Body>
+    <Heading level="2"><TitleText>General</TitleText></Heading>
+    <Section><MarginalNote>Short <b>title</b></MarginalNote><Label>1</Label><Text>This is the <Emphasis>Act</Emphasis>  here.</Text>
+      <Subsection><Label>(2)</Label><MarginalNote>Terms</MarginalNote><Text>In this Act,</Text>
+        <Definition><Text><DefinedTermEn>bank</DefinedTermEn> means x<Sup>2</Sup></Text></Definition>
+        <Paragraph><Label>(a)</Label><Text>one</Text><Subparagraph><Label>(i)</Label><Text>sub</Text><Clause><Text>deep</Text></Clause></Subparagraph></Paragraph>
+        <Repealed>[gone]</Repealed></Subsection></Section>
+    <Section><Label>2</Label><Repealed/></Section>
+    <TableGroup><table><tgroup><thead><row><entry>a</entry><entry>b</entry></row></thead><tbody><row><entry>1</entry><entry>2</entry></row></tbody></tgroup></table></TableGroup>
+    <FormulaGroup><Formula><FormulaText>A</FormulaText><FormulaConnector>×</FormulaConnector><FormulaTerm>B</FormulaTerm></Formula></FormulaGroup>
+    <Note><Text>quoted</Text></Note></Body></Statute>"""
+    assert act_markdown(xml) == (
+        "### General\n\n### 1 — Short\n\nThis is the **Act** here.\n\n**(2)** *Terms* In this Act,\n\n- **bank** means x^2\n\n- **(a)** one\n  - **(i)** sub\n    - deep\n\n[Repealed]\n\n"
+        "### 2\n\n[Repealed]\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\nA × B\n\n> quoted"
+    )
+    assert act_markdown("<a>") is None and act_markdown("<Act/>") == ""
