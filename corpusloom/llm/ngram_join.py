@@ -170,42 +170,48 @@ def _emit_prefixes(k: int, percent: int, sketch):
     return run
 
 
-_STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl"]
+_STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl", "more"]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, part and class: each list's first class (a) with every class (b), itself included.
+    """Of rows sorted by token, part and class: each list's first class (a) with every other class (b).
 
-    A list that is a token's only part and has only one class gives no row.  Rows
-    stream; of a list only its first class and its latest row are held.
+    ``more``: the token has three classes or more, as far as its list tells; then
+    the first class has a row with itself, too.  A list that is a token's only part
+    and has only one class gives no row.  Rows stream; of a list only its first
+    class and its latest row are held.
     """
     lead: np.ndarray | None = None  # the current list's first row: token, part, k1, k2, nl
-    last: np.ndarray | None = None  # the latest distinct row, given out already
-    place = 0  # of that row in its list
+    held: np.ndarray | None = None  # the latest distinct row, not given out yet
+    place = 0  # of the held row in its list
+
+    def give(rows: np.ndarray, leads: np.ndarray, places: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
+        several = rows[1] >> 32 > 1  # parts of the token
+        more = several | (places > 1) | ~last
+        out, own = (places > 0) | several, (places == 1) & ~several & more
+        a, b = np.concatenate((leads[:, own], leads[:, out]), axis=1), np.concatenate((leads[:, own], rows[:, out]), axis=1)
+        columns = [pa.array(np.ascontiguousarray(c)) for c in (b[0], *a[2:], *b[2:])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate((more[own], more[out])))], names=_STAR) if b.shape[1] else None
 
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
-        old = int(last is not None)
-        if old:
-            rows = np.concatenate((last, rows), axis=1)
+        if held is not None:
+            rows = np.concatenate((held, rows), axis=1)
         rows = rows[:, np.append(True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0))]
         n = rows.shape[1]
         if not n:
             continue
-        first = np.append(not place, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+        first = np.append(held is None or place == 0, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
         at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
         leads = rows[:, np.maximum(at, 0)]
         if lead is not None:
             leads[:, at < 0] = lead
         places = np.where(at >= 0, np.arange(n) - at, np.arange(n) + place)
-        fresh = np.arange(n) >= old
-        several = rows[1] >> 32 > 1  # parts of the token
-        b, a = rows[:, fresh & ((places > 0) | several)], leads[:, fresh & ((places > 0) | several)]
-        own = leads[:, fresh & (places == 1) & ~several]  # a first row goes out once a second follows
-        a, b = np.concatenate((own, a), axis=1), np.concatenate((own, b), axis=1)
-        if b.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (b[0], *a[2:], *b[2:])], names=_STAR)
-        last, place, lead = rows[:, -1:], int(places[-1]), leads[:, -1:]
+        if (part := give(rows[:, :-1], leads[:, :-1], places[:-1], first[1:])) is not None:
+            yield part
+        held, place, lead = rows[:, -1:], int(places[-1]), leads[:, -1:]
+    if held is not None and (part := give(held, lead, np.array([place]), np.array([True]))) is not None:
+        yield part
 
 
 def _linked(x: Column, y: Column, both: Column, percent: int) -> Column:
@@ -276,19 +282,20 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
 
     sketch = spark.sparkContext.broadcast(_count_sketch(summary))
     prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), ", ".join(f"{c} long" for c in _PREFIX))
-    stars = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} long" for c in _STAR))
+    stars = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in _STAR))
     stars = stored(stars, "ngram-stars")
     n_of, l_of = (lambda c: F.shiftright(c, 8)), (lambda c: F.col(c).bitwiseAND(255))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     # Each posting list's first class against its others.
-    star = (
+    pairs = (
         stars.filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
         .filter(fits(n_of("anl"), n_of("bnl")))
         .groupBy("a1", "a2", "b1", "b2")
-        .agg(F.count("*").alias("both"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
-        .filter("both >= l")
+        .agg(F.count("*").alias("both"), F.count_if(~F.col("more")).alias("alone"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
     )
+    pairs = stored(pairs.filter("both >= l OR alone > 0"), "ngram-pairs")
+    star = pairs.filter("both >= l")
     wide = stored(classes.filter(F.size("wide") > 0).select("id", "size", "wide"), "ngram-wide")
     own = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     near = star.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).filter(_close_enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
@@ -296,11 +303,18 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     part = connected_components(links)
 
     # Then the others, where they aren't connected yet: a pair that links shares l prefix shingles, so it turns up
-    # l times or more in the lists of all classes.
+    # l times or more in lists of three classes and more and in lists of the two alone.
     nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", F.coalesce("component", "id").alias("part"))
-    placed = stars.join(nodes, ["b1", "b2"]).select("token", "id", n_of("bnl").alias("n"), l_of("bnl").alias("l"), "part")
+    placed = stars.filter("more").join(nodes, ["b1", "b2"]).select("token", "id", n_of("bnl").alias("n"), l_of("bnl").alias("l"), "part")
     placed = stored(_open(placed).join(classes.select("id", "parity"), "id"), "ngram-placed")
-    several = lambda pairs: pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("l").alias("l")).filter("both >= l").select("a", "b")
+    key = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c))
+    alone = pairs.filter("both < l").join(key("x"), [F.col("a1") == F.col("x1"), F.col("a2") == F.col("x2")]).join(key("y"), [F.col("b1") == F.col("y1"), F.col("b2") == F.col("y2")])
+    alone = stored(alone.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "alone"), "ngram-alone")
+
+    def several(found: DataFrame) -> DataFrame:
+        counted = found.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("l").alias("l")).join(alone, ["a", "b"], "left")
+        return counted.filter(F.col("both") + F.coalesce("alone", F.lit(0)) >= F.col("l")).select("a", "b")
+
     close = lambda x, y: fits(F.col(f"{x}n"), F.col(f"{y}n")) & _close_enough(F.col(f"{x}parity"), F.col(f"{y}parity"), F.col(f"{x}n"), F.col(f"{y}n"), percent)
     pair = lambda x, y: (F.least(f"{x}id", f"{y}id").alias("a"), F.greatest(f"{x}id", f"{y}id").alias("b"), F.least(f"{x}l", f"{y}l").alias("l"))
     # A near copy's original shares more shingles than any other copy: the member with the most postings is tried next.
