@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import one_of_each, stored, text_hash
+from .shared import HOT_SHARE, join_groups, one_of_each, stored, text_hash
 
 PREFIX_CHARS = 128
-#: Groups with this share of all rows or more are sent round, so there are at most 1 / HOT_SHARE of them; no other group is large.
-HOT_SHARE = 1e-4
 
 
 def normalised(text: Column) -> Column:
@@ -57,9 +55,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_sh
     """
     narrow = stored(narrow_rows(docs, key, text), "dedup-narrow")
     groups = stored(exact_groups(narrow), "dedup-groups")
-    least = max(2, int(narrow.count() * hot_share))
-    hot, others = F.broadcast(groups.filter(F.col("group_size") >= least)), groups.filter(F.col("group_size") < least)
-    members = narrow.join(hot, "digest").unionByName(narrow.join(hot, "digest", "left_anti").join(others, "digest", "left"), allowMissingColumns=False)
+    members = join_groups(narrow, groups, "digest", "group_size", narrow.count(), "left", hot_share)
     keep = F.coalesce("keep_id", "doc_id")
     return members.select(
         "doc_id",
@@ -77,6 +73,7 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows with a null key stay where no other row has their text.
     """
     narrow = stored(narrow_rows(docs, key, text), "dedup-narrow")
-    groups = exact_groups(narrow).select("digest")
-    # Members of groups only, by partial sums of rows that repeat key and text.
-    return one_of_each(docs, narrow.select("doc_id", "row", "digest").join(stored(groups, "dedup-groups"), "digest", "left_semi"), "digest", key, text)
+    groups = stored(exact_groups(narrow).select("digest", "group_size"), "dedup-groups")
+    # Members of groups only; one_of_each sums rows that repeat key and text before it moves them.
+    members = join_groups(narrow.select("doc_id", "row", "digest"), groups, "digest", "group_size", narrow.count())
+    return one_of_each(docs, members.select("doc_id", "row", "digest"), "digest", key, text)

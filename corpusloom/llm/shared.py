@@ -63,6 +63,21 @@ def discarding(spark: SparkSession) -> Iterator[None]:
 BROADCAST_KEYS = 1_000_000
 
 
+#: Groups with this share of all rows or more are sent round, so there are at most 1 / HOT_SHARE of them; no other group is large.
+HOT_SHARE = 1e-4
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, others: str = "inner", hot_share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with their ``groups`` (one row each, with their ``size`` in rows), no task getting a large group.
+
+    Groups of ``hot_share`` of the ``total`` or more are broadcast; the rows of the
+    others are joined as ``others`` says (left: rows without a group stay).
+    """
+    least = max(2, int(total * hot_share))
+    hot, few = F.broadcast(groups.filter(F.col(size) >= least)), groups.filter(F.col(size) < least)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(few, on, others))
+
+
 def text_hash(text: Column) -> Column:
     """With the key, what identifies a row: keys may repeat or be null."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
@@ -79,8 +94,9 @@ def one_of_each(docs: DataFrame, members: DataFrame, group: str, key: str = "doc
     pairs = stored(pairs, "group-rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # A group's first is found by partial minima and joined back to pairs, not to rows.
-    first = pairs.groupBy(F.col(group).alias("of")).agg(F.min(place).alias("first"), F.count("*").alias("pairs"), F.max("times").alias("most")).filter("pairs > 1 OR most > 1")
-    judged = pairs.join(first, F.col(group) == F.col("of")).select("doc_id", "row", "times", (place == F.col("first")).alias("stays"))
+    first = pairs.groupBy(group).agg(F.min(place).alias("first"), F.count("*").alias("pairs"), F.max("times").alias("most")).filter("pairs > 1 OR most > 1")
+    judged = join_groups(pairs, stored(first, "group-first"), group, "pairs", pairs.count())
+    judged = judged.select("doc_id", "row", "times", (place == F.col("first")).alias("stays"))
     out = stored(judged.filter("NOT stays OR times > 1"), "group-out")
     rows = docs.withColumn(_ROW, text_hash(F.col(text)))
     left = _on_rows(rows, out, key, "left_anti")
