@@ -30,7 +30,7 @@ TREES, DEPTH = 15, 6
 SCORE = 0.5
 MASK = "[SECRET]"
 #: Bound of the labelled findings that train the forest.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 9_000
 
 # Words that made-up, structural or descriptive strings are built from.
 DICTIONARY = (
@@ -184,12 +184,14 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
 
     def of(part: list[int]) -> DataFrame:
         choose = lambda k: F.coalesce(*(F.when(kind == j, x if isinstance(x := kinds[j][k], Column) else F.lit(x)) for j in part))
-        left = choose(1)
+        left = F.col("left")
         right = F.when(left.rlike("://[a-z]+:$"), "@db.host").when(left.endswith("\""), "\" and").when(left.endswith("'"), "',").otherwise(pick("r", " the of", "\n", ".", " und die", " de la"))
         in_test = F.pmod(F.xxhash64(i, F.lit("path")), F.lit(12)) == 0
+        harmless = in_test & (F.pmod(F.xxhash64(i, F.lit("harmless")), F.lit(3)) == 0)
         path = F.when(in_test, pick("tp", "tests/test_api.py", "docs/example.md", "fixtures/data.json")).otherwise(pick("np", "src0", "src7", "web", "src/app.py", "config/prod.env"))
-        rows_of = spark.range(rows).filter(kind.isin(part))
-        return rows_of.select(choose(0).alias("secret"), left.alias("left"), right.alias("right"), path.alias("path"), F.when(in_test & (F.pmod(F.xxhash64(i, F.lit("harmless")), F.lit(3)) == 0), 0).otherwise(choose(2)).alias("label"), kind.alias("kind"))
+        # What is looked at more than once is a column first, so its code is made once.
+        rows_of = spark.range(rows).filter(kind.isin(part)).select("id", choose(0).alias("secret"), choose(1).alias("left"), choose(2).alias("told"))
+        return rows_of.select("secret", "left", right.alias("right"), path.alias("path"), F.when(harmless, 0).otherwise(F.col("told")).alias("label"), kind.alias("kind"))
 
     # A few kinds at a time, so that each part's generated code stays small.
     return reduce(DataFrame.unionAll, [of(list(range(k, min(k + 7, len(kinds))))) for k in range(0, len(kinds), 7)])
