@@ -12,8 +12,9 @@ Documents with equal sets form one class and are joined once.  Candidates are
 searched in steps, so that a large group of near copies doesn't give all its
 pairs: each posting list is first compared with its first member, then with its
 best connected one; at last only pairs in different components are compared, all
-of them.  Every step asks for the l shared prefix shingles.  The first two only
-see some of a pair's lists and so may miss it; the last sees all of them.
+of them.  The first step asks for the l shared prefix shingles; the others don't
+see all of a pair's lists, so there one shared shingle and the signatures decide
+who is verified: counting all lists took three times the disk.
 """
 
 from __future__ import annotations
@@ -176,9 +177,9 @@ _STAR = ["token", "a1", "a2", "anl", "b1", "b2", "bnl", "more"]
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, part and class: each list's first class (a) with every other class (b).
 
-    ``more``: the token has three classes or more, as far as its list tells; then
-    the first class has a row with itself, too.  A list that is a token's only part
-    and has only one class gives no row.  Rows stream; of a list only its first
+    ``more``: the token has three classes or more, or several parts; then each
+    part's first class has a row with itself, too.  A list that is a token's only
+    part and has only one class gives no row.  Rows stream; of a list only its first
     class and its latest row are held.
     """
     lead: np.ndarray | None = None  # the current list's first row: token, part, k1, k2, nl
@@ -188,10 +189,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def give(rows: np.ndarray, leads: np.ndarray, places: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
         several = rows[1] >> 32 > 1  # parts of the token
         more = several | (places > 1) | ~last
-        out, own = (places > 0) | several, (places == 1) & ~several & more
-        a, b = np.concatenate((leads[:, own], leads[:, out]), axis=1), np.concatenate((leads[:, own], rows[:, out]), axis=1)
+        out = (places > 0) | several
+        a, b = leads[:, out], rows[:, out]
         columns = [pa.array(np.ascontiguousarray(c)) for c in (b[0], *a[2:], *b[2:])]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate((more[own], more[out])))], names=_STAR) if b.shape[1] else None
+        return pa.RecordBatch.from_arrays([*columns, pa.array(more[out])], names=_STAR) if b.shape[1] else None
 
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
@@ -288,40 +289,31 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     # Each posting list's first class against its others.
-    pairs = (
+    star = (
         stars.filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
         .filter(fits(n_of("anl"), n_of("bnl")))
         .groupBy("a1", "a2", "b1", "b2")
-        .agg(F.count("*").alias("both"), F.count_if(~F.col("more")).alias("alone"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
+        .agg(F.count("*").alias("both"), F.min(F.least(l_of("anl"), l_of("bnl"))).alias("l"))
+        .filter("both >= l")
     )
-    pairs = stored(pairs.filter("both >= l OR alone > 0"), "ngram-pairs")
-    star = pairs.filter("both >= l")
     wide = stored(classes.filter(F.size("wide") > 0).select("id", "size", "wide"), "ngram-wide")
     own = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     near = star.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).filter(_close_enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
     links = stored(_verify(stored(near.select("a", "b"), "ngram-near"), wide, classes, rows, words, percent), "ngram-links")
     part = connected_components(links)
 
-    # Then the others, where they aren't connected yet: a pair that links shares l prefix shingles, so it turns up
-    # l times or more in lists of three classes and more and in lists of the two alone.
+    # Then the others, where they aren't connected yet. A pair that links shares l prefix shingles: either it is the
+    # first class's pair in all of them and was tried, or it turns up here.
     nodes = classes.join(part, "id", "left").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "id", F.coalesce("component", "id").alias("part"))
-    placed = stars.filter("more").join(nodes, ["b1", "b2"]).select("token", "id", n_of("bnl").alias("n"), l_of("bnl").alias("l"), "part")
+    placed = stars.filter("more").join(nodes, ["b1", "b2"]).select("token", "id", n_of("bnl").alias("n"), "part")
     placed = stored(_open(placed).join(classes.select("id", "parity"), "id"), "ngram-placed")
-    key = lambda c: classes.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c))
-    alone = pairs.filter("both < l").join(key("x"), [F.col("a1") == F.col("x1"), F.col("a2") == F.col("x2")]).join(key("y"), [F.col("b1") == F.col("y1"), F.col("b2") == F.col("y2")])
-    alone = stored(alone.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "alone"), "ngram-alone")
-
-    def several(found: DataFrame) -> DataFrame:
-        counted = found.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("l").alias("l")).join(alone, ["a", "b"], "left")
-        return counted.filter(F.col("both") + F.coalesce("alone", F.lit(0)) >= F.col("l")).select("a", "b")
-
     close = lambda x, y: fits(F.col(f"{x}n"), F.col(f"{y}n")) & _close_enough(F.col(f"{x}parity"), F.col(f"{y}parity"), F.col(f"{x}n"), F.col(f"{y}n"), percent)
-    pair = lambda x, y: (F.least(f"{x}id", f"{y}id").alias("a"), F.greatest(f"{x}id", f"{y}id").alias("b"), F.least(f"{x}l", f"{y}l").alias("l"))
+    pair = lambda x, y: (F.least(f"{x}id", f"{y}id").alias("a"), F.greatest(f"{x}id", f"{y}id").alias("b"))
     # A near copy's original shares more shingles than any other copy: the member with the most postings is tried next.
     weight = placed.groupBy("id").agg(F.count("*").alias("w"))
-    hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "l", "parity", "part"), F.struct("w", "id")).alias("hub"))
-    spokes = placed.join(hub.select("token", *(F.col(f"hub.{c}").alias(f"x_{c}") for c in ("id", "n", "l", "parity", "part"))), "token")
-    spokes = several(spokes.filter((F.col("part") != F.col("x_part")) & close("", "x_")).select(*pair("", "x_")))
+    hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "parity", "part"), F.struct("w", "id")).alias("hub"))
+    spokes = placed.join(hub.select("token", *(F.col(f"hub.{c}").alias(f"x_{c}") for c in ("id", "n", "parity", "part"))), "token")
+    spokes = spokes.filter((F.col("part") != F.col("x_part")) & close("", "x_")).select(*pair("", "x_")).distinct()
     links = links.unionByName(stored(_verify(stored(spokes, "ngram-near"), wide, classes, rows, words, percent), "ngram-links"))
     part = connected_components(links)
     placed = placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
@@ -333,9 +325,9 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     lists = stored(placed.join(main, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")), "ngram-lists")
     # Sets that may link lie in the same or neighbouring bands of sizes, which split the lists.
     bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    outside = lists.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "l", "parity", "part")), bands.alias("band"))
+    outside = lists.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "parity", "part")), bands.alias("band"))
     once = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id")))
-    across = several(outside.join(lists, ["token", "band"]).filter(once & close("", "x_")).select(*pair("", "x_")))
+    across = outside.join(lists, ["token", "band"]).filter(once & close("", "x_")).select(*pair("", "x_")).distinct()
     second = stored(_verify(stored(across, "ngram-near"), wide, classes, rows, words, percent), "ngram-links")
     if not second.isEmpty():
         part = connected_components(links.unionByName(second))
