@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, ngram_join, packing, quality, secret_scan, segment_sampling, suffix_dedup, toxicity
+from . import exact_dedup, language_id, license_scan, lloyd, ngram_join, packing, quality, secret_scan, segment_sampling, suffix_dedup, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,8 +80,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds as one CTE each: assignments a, centroids c."""
+    apart = "list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    assign = lambda i: f"SELECT q.n, min({{'d': {apart}, 'c': c.cluster}}) AS best FROM q, c{i} c GROUP BY q.n"
+    centre = lambda i: f"""SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT cluster, list((s - (((s % k) + k) % k)) // k ORDER BY i) AS v FROM (
+          SELECT best.c AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS k FROM a{i} JOIN q USING (n), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY cluster) m ON m.cluster = c.cluster"""
+    steps = "".join(f", a{i} AS MATERIALIZED ({assign(i)}), c{i + 1} AS MATERIALIZED ({centre(i)})" for i in range(rounds))
+    return f"""WITH q AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x::DOUBLE), false)))),
+      c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INT AS cluster, v FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, 'null')) AS h, v FROM q ORDER BY h, v LIMIT 8))
+      {steps}, e AS MATERIALIZED ({assign(rounds)}), s AS (SELECT best.c AS cluster, sum(best.d)::BIGINT AS cluster_inertia FROM e GROUP BY 1)
+      SELECT q.vec_id, best.c AS cluster, best.d AS distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM s) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+      FROM e JOIN q USING (n) JOIN s ON s.cluster = best.c JOIN c{rounds} c ON c.cluster = best.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -80,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_centroid_clustering": _lloyd_sql(10),
 }
