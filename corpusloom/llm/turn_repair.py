@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +168,13 @@ def _together(keys: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            alone = pc.equal(pc.list_value_length(batch.column("parts")), 1)
+            whole, batch = batch.filter(alone), batch.filter(pc.invert(alone))
+            if len(whole):
+                made = whole.column("parts").flatten()
+                yield pa.RecordBatch.from_arrays([*(whole.column(k) for k in keys), *(made.field(n) for n in _PARTS.names)], names=[*keys, *_PARTS.names])
+            if not len(batch):
+                continue
             parts = []
             for row in batch.column("parts"):
                 chain = [p | {"links": [tuple(x.values()) for x in p["links"]]} for p in row.as_py()]
