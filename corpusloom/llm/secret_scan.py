@@ -19,11 +19,15 @@ _WORD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private)[ _
 _ASSIGNED = r"(?<=[=:>\"'` \t])(?<=[=:>][ \t]{0,16}[\"'`]?)(?<=" + _WORD + r"[\"']?\]?[ \t]{0,16}(?::=|=>|={1,3}|:)[ \t]{0,16}[\"'`]?)"
 # The password of an address: after scheme, user and colon, before the at sign.
 _IN_ADDRESS = r"(?<=:)(?<=://[^\s:@/\"'`<>]{0,40}:)[^\s@/\"'`<>]+(?=@)"
+# Signs end a value only if more of it follows. All loops over groups are possessive, which the engine runs without recursion,
+# so a value may have any length.
+_ON = r"(?![A-Za-z_][A-Za-z0-9_\-]*+[=:])"
+_VALUE = r"(?:(?:[.:)\]}]|[,;]" + _ON + r")*+(?:[^\s\"'`<>&,;.:)\]}]++|&" + _ON + r"))++"
 #: What is assigned to a secret word, of any length and with any signs but spaces, quotes and <>, up to the next assignment;
 #: elsewhere a run of 16 or more key characters. The forest tells words and names from keys.
 CANDIDATE = (
-    _IN_ADDRESS + "|" + _ASSIGNED + r"(?![=:>])(?:[^\s\"'`<>&,;]|[&,;](?![A-Za-z_][A-Za-z0-9_\-]*[=:]))+(?<![.,;:)\]}])"
-    r"|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-=\"']))?"
+    _IN_ADDRESS + "|" + _ASSIGNED + r"(?![=:>])" + _VALUE + "|"
+    r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-=\"']))?"
 )
 LEFT, RIGHT = 40, 24
 TREES, DEPTH = 15, 6
@@ -107,7 +111,7 @@ def features(secret: Column, left: Column, right: Column, path: Column) -> dict[
         (n - F.length(F.regexp_replace(secret, "(?<![A-Za-z])[A-Z]{3,}(?![A-Za-z])|[A-Z]?[a-z]{3,}", ""))) / n,
         share("(?i)[aeiou]"),
         # Variables, calls, attributes and masks, not values.
-        yes(secret.rlike(r"^[$%{\[(]|[({]|^[A-Za-z_]+(\.[A-Za-z_]+)+$|^[*.#xX\-_]+$")),
+        yes(secret.rlike(r"^[$%{\[(]|[({]|^[A-Za-z_]++(?:\.[A-Za-z_]++)++$|^[*.#xX\-_]+$")),
     )
     return dict(zip(FEATURES, values))
 

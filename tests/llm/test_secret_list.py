@@ -88,3 +88,16 @@ def test_every_made_secret_is_a_candidate(spark, forest):
     rows = rows.collect()
     assert len(rows) > 800 and all(r.secret in r.found for r in rows), [r for r in rows if r.secret not in r.found][:5]
     assert sum(r.hit for r in rows) >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("n", [10, 10_000, 1_000_000])
+def test_values_of_any_length(docs, forest, n):
+    """A long value is one candidate; nothing in the patterns recurses once per character."""
+    key = "kQ7zWv2TmYbLx9RcJd4NfHgP"
+    bodies = [(key * (n // 24 + 1))[:n], ("aB3," * n)[:n].rstrip(","), ("q7W;x&" * n)[:n].rstrip(";"), ("a.b" * n)[:n].rstrip("."), ("a:)" * n)[:n].rstrip(":)")]
+    texts = [f"see token={b}\nend" for b in bodies] + [f"postgres://app:{bodies[0]}@db/main", "x " + bodies[0] + "== y", "." * n, "token=" * (n // 6)]
+    found = secret_scan.secret_findings(docs(texts), forest).collect()
+    assert {(r.doc_id, r.start, r.length) for r in found if r.doc_id < 5} == {(i, 10, len(b)) for i, b in enumerate(bodies)}
+    assert {r.doc_id for r in found if r.is_secret} >= {0, 5}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs(texts), forest).collect()}
+    assert masked[0] == "see token=[SECRET]\nend" and masked[5] == "postgres://app:[SECRET]@db/main"
