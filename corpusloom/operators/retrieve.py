@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2, reciprocal_rank
-from .search import sparse_hits
 
 #: Bounds of the numbers that a caller may ask for.
 K_MOST, TOP_MOST, CANDIDATES = 4_096, 100, (10, 200)
@@ -58,11 +57,11 @@ def hydrate(hits: DataFrame, chunks: DataFrame, meta: DataFrame, key: str = "chu
     return chunks.join(F.broadcast(hits.limit(K_MOST)), key).join(meta, doc, "left")
 
 
-def retrieve(query: str, point: Sequence[float] | None, chunks: DataFrame, vectors: DataFrame, meta: DataFrame, words: Column, top_k: int = 20, candidate_k: int = 50, allow: DataFrame | None = None, key: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
+def retrieve(query: str, point: Sequence[float] | None, chunks: DataFrame, vectors: DataFrame, meta: DataFrame, find: Callable[[str, int, DataFrame | None], DataFrame], top_k: int = 20, candidate_k: int = 50, allow: DataFrame | None = None, key: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
     """Hybrid search: the ``top_k`` best chunks with their documents' data, in fused order (column ``rank``).
 
-    ``chunks`` (key, doc, ..), ``vectors`` (key, embedding), ``meta`` (doc, ..),
-    ``words`` the chunks' tokens.  The dense arm is left out where ``point`` is
+    ``chunks`` (key, doc, ..), ``vectors`` (key, embedding), ``meta`` (doc, ..);
+    ``find(query, k, allow)`` is the sparse arm, as :meth:`TextIndex.top`.  The dense arm is left out where ``point`` is
     None (no query vector could be made), which ``used_dense`` tells.  ``allow``
     (key) limits both arms before their top-k; None means no limit, an empty one
     gives nothing, as does a blank query.
@@ -71,7 +70,7 @@ def retrieve(query: str, point: Sequence[float] | None, chunks: DataFrame, vecto
         raise ValueError(f"top_k must be 1 to {TOP_MOST}")
     if not CANDIDATES[0] <= candidate_k <= CANDIDATES[1]:
         raise ValueError(f"candidate_k must be {CANDIDATES[0]} to {CANDIDATES[1]}")
-    sparse = sparse_hits(chunks, key, words, query, candidate_k, allow)
+    sparse = find(query, candidate_k, allow)
     dense = knn(vectors, point, candidate_k, key, allow=allow) if point is not None and query.strip() else None
     best = fused_top(fuse(dense, sparse, key), top_k, key)
     order = Window.orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), key)

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import listing, search
+from ..sources.scratch import written
+from . import listing
 
 
 def list_page(
-    rows: DataFrame, key: str, orders: Mapping[str, Sequence[Column]], default: str, q: str | None = None, words: Column | None = None, clauses: Sequence[Column | None] = (),
+    rows: DataFrame, key: str, orders: Mapping[str, Sequence[Column]], default: str, q: str | None = None, matches: Callable[[str], DataFrame] | None = None, clauses: Sequence[Column | None] = (),
     done: DataFrame | None = None, embedded: bool | None = None, sort: str | None = None, limit: int = 50, offset: int = 0,
 ) -> DataFrame:
     """One page of ``rows`` that meet all ``clauses``, with the exact ``total``.
 
-    ``q`` keeps the rows whose ``words`` hold all of its words, with their
-    ``score`` (as in :func:`search.bm25`; its figures are those of all rows).
+    ``q`` keeps the rows that ``matches`` finds for it, with their ``score``: (key,
+    score) of all rows with its words, as :meth:`TextIndex.matches` gives.  They are
+    written once; page and total are both taken from them.
     ``embedded`` keeps rows that are (or aren't) in ``done``.  Without ``sort`` a
     search is sorted by relevance and a list by ``default``; ties are broken by key.
     """
@@ -27,7 +29,7 @@ def list_page(
     if embedded is not None:
         chosen = listing.embedded(chosen, done, key, embedded)
     if q:
-        chosen = chosen.join(search.bm25_scan(rows, key, words, search.plain_terms(q)), key)
+        chosen = chosen.join(written(matches(q), "route-hits"), key)
     order = [F.col("score")] if sort == "relevance" else list(orders[sort])
     return listing.page(chosen, [*order, F.col(key)], limit, offset)
 

@@ -11,6 +11,7 @@ from ..functions.vector import l2
 from ..operators import graph, index, listing, merge, quality, retrieve, search
 from ..streaming import incremental
 from . import functions, pages  # noqa: F401  they register theirs
+from .indexes import text_index
 from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 
@@ -330,20 +331,23 @@ def bm25_scores(t):
 
 @query(ORACLE_SQL["bm25_scores"] + " ORDER BY score, doc_id LIMIT 20")
 def bm25_topk(t):
-    postings, lengths = search.index_documents(t("documents"), "doc_id", search.document_tokens(F.col("text")), ["license", "the"])
-    hits = search.bm25(postings, lengths, ["license", "the"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    hits = text_index(t("documents")).matches("license the").select("doc_id", F.round("score", 6).alias("score"))
     return hits.orderBy("score", "doc_id").limit(20)
 
 
-@query()
+@query(rf"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+  c AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x IN ('license', 'licensed', 'licenses', 'licensing', 'licens'))) AS f FROM d),
+  s AS (SELECT count(*) AS n, avg(dl) AS a, count(CASE WHEN f > 0 THEN 1 END) AS df FROM c)
+  SELECT doc_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM c, s WHERE f > 0""")
 def bm25_stemmed(t):
-    postings, lengths = search.index_documents(t("documents"), "doc_id", search.document_tokens(F.col("text")))
-    return search.bm25(stemming.stem_postings(postings), lengths, [stemming.stem("licensed")], "doc_id")
+    """A stored index of folded stems; a query's words are stemmed alike."""
+    index = text_index(t("documents"), name="stems", prepared=stemming.stem_postings, stem=lambda w: stemming.stem(stemming.fold(w)))
+    return index.matches("Licensed").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d WHERE list_contains(w, 'license') AND list_contains(w, 'apache')")
 def fts_and(t):
-    return _words(t).filter(search.has_words(F.col("w"), ["license", "apache"])).select("doc_id")
+    return text_index(t("documents")).matches("license apache").select("doc_id")
 
 
 @query(rf"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id FROM d WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' general public license ')")
@@ -395,7 +399,7 @@ def knn_per_query(t):
 
 
 def _hybrid(t, terms=("the", "of"), k: int = 50, top: int = 20):
-    sparse = search.bm25_scan(t("documents"), "doc_id", search.document_tokens(F.col("text")), list(terms)).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id").limit(k)
+    sparse = text_index(t("documents")).matches(" ".join(terms)).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id").limit(k)
     dense = retrieve.knn(t("embeddings").withColumnRenamed("vec_id", "doc_id"), _POINT, k, "doc_id")
     return retrieve.fused_top(retrieve.fuse(dense, sparse, "doc_id"), top, "doc_id")
 
@@ -414,7 +418,7 @@ _RRF_SQL = rf"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 @query(_RRF_SQL)
 def rrf_hybrid(t):
     docs = t("documents").select("doc_id", "source", "n_chars")
-    return docs.join(F.broadcast(_hybrid(t)), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "source", "n_chars")
+    return docs.join(_hybrid(t), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "source", "n_chars")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, source, {_TOKENS} AS w FROM documents),
@@ -422,7 +426,7 @@ def rrf_hybrid(t):
   s AS (SELECT count(*) AS n, avg(dl) AS a, count(CASE WHEN f > 0 THEN 1 END) AS df FROM c)
   SELECT source, round(min(-(ln((n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)))), 6) AS score FROM c, s WHERE f > 0 GROUP BY source""")
 def page_rollup(t):
-    hits = search.bm25_scan(t("documents"), "doc_id", search.document_tokens(F.col("text")), ["license"])
+    hits = text_index(t("documents")).matches("license")
     return search.roll_up(hits.join(t("documents").select("doc_id", "source"), "doc_id"), "source").select("source", F.round("score", 6).alias("score"))
 
 

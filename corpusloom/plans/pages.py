@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import acts, builders, markup, textbook
 from ..functions import text as T
 from ..operators import graph, index, listing, merge, retrieve, routes, search
+from ..operators.textindex import TextIndex
 from ..sources import archives
+from .indexes import once, text_index
 from .registry import query
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '')"
@@ -31,8 +33,10 @@ def _orders():
     return {"longest": [F.desc("n_chars")], "shortest": [F.col("n_chars")], "source": [F.col("source"), F.desc("n_chars")]}
 
 
-def _words():
-    return search.document_tokens(F.col("text"))
+def _chunk_find(t):
+    """The sparse arm over documents that are their own chunks."""
+    index = text_index(t("documents"))
+    return lambda query, k, allow: index.top(query, k, None if allow is None else allow.withColumnRenamed("chunk_id", "doc_id")).withColumnRenamed("doc_id", "chunk_id")
 
 
 @query(f"""WITH {_bm25(['license'])}, r AS (SELECT d.doc_id, source, n_chars, round(score, 6) AS score FROM documents d JOIN b ON b.doc_id = d.doc_id
@@ -41,7 +45,7 @@ def _words():
 def list_search_page(t):
     docs = t("documents")
     clauses = [listing.any_of(F.col("lang"), ["en", "de"]), listing.between(F.col("n_chars"), 200), listing.equals(F.col("source"), None)]
-    found = routes.list_page(docs, "doc_id", _orders(), "longest", "License", _words(), clauses, t("labels"), True, limit=20, offset=1)
+    found = routes.list_page(docs, "doc_id", _orders(), "longest", "License", text_index(docs).matches, clauses, t("labels"), True, limit=20, offset=1)
     return found.select("doc_id", "source", "n_chars", F.round("score", 6).alias("score"), "total")
 
 
@@ -52,7 +56,7 @@ def list_default_sort(t):
 
 @query(f"""WITH {_bm25(['the'])} SELECT d.doc_id, source, n_chars, count(*) OVER () AS total FROM documents d JOIN b ON b.doc_id = d.doc_id ORDER BY source, n_chars DESC, doc_id LIMIT 40 OFFSET 10""")
 def list_search_sorted(t):
-    return routes.list_page(t("documents"), "doc_id", _orders(), "longest", "the", _words(), sort="source", limit=40, offset=10).select("doc_id", "source", "n_chars", "total")
+    return routes.list_page(t("documents"), "doc_id", _orders(), "longest", "the", text_index(t("documents")).matches, sort="source", limit=40, offset=10).select("doc_id", "source", "n_chars", "total")
 
 
 @query("""SELECT 'longest' AS sort, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 5
@@ -71,7 +75,7 @@ def sort_maps(t):
 
 @query(f"WITH {_bm25(['the', 'of'])} SELECT doc_id, round(score, 6) AS score FROM b WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY b.score, doc_id LIMIT 20")
 def sparse_filtered(t):
-    hits = search.sparse_hits(t("documents"), "doc_id", _words(), 'The "of"', 20, t("labels").filter("quality = 1"))
+    hits = text_index(t("documents")).top('The "of"', 20, t("labels").filter("quality = 1"))
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -86,7 +90,7 @@ def retrieve_scoped(t):
     docs = t("documents")
     allow = retrieve.scope(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", lang=["en", "es"], source=[f"src{i}" for i in range(4)])
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "source", "text")
-    hits = retrieve.retrieve("the", _POINT, chunks, t("embeddings").withColumnRenamed("vec_id", "chunk_id"), t("labels"), _words(), allow=allow)
+    hits = retrieve.retrieve("the", _POINT, chunks, t("embeddings").withColumnRenamed("vec_id", "chunk_id"), t("labels"), _chunk_find(t), allow=allow)
     return hits.select("doc_id", F.col("rank").cast("long").alias("rank"), "source", "quality", "used_dense")
 
 
@@ -95,20 +99,23 @@ def retrieve_scoped(t):
 def retrieve_without_vector(t):
     docs = t("documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
-    hits = retrieve.retrieve("of", None, chunks, t("embeddings").withColumnRenamed("vec_id", "chunk_id"), docs.select("doc_id", "lang"), _words(), top_k=10, candidate_k=10)
+    hits = retrieve.retrieve("of", None, chunks, t("embeddings").withColumnRenamed("vec_id", "chunk_id"), docs.select("doc_id", "lang"), _chunk_find(t), top_k=10, candidate_k=10)
     return hits.select("doc_id", F.col("rank").cast("long").alias("rank"), "lang", "used_dense")
 
 
-@query("SELECT 0 AS blank, 0 AS no_scope, 0 AS no_words")
+@query("""SELECT CASE WHEN lang IN ('xx') THEN 1 ELSE 0 END AS in_scope, source, 0 AS blank, 0 AS no_scope, 0 AS no_words, count(*) AS documents FROM documents GROUP BY ALL""")
 def retrieve_nothing(t):
-    """A blank query and an empty allowlist give nothing, which no allowlist doesn't."""
+    """A blank query, an allowlist that metadata leaves empty and a query without words find nothing in any source; no allowlist does."""
     docs = t("documents")
     chunks, vectors = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), t("embeddings").withColumnRenamed("vec_id", "chunk_id")
-    none = retrieve.scope(chunks, "chunk_id", doc_id=[])
-    n = lambda hits, name: hits.agg(F.count("*").cast("int").alias(name))
-    one = n(retrieve.retrieve("  ", _POINT, chunks, vectors, t("labels"), _words()), "blank")
-    two = n(retrieve.retrieve("the", _POINT, chunks, vectors, t("labels"), _words(), allow=none), "no_scope")
-    return one.crossJoin(two).crossJoin(n(search.sparse_hits(chunks, "chunk_id", _words(), '"" --', 20), "no_words"))
+    none = retrieve.scope(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", lang=["xx"])
+    asked = {"blank": ("  ", None), "no_scope": ("the", none), "no_words": ('"" --', None)}
+    found = None
+    for name, (text, allow) in asked.items():
+        hits = retrieve.retrieve(text, None if name == "no_words" else _POINT, chunks, vectors, t("labels"), _chunk_find(t), allow=allow).select("doc_id", F.lit(name).alias("name"))
+        found = hits if found is None else found.unionByName(hits)
+    per = docs.select("doc_id", "source", "lang").join(found, "doc_id", "left").groupBy("source").agg(*(F.count(F.when(F.col("name") == n, 1)).cast("int").alias(n) for n in asked), F.count_distinct("doc_id").alias("documents"), F.count(F.when(F.col("lang") == "xx", 1)).cast("int").alias("in_scope"))
+    return per.select("in_scope", "source", *asked, "documents")
 
 
 @query(f"""WITH {_bm25(['the'])}, e AS (SELECT conv_id * 1000 + turn AS id, {_TOKENS} AS w FROM conversations),
@@ -117,9 +124,9 @@ def retrieve_nothing(t):
   SELECT * FROM (SELECT doc_id AS id, 'documents' AS branch, round(score, 8) AS score FROM b UNION ALL SELECT id, 'conversations', round(score, 8) FROM eb) ORDER BY score, branch, id LIMIT 25""")
 def merged_branches(t):
     """Hits of two independent indexes by their own scores."""
-    a = search.bm25_scan(t("documents"), "doc_id", _words(), ["the"]).select(F.col("doc_id").alias("id"), F.lit("documents").alias("branch"), F.round("score", 8).alias("score"))
+    a = text_index(t("documents")).matches("the").select(F.col("doc_id").alias("id"), F.lit("documents").alias("branch"), F.round("score", 8).alias("score"))
     turns = t("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    b = search.bm25_scan(turns, "id", _words(), ["the"]).select("id", F.lit("conversations").alias("branch"), F.round("score", 8).alias("score"))
+    b = text_index(turns, "id", "turns").matches("the").select("id", F.lit("conversations").alias("branch"), F.round("score", 8).alias("score"))
     return search.merge_branches(a, b).orderBy("score", "branch", "id").limit(25)
 
 
@@ -202,14 +209,50 @@ def postings_resumed(t):
     from ..sources.scratch import folder
 
     docs = t("documents").select("doc_id", "text")
-    spark = docs.sparkSession
-    path = folder(spark, "postings")
-    first, _ = search.index_documents(docs.filter("doc_id % 3 = 0"), "doc_id", _words())
-    search.write_postings(first, path)
-    done = search.indexed_ids(spark.read.parquet(path), docs, "doc_id")
-    rest, _ = search.index_documents(docs.join(done, "doc_id", "left_anti"), "doc_id", _words())
-    search.write_postings(rest, path, mode="append")
-    return search.read_postings(spark, path, ["the", "license", "of", "absent"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    index = TextIndex(docs.sparkSession, folder(docs.sparkSession, "postings"), buckets=16)
+    index.opened()
+    index.update(docs.filter("doc_id % 3 = 0"))
+    index.update(docs.join(index.keys(), "doc_id", "left_anti"))
+    tfs = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return index.blocks(dict.fromkeys(["the", "license", "of", "absent"], 0.0)).groupBy("term").agg(F.sum("n").alias("df"), F.sum(tfs).alias("tf"))
+
+
+def _changed_sql() -> str:
+    return """g AS (SELECT doc_id FROM labels WHERE toxic = 1),
+      now AS (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN d.text || ' apache revised' ELSE d.text END AS text FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id NOT IN (FROM g))"""
+
+
+def _updated_index(t):
+    """All documents, then those of good quality with words added, then the toxic ones taken back."""
+
+    def make(spark, path):
+        docs, labels = t("documents").select("doc_id", "text"), t("labels")
+        index = TextIndex(spark, path, buckets=16)
+        index.opened()
+        index.update(docs)
+        better = docs.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+        index.update(better.withColumn("text", F.concat("text", F.lit(" apache revised"))), labels.filter("toxic = 1").select("doc_id").distinct())
+        toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+        index.update(docs.limit(0), toxic)
+        return index
+
+    return once(t("documents"), "text-index-updated", make)
+
+
+@query(f"""WITH {_changed_sql()}, w AS (SELECT doc_id, {_TOKENS} AS w FROM now),
+  c AS (SELECT count(*) AS documents, sum(len(w))::BIGINT AS words FROM w), x AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w)
+  SELECT term, count(*) AS df, any_value(documents) AS documents, any_value(words) AS words FROM x, c GROUP BY term""")
+def statistics_after_updates(t):
+    """Document frequencies, number of documents and words after an insert, a change and a removal: sums of what each update added or took."""
+    index = _updated_index(t)
+    n, _ = index.corpus()
+    words = sum(g["words"] for g in index.generations())
+    return index.all_frequencies().select("term", "df", F.lit(n).cast("long").alias("documents"), F.lit(words).cast("long").alias("words"))
+
+
+@query(f"""WITH {_changed_sql()}, {_bm25(['apache', 'revised'], 'now')} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score, doc_id LIMIT 25""")
+def search_after_updates(t):
+    return _updated_index(t).top("apache revised", 25).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT n_name, CASE WHEN n_regionkey IS NULL THEN 'none' ELSE r_name END AS region, r_regionkey IS NULL AS missing FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")

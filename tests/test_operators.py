@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import stemming
 from corpusloom.functions import text as T
 from corpusloom.operators import graph, index, listing, merge, quality, retrieve, search
+from corpusloom.operators.textindex import TextIndex
 
 
 def test_page_checks():
@@ -110,13 +111,16 @@ def test_predicates_as_sqlite(spark):
 def test_stored_postings(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
     postings, lengths = search.index_documents(df, "doc_id", search.document_tokens(F.col("text")))
-    search.write_postings(postings, str(tmp_path / "p"), buckets=8)
-    read = search.read_postings(spark, str(tmp_path / "p"), ["the", "fox"], buckets=8)
-    assert sorted(map(tuple, read.select("term", "doc_id", "tf").collect())) == sorted(map(tuple, postings.filter("term IN ('the', 'fox')").select("term", "doc_id", "tf").collect()))
+    index = TextIndex(spark, str(tmp_path / "p"), buckets=8)
+    index.opened()
+    index.update(df)
+    read = index.blocks({"the": 0.0, "fox": 0.0})
+    got = read.select("term", F.explode(F.arrays_zip("keys", "tfs")).alias("p")).select("term", "p.keys", "p.tfs").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, postings.filter("term IN ('the', 'fox')").select("term", "doc_id", "tf").collect()))
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "In(term" in plan
-    a = {tuple(r) for r in search.bm25(read, lengths, ["the", "fox"], "doc_id").collect()}
-    assert a == {tuple(r) for r in search.bm25(postings, lengths, ["the", "fox"], "doc_id").collect()} and a
+    assert "PartitionFilters: [" in plan and "EqualTo(term" in plan and "GreaterThanOrEqual(most" in plan
+    a = {r.doc_id: r.score for r in index.matches("the fox").collect()}
+    assert a == pytest.approx({r.doc_id: r.score for r in search.bm25(postings, lengths, ["the", "fox"], "doc_id").collect()}) and a
 
 
 def test_trigram(spark):
@@ -168,32 +172,32 @@ def corpus(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string, section string")
     vectors = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)], "chunk_id long, embedding array<double>")
     meta = spark.createDataFrame([(i, f"title {i}", "even" if i % 2 == 0 else "odd") for i in range(19)], "doc_id long, title string, subject string")
-    return chunks, vectors, meta, search.document_tokens(F.col("text"))
+    return chunks, vectors, meta, lambda query, k, allow: search.sparse_hits(chunks, "chunk_id", search.document_tokens(F.col("text")), query, k, allow)
 
 
 def test_retrieve(corpus):
-    chunks, vectors, meta, words = corpus
-    hits = retrieve.retrieve("fox", [1.0, 0.0], chunks, vectors, meta, words, top_k=15).collect()
+    chunks, vectors, meta, find = corpus
+    hits = retrieve.retrieve("fox", [1.0, 0.0], chunks, vectors, meta, find, top_k=15).collect()
     assert [r.rank for r in hits] == list(range(1, 16)) and hits[0].chunk_id == 0 and all(r.used_dense for r in hits)
     assert all(a.score >= b.score for a, b in zip(hits, hits[1:])) and hits[0].title == "title 0"
-    sparse = retrieve.retrieve("fox", None, chunks, vectors, meta, words, top_k=100, candidate_k=200).collect()
+    sparse = retrieve.retrieve("fox", None, chunks, vectors, meta, find, top_k=100, candidate_k=200).collect()
     assert {r.chunk_id for r in sparse} == set(range(0, 40, 4)) and not any(r.used_dense for r in sparse)
     assert [r.title for r in sparse if r.doc_id == 18] == ["title 18"]
-    late = retrieve.retrieve("dog", [1.0, 0.0], chunks, vectors, meta, words, top_k=100, candidate_k=200).collect()
+    late = retrieve.retrieve("dog", [1.0, 0.0], chunks, vectors, meta, find, top_k=100, candidate_k=200).collect()
     assert len(late) == 40 and {r.title for r in late if r.doc_id == 19} == {None}
     for bad in ({"top_k": 0}, {"top_k": 101}, {"candidate_k": 9}, {"candidate_k": 201}):
         with pytest.raises(ValueError):
-            retrieve.retrieve("fox", None, chunks, vectors, meta, words, **bad)
+            retrieve.retrieve("fox", None, chunks, vectors, meta, find, **bad)
 
 
 def test_retrieve_in_scope(spark, corpus):
-    chunks, vectors, meta, words = corpus
+    chunks, vectors, meta, find = corpus
     odd = chunks.join(meta, "doc_id").filter("subject = 'odd'").select("chunk_id")
-    hits = retrieve.retrieve("the", [1.0, 0.0], chunks, vectors, meta, words, top_k=5, candidate_k=10, allow=odd).collect()
+    hits = retrieve.retrieve("the", [1.0, 0.0], chunks, vectors, meta, find, top_k=5, candidate_k=10, allow=odd).collect()
     assert len(hits) == 5 and {r.subject for r in hits} == {"odd"}
     for query, allow in (("", None), ("  ", None), ("fox", odd.limit(0))):
-        assert retrieve.retrieve(query, [1.0, 0.0], chunks, vectors, meta, words, allow=allow).count() == 0
-    best = search.sparse_hits(chunks, "chunk_id", words, 'The "quick" brown', 3, odd).collect()
+        assert retrieve.retrieve(query, [1.0, 0.0], chunks, vectors, meta, find, allow=allow).count() == 0
+    best = find('The "quick" brown', 3, odd).collect()
     assert len(best) == 3 and {r.chunk_id for r in best} <= {r.chunk_id for r in odd.collect()}
     assert retrieve.scope(meta, "doc_id") is None
     assert [r.doc_id for r in retrieve.scope(meta, "doc_id", subject=["odd"], title=["title 1", "title 2"]).collect()] == [1]
