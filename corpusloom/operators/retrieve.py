@@ -87,36 +87,3 @@ def scope(meta: DataFrame, key: str, **wanted: Sequence | None) -> DataFrame | N
     for column, values in given.items():
         rows = rows.filter(F.col(column).isin(*values))
     return rows.select(key).distinct()
-
-
-def nearest_per_query(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", block: int = 1024, share: int = 8192) -> DataFrame:
-    """k nearest for each row of a query set, in blocks of queries.
-
-    Queries are dealt to blocks of about ``block`` rows, vectors to shares of about
-    ``share``; every block meets every share in one task, from which k rows per
-    query leave, and the k best of those stay.  Nothing passes the driver.
-    """
-    import numpy as np
-    import pandas as pd
-
-    kinds, query_kind = dict(vectors.dtypes), dict(queries.dtypes)[query_key]
-    q = queries.select(F.col(query_key).alias("query"), F.col(vector).alias("point"))
-    blocks, shares = max(1, -(-q.count() // block)), max(1, -(-vectors.count() // share))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    left = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("share", every)
-    right = vectors.select(F.col(key).alias("neighbour"), F.col(vector).alias("vector")).withColumn("share", F.pmod(F.xxhash64("neighbour"), F.lit(shares)).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def near(points: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(found):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        a, b = np.stack(points["point"]).astype(np.float64), np.stack(found["vector"]).astype(np.float64)
-        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0))
-        ids = np.broadcast_to(found["neighbour"].to_numpy(), d.shape)
-        best = np.lexsort((ids, d), axis=1)[:, :k]
-        return pd.DataFrame({"query": np.repeat(points["query"].to_numpy(), best.shape[1]), "neighbour": np.take_along_axis(ids, best, 1).ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
-
-    parts = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(near, f"query {query_kind}, neighbour {kinds[key]}, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    best = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return best.select(F.col("query").alias(query_key), "neighbour", "distance", "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..functions.vector import l2
 from ..operators import graph, index, listing, merge, quality, retrieve, search
 from ..streaming import incremental
 from . import functions, pages  # noqa: F401  they register theirs
-from .indexes import text_index
+from .indexes import text_index, trigram_index, vector_index
 from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 
@@ -371,6 +373,18 @@ def trigram_match(t):
     return t("documents").filter(search.trigram(F.col("text"), "Apache Lic")).select("doc_id")
 
 
+_PARTS = ["Apache Lic", "http", "ation of", "zzzz", "th"]
+
+
+@query("SELECT part, doc_id FROM documents, (SELECT unnest(['Apache Lic', 'http', 'ation of', 'zzzz', 'th']) AS part) WHERE length(part) >= 3 AND contains(lower(text), lower(part))")
+def trigram_index_match(t):
+    """Substrings by the stored index of three-character pieces; shorter ones are in no text."""
+    docs = t("documents").select("doc_id", "text")
+    index = trigram_index(docs, "doc_id", "text", "documents")
+    found = [index.containing(docs, part).select(F.lit(part).alias("part"), "doc_id") for part in _PARTS]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 _POINT = [round(((i * 37) % 64 - 31) / 64, 6) for i in range(64)]
 _POINT_SQL = "[" + ", ".join(map(str, _POINT)) + "]::DOUBLE[]"
 
@@ -387,6 +401,13 @@ def knn_filtered(t):
     return retrieve.knn(t("embeddings"), _POINT, 50, "vec_id", allow=allow).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(ORACLE_SQL["knn_filtered"])
+def knn_cells(t):
+    """As knn_filtered, from the cells of a stored index."""
+    allow = t("labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return vector_index(t("embeddings")).nearest(_POINT, 50, allow).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
   p AS (SELECT query_id, vec_id AS neighbour, list_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), neighbour) AS rank FROM p)
@@ -394,7 +415,7 @@ def knn_filtered(t):
 def knn_per_query(t):
     v = t("embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
-    near = retrieve.nearest_per_query(q, v, 10, "query_id", "vec_id")
+    near = vector_index(v).nearest_each(q, 10, "query_id")
     return near.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 5).alias("distance"))
 
 

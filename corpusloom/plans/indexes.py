@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.textindex import TextIndex
+from ..operators.trigrams import TrigramIndex
+from ..operators.vectorindex import VectorIndex
 from ..sources.scratch import folder
 
 _made: dict[tuple, object] = {}
@@ -44,3 +46,22 @@ def text_index(docs: DataFrame, key: str = "doc_id", name: str = "documents", **
         return index
 
     return once(docs, f"text-index-{name}", make)
+
+
+def trigram_index(docs: DataFrame, key: str, text: str, name: str) -> TrigramIndex:
+    def make(spark: SparkSession, path: str) -> TrigramIndex:
+        index = TrigramIndex(spark, path, key, text, buckets=16)
+        index.opened()
+        index.update(docs.select(key, text))
+        return index
+
+    return once(docs, f"trigram-index-{name}", make)
+
+
+def vector_index(vectors: DataFrame, dims: int = 64) -> VectorIndex:
+    def make(spark: SparkSession, path: str) -> VectorIndex:
+        index = VectorIndex(spark, path)
+        index.build(vectors.select("vec_id", "embedding"), dims)
+        return index
+
+    return once(vectors, "vector-index", make)

@@ -150,19 +150,6 @@ def test_fusion(spark):
     assert [r.id for r in alone] == [2, 3] and not alone[0].used_dense
 
 
-def test_nearest_per_query(spark):
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    v = r.normal(size=(60, 4))
-    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)], "id long, embedding array<double>").repartition(3)
-    q = df.filter("id % 20 = 0").withColumnRenamed("id", "q")
-    got = retrieve.nearest_per_query(q, df, 5, "q", "id", block=2).collect()
-    for i in (0, 20, 40):
-        want = np.argsort(((v - v[i]) ** 2).sum(1))[:5].tolist()
-        assert [x.neighbour for x in sorted((g for g in got if g.q == i), key=lambda x: x.rank)] == want
-
-
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Chunks 0 to 39 of 20 documents, ten of them about foxes; vectors on a circle."""
