@@ -121,6 +121,71 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total(df)))
 
 
+#: A deep page cuts its range by so many bounds at a time, until it has at most so many rows.
+CUTS, RANGE_ROWS = 64, 200_000
+
+
+def _below(order: Sequence[tuple[str, bool]], row) -> Column:
+    """Whether a row comes before ``row`` in the order; null is the smallest value."""
+    out = F.lit(False)
+    for name, rising in reversed(order):
+        c, v = F.col(name), row[name]
+        if v is None:
+            first = F.lit(False) if rising else c.isNotNull()
+        else:
+            first = c.isNull() | (c < F.lit(v)) if rising else c > F.lit(v)
+        out = F.coalesce(first, F.lit(False)) | (c.eqNullSafe(F.lit(v)) & out)
+    return out
+
+
+def deep_page(df: DataFrame, order: Sequence[tuple[str, bool]], limit: int, offset: int) -> DataFrame:
+    """The page that :func:`page` gives, for any offset: only the range of rows that holds it is sorted.
+
+    ``order`` names columns, each rising or not, that tell all rows apart; nulls come
+    first if rising and last if not.  Bounds drawn from a sample cut the rows into
+    ranges, a scan counts them, and the page lies in one or a few; a range that is
+    still large is cut again.  The sample decides how many rows are sorted, never
+    which rows are returned.
+    """
+    names = [n for n, _ in order]
+    key = [F.col(n).asc_nulls_first() if rising else F.col(n).desc_nulls_last() for n, rising in order]
+    rows, skip, every = df, offset, None
+    while True:
+        n = rows.count()
+        every = n if every is None else every
+        if n <= RANGE_ROWS or skip >= n:
+            break
+        picked = rows.select(*names).sample(min(1.0, 32 * CUTS / n), seed=7).orderBy(*key).limit(64 * CUTS).collect()
+        bounds = [picked[len(picked) * i // CUTS] for i in range(1, CUTS)] if len(picked) >= CUTS else picked
+        at = reduce(lambda a, b: a + b, (F.when(_below(order, b), 0).otherwise(1) for b in bounds), F.lit(0))
+        counts = {r.at: r.n for r in rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}  # at most CUTS rows
+        low, before = 0, 0
+        while before + counts.get(low, 0) <= skip:
+            before, low = before + counts.get(low, 0), low + 1
+        high, upto = low, before + counts.get(low, 0)
+        while upto < min(n, skip + limit):
+            high, upto = high + 1, upto + counts.get(high + 1, 0)
+        if upto - before == n:
+            break  # the bounds didn't tell these rows apart
+        some = F.lit(True)
+        if low > 0:
+            some = some & ~_below(order, bounds[low - 1]) & _from(order[0], bounds[low - 1], True)
+        if high < len(bounds):
+            some = some & _below(order, bounds[high]) & _from(order[0], bounds[high], False)
+        rows, skip = rows.filter(some), skip - before
+    return rows.orderBy(*key).offset(skip).limit(limit).withColumn("total", F.lit(every).cast("long"))
+
+
+def _from(first: tuple[str, bool], row, after: bool) -> Column:
+    """What the first column must be at least, or at most: a condition that reaches the scan."""
+    name, rising = first
+    if row[name] is None:
+        return F.lit(True)
+    if rising == after:
+        return F.col(name) >= F.lit(row[name])
+    return F.col(name).isNull() | (F.col(name) <= F.lit(row[name]))
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def _latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Per key the row with the greatest ``order``: an aggregation, so copies combine before the shuffle."""
@@ -81,6 +83,26 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + (start - 1))
 
 
+def number_all(df: DataFrame, order: Sequence, name: str = "id", start: int = 1) -> DataFrame:
+    """Running numbers over all rows in ``order``, without a window over them.
+
+    Rows are dealt to ranges of the order and sorted there, written with their place,
+    and counted per range; a range's first number is the sum of the counts before it.
+    The counts are one number a partition.  Rows that the order doesn't tell apart
+    get their numbers in any order, but keep them, as the places are stored.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(sorted_.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33).cast("int")
+    first, at = [], start
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row a partition
+        first.append((r.part, at))
+        at += r.n
+    firsts = F.broadcast(df.sparkSession.createDataFrame(first, "_part int, _first long"))
+    rows = placed.withColumn("_part", part).join(firsts, "_part")
+    return rows.withColumn(name, F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_first", "_place")
+
+
 def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence, columns: Sequence[str]) -> DataFrame:
     """Nulls take the last value above them in their group."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

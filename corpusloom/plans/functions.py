@@ -137,10 +137,14 @@ def quarters(t):
     return rows.groupBy(F.col("q.year").cast("long").alias("year"), F.col("q.quarter").cast("long").alias("quarter")).agg(F.count("*").alias("n"), F.count(F.when(F.col("inside"), 1)).alias("inside"))
 
 
-@query("SELECT y AS year, q AS quarter FROM range(1995, 1999) a(y), range(1, 5) b(q) WHERE y * 4 + q > 1996 * 4 + 2 AND y * 4 + q <= 1998 * 4 + 3")
+@query("""WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b, max(o_orderdate) FILTER (o_orderstatus = 'F')::DATE AS d FROM orders GROUP BY 1),
+  n AS (SELECT o_custkey, unnest(range(greatest(year(a) * 4 + quarter(a) - 1, coalesce(year(d) * 4 + quarter(d), 0)), year(b) * 4 + quarter(b))) AS q FROM s)
+  SELECT o_custkey, (q // 4)::INT AS year, (q % 4 + 1)::INT AS quarter FROM n""")
 def quarter_pairs(t):
-    found = incremental.quarters_after(t("region").sparkSession, 1995, (1998, 3), (1996, 2))
-    return found.select(F.col("year").cast("long").alias("year"), F.col("quarter").cast("long").alias("quarter"))
+    """The quarters of each customer's orders that come after the last finished one: what an ingest that resumes there has to fetch."""
+    day = F.col("o_orderdate").cast("date")
+    spans = t("orders").groupBy("o_custkey").agg(F.min(day).alias("a"), F.max(day).alias("b"), F.max(F.when(F.col("o_orderstatus") == "F", day)).alias("d"))
+    return incremental.quarters_after(spans, "a", "b", "d").select("o_custkey", "year", "quarter")
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN value / 10 ELSE value END AS value FROM events""")

@@ -2,54 +2,90 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import upsert
+from ..sources.keyed import BUCKETS, KeyedTable
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], order: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Merge files that arrived since the last call into the table at ``target``.
+def ingest(
+    spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], order: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    mark: Callable[[dict, DataFrame], dict] | None = None, buckets: int = BUCKETS,
+) -> None:
+    """Merge files that arrived since the last call into the :class:`KeyedTable` at ``target``.
 
-    The checkpoint is the watermark: files done before are not read again, and a
-    batch that failed is repeated.  Each batch writes a numbered version, which
-    counts once it is complete, so a repeated batch replaces its own version.  Then
-    all versions but the batch's own and the one before are deleted.
+    The checkpoint knows the files done.  A batch rewrites the buckets that its keys
+    fall into and publishes them with its number and, where ``mark(old, batch)``
+    gives one, the new watermark: a batch that stopped before is repeated whole, one
+    that was published and is sent again changes nothing, its watermark included.
     """
+    table = KeyedTable(spark, target, keys, buckets)
+
     def merge(batch: DataFrame, number: int) -> None:
-        new = prepare(batch)
-        old = current(spark, target, before=number)
-        rows = upsert(old, new, keys, order) if old is not None else upsert(new.limit(0), new, keys, order)
-        rows.write.mode("overwrite").parquet(f"{target}/v={number}")
-        complete = [v for v in _versions(spark, target) if v < number]
-        for v in complete[:-1]:
-            _path(spark, f"{target}/v={v}")[0].delete(_path(spark, f"{target}/v={v}")[1], True)
+        state = table.state
+        if state.get("batch", -1) >= number:
+            return
+        new = prepare(batch).persist()
+        try:
+            moved = {**state, "batch": number} | ({"mark": mark(state.get("mark", {}), new)} if mark else {})
+            table.merge(new, lambda old, rows: upsert(old, rows, keys, order), moved)
+        finally:
+            new.unpersist()
+        table.clean(keep=2)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _path(spark: SparkSession, path: str):
-    """(file system, path) of a path's text."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of an ingested table's last version, or None."""
+    return KeyedTable(spark, target, []).read()
+
+
+def state_of(spark: SparkSession, target: str) -> dict:
+    """What was published with the last version: the batch's number and the watermark."""
+    return KeyedTable(spark, target, []).state
+
+
+# ---- watermarks -----------------------------------------------------------------------------------
+
+
+def date_mark(column: str, replay: bool = False) -> Callable[[dict, DataFrame], dict]:
+    """The latest date seen, as ``{"date": ..}``; it never goes back, and rows that are replayed don't move it."""
 
+    def mark(old: dict, batch: DataFrame) -> dict:
+        seen = None if replay else batch.agg(F.max(F.col(column).cast("date")).cast("string")).first()[0]
+        return {"date": max(filter(None, (old.get("date"), seen)), default=None)}
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Numbers of the complete versions, in order."""
-    fs, path = _path(spark, target)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in found if fs.exists(_path(spark, f"{target}/{p.getName()}/_SUCCESS")[1]))
+    return mark
+
+
+def quarter_of(day: datetime.date) -> int:
+    """A quarter's running number."""
+    return day.year * 4 + (day.month - 1) // 3
+
+
+def quarter_mark(column: str, today: datetime.date) -> Callable[[dict, DataFrame], dict]:
+    """The last quarter done, as ``{"year": .., "quarter": ..}``.
+
+    The quarter of ``today`` isn't over and so never done; a mark of it or of a later
+    one, from a wrong clock, is taken back to the quarter before.
+    """
 
+    def mark(old: dict, batch: DataFrame) -> dict:
+        seen = batch.agg(F.max(F.col(column).cast("date"))).first()[0]
+        known = [old["year"] * 4 + old["quarter"] - 1] if old.get("year") else []
+        known += [quarter_of(seen)] if seen else []
+        if not known:
+            return {}
+        last = min(max(known), quarter_of(today) - 1)
+        return {"year": last // 4, "quarter": last % 4 + 1}
 
-def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The latest complete version of an ingested table, or None."""
-    found = [v for v in _versions(spark, target) if before is None or v < before]
-    return spark.read.parquet(f"{target}/v={found[-1]}") if found else None
+    return mark
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, value: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -69,8 +105,10 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return stream.sparkSession.table(name)
 
 
-def quarters_after(spark: SparkSession, first_year: int, last: tuple[int, int], done: tuple[int, int] | None = None) -> DataFrame:
-    """(year, quarter) pairs up to ``last``, after ``done``."""
-    pairs = spark.range(1).select(F.explode(F.sequence(F.lit(first_year), F.lit(last[0]))).alias("year")).select("year", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter"))
-    number = F.col("year") * 4 + F.col("quarter")
-    return pairs.filter((number <= last[0] * 4 + last[1]) & (number > (done[0] * 4 + done[1] if done else 0)))
+def quarters_after(spans: DataFrame, first: str, last: str, done: str | None = None) -> DataFrame:
+    """``spans`` with a row (year, quarter) for each quarter from the date ``first`` to ``last``, after that of ``done`` (null: all)."""
+    number = lambda c: F.year(c) * 4 + F.quarter(c) - 1
+    low = number(first) if done is None else F.greatest(number(first), F.coalesce(number(done) + 1, F.lit(0)))
+    each = F.when(F.col(first).isNotNull() & (low <= number(last)), F.sequence(low, number(last)))
+    rows = spans.withColumn("_quarter", F.explode(each))
+    return rows.withColumns({"year": F.floor(F.col("_quarter") / 4).cast("int"), "quarter": F.pmod("_quarter", F.lit(4)) + 1}).drop("_quarter")

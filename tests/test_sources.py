@@ -102,4 +102,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_quarters(spark):
-    assert [tuple(r) for r in incremental.quarters_after(spark, 2023, (2024, 2), (2023, 3)).collect()] == [(2023, 4), (2024, 1), (2024, 2)]
+    df = spark.createDataFrame([(1, "2023-05-01", "2024-04-02", "2023-09-30"), (2, "2024-01-01", "2024-01-01", None), (3, "2024-01-01", "2024-02-01", "2024-03-31"), (4, None, "2024-01-01", None)], "k int, a string, b string, d string")
+    dates = df.select("k", *(F.col(c).cast("date").alias(c) for c in "abd"))
+    got = incremental.quarters_after(dates, "a", "b", "d").orderBy("k", "year", "quarter").select("k", "year", "quarter").collect()
+    assert [tuple(r) for r in got] == [(1, 2023, 4), (1, 2024, 1), (1, 2024, 2), (2, 2024, 1)]
