@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vector import l2
 from ..operators import graph, index, listing, merge, quality, retrieve, search
 from ..streaming import incremental
-from . import functions, pages  # noqa: F401  they register theirs
+from . import functions, pages, resumes  # noqa: F401  they register theirs
 from .indexes import text_index, trigram_index, vector_index
 from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 

@@ -95,3 +95,24 @@ def answers(spark: SparkSession, folder: str, after: str = "", stream: bool = Fa
     if until is not None:
         reader = reader.option("until", until)
     return reader.load(folder)
+
+
+def store_answers(rows: DataFrame, folder: str, key: str = "key", body: str = "body", end: str = ".json") -> int:
+    """Write each row's body as the answer of its key, beside and then renamed; the number written.
+
+    A key that is there already is written again with the same name.
+    """
+
+    def write(batches):
+        import pandas as pd
+
+        for batch in batches:
+            store, path = _at(folder.rstrip("/"))
+            store.create_dir(path, recursive=True)
+            for k, text in zip(batch["key"], batch["body"]):
+                with store.open_output_stream(f"{path}/.{k}") as f:
+                    f.write(text.encode())
+                store.move(f"{path}/.{k}", f"{path}/{k}{end}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.selectExpr(f"`{key}` AS key", f"`{body}` AS body").mapInPandas(write, "n long").groupBy().sum("n").first()[0] or 0
