@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import acts, builders, markup, textbook
+from ..functions import builders, markup
 from ..functions import text as T
 from ..operators import graph, index, listing, merge, retrieve, routes, search
 from ..operators.textindex import TextIndex
-from ..sources import archives
+from ..sources import archives, xmlrows
 from .indexes import once, text_index
 from .registry import query
 
@@ -392,13 +392,13 @@ def regulation_records(t):
     section = lambda s: F.concat(F.lit(f'<DIV5 TYPE="PART"><HEAD>Part {s}</HEAD><DIV8 TYPE="SECTION" N="'), "n_nationkey", F.lit(f'.{s}"><HEAD> '), "n_name", F.lit(f"</HEAD><P>one</P><X><P> t<I>wo</I> {s}</P></X><P> </P></DIV8></DIV5>"))
     xml = F.concat(F.lit('<ECFR><DIV1 TYPE="TITLE"><DIV3 TYPE="CHAPTER"><HEAD>Chapter I</HEAD>'), section(1), section(2), F.lit("</DIV3></DIV1></ECFR>"))
     rows = t("nation").select(F.col("n_nationkey").alias("title_num"), xml.alias("xml")).union(t("region").select("r_regionkey", F.lit("<ECFR><broken>")))
-    return archives.regulation_sections(rows, ["title_num"], "xml")
+    return xmlrows.regulation_sections(rows, ["title_num"], "xml")
 
 
 @query("""SELECT n_nationkey AS title_num, '§ 1.' AS section, n_name AS heading, '§ 1. ' || n_name || ' Whole text' AS content FROM nation""")
 def code_records(t):
     xml = F.concat(F.lit('<uslm xmlns="http://x/uslm"><main><section><num>§ 1.</num> <heading>'), "n_name", F.lit("</heading><content>  Whole <b>text</b></content></section><section> </section></main></uslm>"))
-    return archives.code_sections(t("nation").select(F.col("n_nationkey").alias("title_num"), xml.alias("xml")), ["title_num"], "xml")
+    return xmlrows.code_sections(t("nation").select(F.col("n_nationkey").alias("title_num"), xml.alias("xml")), ["title_num"], "xml")
 
 
 @query("""SELECT 0::BIGINT AS without_vector, 0::BIGINT AS without_postings, count(*) AS documents, count(CASE WHEN conv_id % 3 = 0 THEN 1 END) AS second_version FROM conversations WHERE trim(coalesce(text, '')) != ''""")
@@ -428,28 +428,19 @@ def index_tables_kept(t):
     return both.crossJoin(old["meta"].agg(F.count("*").alias("documents"), F.count(F.when(F.col("version") == "v2", 1)).alias("second_version")))
 
 
-@query(r"""SELECT n_nationkey, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'Know ' || n_name || chr(10) || 'Use it' END AS objectives,
-  'About \(x^{' || n_regionkey || '}\) here.' || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || n_name AS body FROM nation""")
-def textbook_modules(t):
-    aims = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("<abstract><list><item>Know "), "n_name", F.lit("</item><item> Use it</item></list></abstract>"))).otherwise("")
-    math = F.concat(F.lit("<math><msup><mi>x</mi><mn>"), "n_regionkey", F.lit("</mn></msup></math>"))
-    xml = F.concat(F.lit("<document><title>"), "n_name", F.lit("</title><metadata>"), aims, F.lit("</metadata><content><para>About"), math, F.lit("here.</para><section><title>Part</title><para>"), "n_name", F.lit("</para></section></content></document>"))
-    return t("nation").select("n_nationkey", textbook.module_markdown(xml).alias("m")).select("n_nationkey", "m.*")
-
-
 @query("""SELECT r_regionkey AS book, 'B ' || r_name AS book_title, n::INTEGER AS chapter_number, CASE WHEN n IS NOT NULL THEN 'Chapter ' || n END AS chapter_title, m AS module_id, p::INTEGER AS place
   FROM region, (VALUES (NULL, 'm0', 0), (1, 'm1', 1), (1, 'm2', 2), (2, 'm3', 3)) x(n, m, p)""")
 def textbook_contents(t):
     chapter = lambda n, *names: f"<subcollection><title>Chapter {n}</title><content>{''.join(f'<module document={chr(34)}{m}{chr(34)}/>' for m in names)}</content></subcollection>"
     xml = F.concat(F.lit("<collection><metadata><title>B "), "r_name", F.lit(f'</title></metadata><content><module document="m0"/>{chapter(1, "m1", "m2")}{chapter(2, "m3")}</content></collection>'))
-    rows = archives.book_contents(t("region").select(F.col("r_regionkey").alias("book"), xml.alias("xml")), ["book"], "xml")
+    rows = xmlrows.book_contents(t("region").select(F.col("r_regionkey").alias("book"), xml.alias("xml")), ["book"], "xml")
     return rows.select("book", "book_title", "chapter_number", "chapter_title", "module_id", "place")
 
 
 @query("SELECT r_regionkey AS id, 'act' AS kind, 'A-' || r_regionkey AS number, r_name || ' Act' AS short_title, 'An Act about ' || r_name AS long_title, 'yes' AS in_force FROM region")
 def act_records(t):
     xml = F.concat(F.lit('<Act in-force="yes"><Identification><LongTitle>An Act about <b>'), "r_name", F.lit("</b></LongTitle><ShortTitle>"), "r_name", F.lit(" Act</ShortTitle><Chapter><ConsolidatedNumber>A-"), "r_regionkey", F.lit("</ConsolidatedNumber></Chapter></Identification></Act>"))
-    rows = archives.acts(t("region").select(F.col("r_regionkey").alias("id"), xml.alias("xml")), ["id"], "xml")
+    rows = xmlrows.acts(t("region").select(F.col("r_regionkey").alias("id"), xml.alias("xml")), ["id"], "xml")
     return rows.select("id", "kind", "number", "short_title", "long_title", "in_force")
 
 
@@ -457,9 +448,3 @@ def act_records(t):
 def paper_pages(t):
     html = F.concat(F.lit('<body><nav>menu</nav><article class="ltx_document"><h1>Title</h1><h6 class="ltx_title_abstract">Abstract</h6><p>'), "c_name", F.lit(' has <math alttext="x^2"/>.</p><ul><li>'), "c_mktsegment", F.lit('</li><li><cite>[<a href="#b1">1</a>]</cite></li></ul></article></body>'))
     return t("customer").select("c_custkey", markup.paper_to_markdown(html).alias("markdown"))
-
-
-@query("""SELECT n_nationkey, '## Part' || chr(10) || chr(10) || '### 1 — ' || n_name || chr(10) || chr(10) || '**(2)** In **' || n_name || '**' || chr(10) || chr(10) || '- **(a)** item ' || n_regionkey AS body FROM nation""")
-def act_bodies(t):
-    xml = F.concat(F.lit('<Statute><Body><Heading level="1"><TitleText>Part</TitleText></Heading><Section><Label>1</Label><MarginalNote>'), "n_name", F.lit("</MarginalNote><Subsection><Label>(2)</Label><Text>In <DefinedTermEn>"), "n_name", F.lit("</DefinedTermEn></Text><Paragraph><Label>(a)</Label><Text>item "), "n_regionkey", F.lit("</Text></Paragraph></Subsection></Section></Body></Statute>"))
-    return t("nation").select("n_nationkey", acts.act_to_markdown(xml).alias("body"))

@@ -8,8 +8,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import joined, strip_all, strip_tags
 
-# Kinds of divisions of a regulation's XML, field and subfield codes of a library record.
-DIVISIONS = {"TITLE", "SUBTITLE", "CHAPTER", "SUBCHAPTER", "PART", "SUBPART", "SUBJGRP", "SECTION", "APPENDIX"}
+# Field and subfield codes of a library record.
 BOOK_FIELDS = {"lccn": ("010a",), "title": ("245ab",), "author": ("100a", "110a", "111a"), "published": ("260c", "264c"), "publisher": ("260b", "264b"), "summary": ("520a",), "item_type": ("655a",)}
 
 
@@ -96,122 +94,6 @@ def bills(xml: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-# ---- regulations, codes and acts --------------------------------------------------------------
-
-
-def _parsed(content) -> ElementTree.Element | None:
-    try:
-        return ElementTree.fromstring(content)
-    except ElementTree.ParseError:
-        return None
-
-
-def _records(df: DataFrame, keys: list[str], content: str, fn: Callable, schema: str) -> DataFrame:
-    """Records that ``fn`` takes out of each row's XML, with the row's key columns; broken documents drop out."""
-    kinds = dict(df.dtypes)
-
-    def take(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples(index=False):
-                root = _parsed(row[-1])
-                found = [(*row[:-1], *x) for x in fn(root)] if root is not None else []
-                if found:
-                    yield pd.DataFrame(found, columns=names)
-
-    names = [*keys, *(f.split()[0] for f in schema.split(", "))]
-    return df.select(*keys, content).mapInPandas(take, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
-
-
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _text(e: ElementTree.Element | None) -> str:
-    return "".join(e.itertext()).strip() if e is not None else ""
-
-
-def _own_paragraphs(e: ElementTree.Element) -> Iterator[str]:
-    """Texts of the P elements below, those of divisions within left out."""
-    open_ = list(reversed(e))
-    while open_:
-        child = open_.pop()
-        if child.get("TYPE") in DIVISIONS:
-            continue
-        if child.tag == "P" and (text := _text(child)):
-            yield text
-        open_ += reversed(child)
-
-
-def _regulation_sections(root: ElementTree.Element) -> Iterator[tuple]:
-    above = {"CHAPTER": "", "PART": ""}
-    for e in root.iter():
-        kind, head = e.get("TYPE"), e.find("HEAD")
-        heading = (head.text or "").strip() if head is not None else ""
-        if kind in above:
-            above[kind] = heading
-        elif kind == "SECTION":
-            yield above["CHAPTER"], above["PART"], e.get("N", ""), heading, "\n".join(_own_paragraphs(e))
-
-
-def regulation_sections(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Sections of regulations in document order, each with the chapter and part it lies in."""
-    return _records(df, keys, content, _regulation_sections, "chapter string, part string, section string, heading string, content string")
-
-
-def _code_sections(root: ElementTree.Element) -> Iterator[tuple]:
-    for e in root.iter():
-        if _local(e.tag) == "section" and _text(e):
-            own = {}
-            for child in e:
-                own.setdefault(_local(child.tag), child)
-            yield _text(own.get("num")), _text(own.get("heading")), "".join(e.itertext())
-
-
-def code_sections(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Sections of a legal code, whatever the namespace: number, heading, whole text with its spaces put in order."""
-    from ..functions.text import normalize_whitespace
-
-    rows = _records(df, keys, content, _code_sections, "section string, heading string, content string")
-    return rows.withColumn("content", normalize_whitespace(F.col("content"))).filter("content != ''")
-
-
-def _act(root: ElementTree.Element) -> Iterator[tuple]:
-    find = lambda *paths: next((t for p in paths if (t := _text(root.find(p)))), "")
-    short, long = find(".//Identification/ShortTitle", ".//ShortTitle"), find(".//Identification/LongTitle", ".//LongTitle")
-    number = find(".//Chapter/ConsolidatedNumber", ".//InstrumentNumber", ".//Chapter")
-    marked = {_local(k): v for k, v in root.attrib.items()}
-    yield _local(root.tag).lower(), number, short, long, marked.get("in-force", ""), marked.get("lastAmendedDate", "")
-
-
-def acts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """One row per act or regulation: its kind, number, titles, whether it is in force and when it was amended last."""
-    return _records(df, keys, content, _act, "kind string, number string, short_title string, long_title string, in_force string, amended string")
-
-
-def _contents(root: ElementTree.Element) -> Iterator[tuple]:
-    child = lambda e, name: next((x for x in e if _local(x.tag) == name), None) if e is not None else None
-    meta, content = child(root, "metadata"), child(root, "content")
-    book = [_text(child(meta, name)) for name in ("title", "uuid", "slug")]
-    license_ = child(meta, "license")
-    book.append(_text(license_) or (license_.get("url", "") if license_ is not None else ""))
-    chapter = place = 0
-    for e in content if content is not None else ():
-        inside = [x.get("document") for x in e.iter() if _local(x.tag) == "module" and x.get("document")]
-        number = title = None
-        if _local(e.tag) == "subcollection":
-            chapter += 1
-            named = child(e, "title")
-            number, title = chapter, _text(named if named is not None else child(child(e, "metadata"), "title"))
-        for name in inside:
-            yield *book, number, title, name, place
-            place += 1
-
-
-def book_contents(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """The modules of textbooks in order, with their numbered chapters; modules outside of chapters have none."""
-    return _records(df, keys, content, _contents, "book_title string, uuid string, slug string, license string, chapter_number int, chapter_title string, module_id string, place int")
-
-
 # ---- library records --------------------------------------------------------------------------
 
 

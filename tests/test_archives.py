@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup
-from corpusloom.sources import archives
+from corpusloom.sources import archives, xmlrows
 
 
 def test_members_and_manual_pages(spark, tmp_path):
@@ -65,16 +65,41 @@ def test_book_files(spark, tmp_path):
 
 def test_acts(spark):
     xml = '<Statute xmlns:lims="http://l" lims:lastAmendedDate="2020-01-01" in-force="yes"><Identification><LongTitle>An Act about <I>x</I></LongTitle><ShortTitle>X Act</ShortTitle><Chapter><ConsolidatedNumber>A-1</ConsolidatedNumber></Chapter></Identification></Statute>'
-    (r,) = archives.acts(spark.createDataFrame([(7, xml), (8, "<broken")], "id long, xml string"), ["id"], "xml").collect()
+    (r,) = xmlrows.acts(spark.createDataFrame([(7, xml), (8, "<broken")], "id long, xml string"), ["id"], "xml").collect()
     assert tuple(r) == (7, "statute", "A-1", "X Act", "An Act about x", "yes", "2020-01-01")
 
 
 def test_nested_divisions_keep_their_paragraphs(spark):
     xml = '<R><D TYPE="SECTION" N="1"><HEAD>a</HEAD><P>one</P><D TYPE="SECTION" N="2"><P>two</P></D><P>three</P></D></R>'
-    got = archives.regulation_sections(spark.createDataFrame([(1, xml)], "id long, xml string"), ["id"], "xml").collect()
+    got = xmlrows.regulation_sections(spark.createDataFrame([(1, xml)], "id long, xml string"), ["id"], "xml").collect()
     assert [(r.section, r.content) for r in got] == [("1", "one\nthree"), ("2", "two")]
 
 
+def test_book_contents(spark):
+    xml = """<c:collection xmlns:c="http://c" xmlns:md="http://md"><c:metadata><md:title>Book</md:title><md:slug>book</md:slug><md:license url="http://by"/></c:metadata><c:content>
+      <c:module document="m0"/><c:subcollection><md:title>First</md:title><c:content><c:module document="m1"/><c:subcollection><c:content><c:module document="m2"/></c:content></c:subcollection></c:content></c:subcollection>
+      <c:subcollection><c:metadata><md:title>Second</md:title></c:metadata><c:content><c:module document="m3"/><c:module/></c:content></c:subcollection></c:content></c:collection>"""
+    rows = xmlrows.book_contents(spark.createDataFrame([("b", xml)], "book string, xml string"), ["book"], "xml").orderBy("place").collect()
+    assert [(r.chapter_number, r.chapter_title, r.module_id) for r in rows] == [(None, None, "m0"), (1, "First", "m1"), (1, "First", "m2"), (2, "Second", "m3")]
+    assert (rows[0].book_title, rows[0].slug, rows[0].license, rows[0].uuid) == ("Book", "book", "http://by", "")
+
+
+def test_tokens_and_broken_documents(spark):
+    rows = ['<a x="1>2"><!-- <b> --><b>t &lt;u&gt; &amp;amp;</b><![CDATA[<raw>]]><c/></a>', "<a><b></a></b>", "<a>", "</a>", "<a/><b/>", "x<a/>", "text", "", None, '<?xml version="1.0"?>\n<r/>\n', "<broken"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, xml string")
+    got = {}
+    for r in xmlrows.tokens(df, ["id"], "xml").orderBy("doc", "pos").collect():
+        got.setdefault(r.id, []).append((r.text, "/".join(x.name for x in r.path)))
+    assert {k: [x for x in v if x[1]] for k, v in got.items()} == {0: [(None, "a"), (None, "a/b"), ("t <u> &amp;", "a/b"), ("<raw>", "a"), (None, "a/c")], 9: [(None, "r")]}
+    assert xmlrows.acts(df.filter("id IN (4, 6, 7, 8)"), ["id"], "xml").count() == 0
+
+
+def test_code_sections(spark):
+    xml = '<u:doc xmlns:u="x"><u:section><u:num>§ 1</u:num><u:heading>One <i>a</i></u:heading><p>  Text </p><u:section><u:num>§ 2</u:num>in</u:section><u:num>no</u:num></u:section><u:section> </u:section></u:doc>'
+    got = xmlrows.code_sections(spark.createDataFrame([(1, xml), (1, xml)], "id long, xml string"), ["id"], "xml").collect()
+    assert [tuple(r) for r in got] == [(1, "§ 1", "One a", "§ 1One a Text § 2inno"), (1, "§ 2", "", "§ 2in")] * 2
+
+
 def test_paper_markdown():
     p = markup.paper_markdown
     page = '<html><body><nav>menu</nav><article class="ltx_document"><h1 class="ltx_title_document">Name</h1><div class="ltx_authors">Ann</div>{}</article></body></html>'
