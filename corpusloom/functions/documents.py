@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -94,21 +93,29 @@ def _unwrap(raw: str | None) -> str | None:
         return None
 
 
-def underlined_markdown(text: str | None) -> str:
-    """Plain text with underlined headings as Markdown; level-one headings go, emphasis is unwrapped."""
-    lines, out, i = (text or "").split("\n"), [], 0
-    while i < len(lines):
-        head, under = lines[i].strip(), lines[i + 1].strip() if i + 1 < len(lines) else ""
-        level = UNDERLINES.get(under[:1]) if len(under) >= 3 and len(set(under)) == 1 else None
-        if level and head and len(head) <= len(under) <= len(head) + 3:
-            out += [] if level == 1 else [f"{'#' * level} {head}"]
-            i += 2
-            continue
-        out.append(lines[i])
-        i += 1
-    plain = re.sub(r"\*\*([^*\n]+)\*\*", r"\1", "\n".join(out))
-    plain = re.sub(r"(?<!\*)\*(\S(?:[^*]{0,80}?\S)?)\*(?!\*)", r"\1", plain)
-    return re.sub(r"\n{3,}", "\n\n", plain).strip()
+def underlined_markdown(df: DataFrame, key: str, text: str, out: str = "markdown") -> DataFrame:
+    """``key`` and the plain text with underlined headings as Markdown; level-one headings go, emphasis is unwrapped.
+
+    A line is a heading if the next underlines it: three or more of one sign, as long
+    as the heading or up to three longer.  An underline is no heading itself, so of
+    lines that underline each other every second is one.
+    """
+    lines = df.select(key, F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
+    each = lines.select(key, "row", F.posexplode(F.split("whole", "\n", -1)).alias("pos", "line"))
+    order = Window.partitionBy("row").orderBy("pos")
+    head, under = strip_all(F.col("line")), strip_all(F.lead("line").over(order))
+    sign = F.left(under, F.lit(1))
+    level = F.create_map(*(F.lit(x) for pair in UNDERLINES.items() for x in pair))[sign]
+    ruled = (F.length(under) >= 3) & (F.replace(under, sign, F.lit("")) == "") & (F.length(head) > 0) & F.length(under).between(F.length(head), F.length(head) + 3)
+    marked = each.withColumn("level", F.when(ruled, level))
+    since = F.coalesce(F.last(F.when(F.col("level").isNull(), F.col("pos")), ignorenulls=True).over(order), F.lit(-1))
+    titled = marked.withColumn("title", F.col("level").isNotNull() & ((F.col("pos") - since) % 2 == 1))
+    gone = F.coalesce(F.lag("title").over(order), F.lit(False)) | (F.col("title") & (F.col("level") == 1))
+    said = F.when(F.col("title"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), strip_all(F.col("line")))).otherwise(F.col("line"))
+    kept = titled.select(key, "row", "pos", F.when(~gone, said).alias("said"))
+    joined = kept.groupBy(key, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "\n").alias(out))
+    plain = F.regexp_replace(F.regexp_replace(out, r"(?<!\*)(\*{1,2})(?![*\s])([^*\n]*[^*\s])\1(?!\*)", "$2"), "\n{3,}", "\n\n")
+    return joined.select(key, strip_all(plain).alias(out))
 
 
 def _udf(fn):
@@ -119,4 +126,4 @@ def _udf(fn):
     return run
 
 
-profile_to_markdown, unwrap_json, underlined_to_markdown = _udf(profile_text), _udf(_unwrap), _udf(underlined_markdown)
+profile_to_markdown, unwrap_json = _udf(profile_text), _udf(_unwrap)

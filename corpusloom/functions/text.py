@@ -24,27 +24,36 @@ def normalize_whitespace(c: Column) -> Column:
     return strip_all(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
+# What marks enclose: code or a link's text, which an image's looks like; then emphasis by pairs of a sign, and by one.
+_SPANS = r"`([^`]+)`|!?\[([^\]]*)\]\([^)]*\)"
+_STRONG = r"(?s)([*_])\1((?:(?!\1).)++)\1\1"
+_WEAK = r"(?<!\*)\*([^*\n]+)\*(?!\*)|(?<!_)_([^_\n]+)_(?!_)"
+# What begins a line: a heading's signs, then a quotation's, then a rule that is all of it.
+_LINE_MARKS = r"(?md)^(?:#{1,6}\s+)?(?:>\s?)?(?:[-*_]{3,}\s*$)?"
+_FENCE = "```"
+
+
+def _without_fences(c: Column) -> Column:
+    """Text between a pair of fences becomes a space; what follows one that isn't closed stays."""
+
+    def outside(parts: Column) -> Column:
+        even = F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), " ")
+        return F.when(F.size(parts) % 2 == 0, F.concat(even, F.lit(_FENCE), F.try_element_at(parts, F.lit(-1)))).otherwise(even)
+
+    return F.when(c.contains(_FENCE), F.get(F.transform(F.array(F.split(c, _FENCE, -1)), outside), F.lit(0))).otherwise(c)
+
+
 def strip_markdown(c: Column) -> Column:
     """Plain text of Markdown: fenced code becomes a space, what marks enclose stays without them, line markers go.
 
-    Images are unwrapped before links, as badges are images within links, and
-    double emphasis before single.
+    Spans are opened from the outside in, as often as they lie in each other: an image
+    in a link in code, and strong or weak emphasis in the other sign's.
     """
-
-    def inner(c: Column, left: str, body: str, right: str) -> Column:
-        return F.regexp_replace(c, f"{left}({body}){right}", "$1")
-
-    c = F.regexp_replace(c, "(?s)`{3}.*?`{3}", " ")
-    c = inner(c, "`", "[^`]+", "`")
-    for opening in (r"!\[", r"\["):
-        c = inner(c, opening, r"[^\]]*", r"\]\([^)]*\)")
-    for mark in (r"\*", "_"):
-        c = inner(c, mark * 2, f"[^{mark}]+", mark * 2)
-    for mark in (r"\*", "_"):
-        c = inner(c, f"(?<!{mark}){mark}", f"[^{mark}\n]+", f"{mark}(?!{mark})")
-    for marker in (r"#{1,6}\s+", r">\s?", r"[-*_]{3,}\s*$"):  # heading, quotation, rule
-        c = F.regexp_replace(c, f"(?md)^{marker}", "")
-    return c
+    c = _without_fences(c)
+    for marks, opened, depth in ((_SPANS, "$1$2", 3), (_STRONG, "$2", 2), (_WEAK, "$1$2", 2)):
+        for _ in range(depth):
+            c = F.regexp_replace(c, marks, opened)
+    return F.regexp_replace(c, _LINE_MARKS, "")
 
 
 def collapse_spaces(c: Column) -> Column:

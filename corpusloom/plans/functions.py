@@ -241,7 +241,7 @@ def book_bodies(t):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '## Part' || chr(10) || chr(10) || c_name || ' a' ELSE c_name END AS body FROM customer")
 def underlined_text(t):
     two = F.concat(F.lit("Top\n***\n\nPart\n====\n\n**"), "c_name", F.lit("** *a*"))
-    return t("customer").select("c_custkey", documents.underlined_to_markdown(F.when(F.col("c_custkey") % 2 == 0, two).otherwise(F.col("c_name"))).alias("body"))
+    return documents.underlined_markdown(t("customer").withColumn("text", F.when(F.col("c_custkey") % 2 == 0, two).otherwise(F.col("c_name"))), "c_custkey", "text", "body")
 
 
 @query("SELECT c_custkey, '## Introduction' || chr(10) || chr(10) || c_name || ' lead' || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || c_mktsegment AS body FROM customer")

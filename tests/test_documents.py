@@ -33,4 +33,7 @@ def test_profile(spark):
 
 def test_underlined(spark):
     raw = "Title\n*****\n\nPart\n====\n\nA **bold** and *it*.\n* item\nSmall\n-----\nend\n=========="
-    assert one(spark, D.underlined_to_markdown("s"), raw) == "## Part\n\nA bold and it.\n* item\n### Small\nend\n=========="
+    cases = {1: raw, 2: "Top\n***", 3: None, 4: "abc\n===\n===\n===\nx", 5: "a * b * c ** d\n  Wide  \n~~~~~~~\n", 6: "ab\n==\n\n===\nabcd\n==="}
+    df = spark.createDataFrame(list(cases.items()), "k int, t string")
+    got = {r.k: r.markdown for r in D.underlined_markdown(df, "k", "t").collect()}
+    assert got == {1: "## Part\n\nA bold and it.\n* item\n### Small\nend\n==========", 2: "", 3: "", 4: "## abc\n## ===\nx", 5: "a * b * c ** d\n#### Wide", 6: "ab\n==\n\n===\nabcd\n==="}

@@ -28,6 +28,16 @@ def test_strip_markdown(spark):
     assert one(spark, T.strip_markdown(F.col("s")), s=raw) == "Head\nquoted\nbold and it and code link pic\n"
 
 
+def test_strip_markdown_marks_in_marks(spark):
+    cases = {
+        "a ```x\n`y` b``` c": "a   c", "a ```open": "a ```open", "```a``````b``` c": "   c", "[![alt](i.png)](u) x": "alt x", "`[a](b)` [`c`](d)": "a c",
+        "**_a_** __*b*__ ***c***": "a b c", "snake_case_name and 2*3*4": "snakecasename and 234", "** a **": " a ", "a * b\n* c": "a * b\n* c", "#x\n## y\n###### z": "#x\ny\nz",
+        "> q\n>r\n> # s": "q\nr\n# s", "---\n***\nx---": "\n\nx---", "": "", "**" + "x" * 100_000 + "**": "x" * 100_000,
+    }
+    for raw, want in cases.items():
+        assert one(spark, T.strip_markdown(F.col("s")), s=raw) == want, raw[:40]
+
+
 def test_hashes(spark):
     assert one(spark, T.content_hash(F.col("a"), F.col("b")), a="x", b=None) == hashlib.sha256(b"x\0\0").hexdigest()[:32]
     assert one(spark, T.plain_hash(F.col("a")), a="x") == hashlib.sha256(b"x").hexdigest()[:32]
