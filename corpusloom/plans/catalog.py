@@ -277,10 +277,13 @@ def token_counts(t):
     return t("documents").groupBy("source").agg(F.sum(F.size(search.document_tokens(F.col("text")))).alias("tokens"))
 
 
-@query("SELECT p_partkey, split_part(p_name, ' ', 2) AS keyname, nullif(split_part(p_name, ' ', 1), '') AS forenames, lower(replace(p_brand, '#', '-')) AS slug FROM part WHERE len(string_split(p_name, ' ')) = 2")
+@query("""WITH w AS (SELECT p_partkey, p_brand, string_split(CASE p_partkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN p_name ELSE p_name || ' ' || p_type END, ' ') AS w FROM part)
+  SELECT p_partkey, w[-1] AS keyname, nullif(array_to_string(w[:-2], ' '), '') AS forenames, lower(replace(p_brand, '#', '-')) AS slug FROM w""")
 def name_parts(t):
-    two = t("part").filter(F.size(F.split("p_name", " ")) == 2)
-    return two.select("p_partkey", T.name_parts(F.col("p_name")).alias("x"), T.slugify(F.col("p_brand")).alias("slug")).select("p_partkey", "x.*", "slug")
+    """Names of one, two and more words, with more spaces than they need."""
+    kind, name = F.col("p_partkey") % 3, F.col("p_name")
+    names = t("part").withColumn("name", F.when(kind == 0, "one ").when(kind == 1, name).otherwise(F.concat(F.lit(" "), name, F.lit("  "), "p_type")))
+    return names.select("p_partkey", T.name_parts(F.col("name")).alias("x"), T.slugify(F.col("p_brand")).alias("slug")).select("p_partkey", "x.*", "slug")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
