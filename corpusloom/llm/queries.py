@@ -15,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark))
-    return secret_scan.secret_findings(table(spark, sf_dir, "documents"), forest)
+    return secret_scan.secret_findings(table(spark, sf_dir, "documents"), secret_scan.standard_forest(spark))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,7 @@ class Forest:
 
     def __init__(self, model: RandomForestClassificationModel):
         self.model = model
+        self._expressions: dict[str, str] = {}
 
     @staticmethod
     def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> Forest:
@@ -226,9 +227,22 @@ class Forest:
         return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vector.coalesce(1)))
 
     def expression(self, prefix: str = "") -> str:
-        names = [f"{prefix}{n}" for n in FEATURES]
-        each = [_tree(t._call_java("rootNode"), names) for t in self.model.trees]
-        return f"({' + '.join(each)}) / {len(each)}"
+        if prefix not in self._expressions:
+            names = [f"{prefix}{n}" for n in FEATURES]
+            each = [_tree(t._call_java("rootNode"), names) for t in self.model.trees]
+            self._expressions[prefix] = f"({' + '.join(each)}) / {len(each)}"
+        return self._expressions[prefix]
+
+
+_standard: dict[str, Forest] = {}
+
+
+def standard_forest(spark: SparkSession) -> Forest:
+    """The forest of :func:`labelled_findings`, which are the same every time: trained once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _standard:
+        _standard[app] = Forest.fit(labelled_findings(spark))
+    return _standard[app]
 
 
 def _free(docs: DataFrame, name: str) -> str:

@@ -49,14 +49,16 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def discarding(spark: SparkSession) -> Iterator[None]:
-    """On leaving, tables that were stored inside are deleted: what they served must be written elsewhere by then."""
+    """On leaving, also by an error, tables that were stored inside are deleted: what they served must be written elsewhere by then."""
     before = len(_written)
-    yield
-    jvm = spark._jvm
-    for path in _written[before:]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _written[before:]
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _written[before:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[before:]
 
 
 #: Dropped rows up to this many are broadcast, at 16 bytes each; more go through a shuffle join.
