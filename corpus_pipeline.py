@@ -31,8 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked and n_chars counts what is left."""
-    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark))
-    return secret_scan.redact(docs, forest).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return secret_scan.redact(docs, secret_scan.standard_forest(spark)).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
