@@ -36,7 +36,7 @@ def test_stages(spark, docs, text, tmp_path):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_registered_names():
-    want = {"1": "secret", "2": "exact", "3": "quality", "4": "license", "5": "language", "6": "segment", "7": "packing", "8": "toxicity", "9": "suffix", "10": "ngram"}
+    want = {"1": "secret", "2": "exact", "3": "quality", "4": "license", "5": "language", "6": "segment", "7": "packing", "8": "toxicity", "9": "suffix", "10": "ngram", "11": "centroid", "12": "conversation", "13": "chat"}
     for name in queries.QUERIES:
         m = re.fullmatch(r"op(\d+)_(\w+)", name)
         assert m and m[2].startswith(want.pop(m[1]))
