@@ -20,12 +20,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import written
 from ..sources.versions import Versions
@@ -52,6 +56,30 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def _counts(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (key, words) to a row per key and different word; a batch has a bounded number of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            sizes = pc.list_value_length(words)
+            table = pa.table({"at": pc.list_parent_indices(words), "term": pc.list_flatten(words)}).group_by(["at", "term"]).aggregate([([], "count_all")])
+            none = pa.array(np.flatnonzero(sizes.to_numpy(zero_copy_only=False) == 0))
+            for part in (table, pa.table({"at": none, "term": pa.nulls(len(none), pa.string()), "count_all": pa.array(np.zeros(len(none), np.int64))})):
+                at = part.column("at").combine_chunks()
+                columns = [batch.column("key").take(at).cast(kind), sizes.take(at).cast(pa.int32()), part.column("term"), part.column("count_all").cast(pa.int32())]
+                yield from pa.table(dict(zip(("key", "dl", "term", "tf"), columns))).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def _together(*jobs: Callable[[], None]) -> None:
+    """Run jobs at the same time; the first error is raised once all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 _NAMES = ["bucket", "term", "most", "n", "keys", "tfs", "dls"]
 
 
@@ -153,9 +181,12 @@ class TextIndex:
         return lambda table: f"{self.versions.root}/{table}/{name}"
 
     def _counted(self, docs: DataFrame) -> DataFrame:
-        """key, dl, term, tf of each document; one row with a null term for a text without words."""
-        cut = docs.select(F.col(self.key).alias("key"), self.words(F.col(self.text)).alias("words")).select("key", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-        counted = cut.groupBy("key", "dl", "term").agg(F.count("term").cast("int").alias("tf"))
+        """key, dl, term, tf of each document; one row with a null term for a text without words.
+
+        A document's words lie in one row, so they are counted in its batch and not shuffled.
+        """
+        cut = docs.select(F.col(self.key).alias("key"), F.coalesce(self.words(F.col(self.text)), F.array().cast("array<string>")).alias("words"))
+        counted = cut.mapInArrow(_counts(to_arrow_type(cut.schema["key"].dataType)), f"key {dict(cut.dtypes)['key']}, dl int, term string, tf int")
         if self.prepared is None:
             return counted
         return self.prepared(counted.filter("term IS NOT NULL")).select("key", "dl", "term", F.col("tf").cast("int").alias("tf")).unionByName(counted.filter("term IS NULL"))
@@ -187,7 +218,6 @@ class TextIndex:
         if dead is not None:
             both = both.unionByName(dead.select("key", "dl", "term", F.lit(-1).alias("sign")))
         df = both.filter("term IS NOT NULL").groupBy("term").agg(F.sum("sign").alias("df")).filter("df != 0")
-        df.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path("terms"))
         # A document's length stands in each of its rows.
         each = both.groupBy("key", "sign").agg(F.first("dl").alias("dl"))
         figures = each.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)), F.lit(0)).alias("gone"))
@@ -195,11 +225,15 @@ class TextIndex:
         added = self.spark.read.parquet(path("corpus")).first()
         n, words = (sum(g[c] for g in old) + added[c] for c in ("n", "words"))
         mean = words / n if n and words else 1.0
-        self._write_postings(fresh, path, mean)
+        own = inheritable_thread_target(self.spark)
+        _together(own(lambda: self._write_terms(df, path)), own(lambda: self._write_postings(fresh, path, mean)))
         entry = {"gen": gen, "name": name, "key": dict(fresh.dtypes)["key"], "n": added["n"], "words": added["words"], "gone": added["gone"], "mean": mean}
         self.versions.publish(number + 1, {"settings": manifest["settings"], "generations": [*old, entry]})
         return entry
 
+    def _write_terms(self, df: DataFrame, path: Callable[[str], str]) -> None:
+        df.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path("terms"))
+
     def _write_postings(self, rows: DataFrame, path: Callable[[str], str], mean: float) -> None:
         placed = rows.filter("term IS NOT NULL").select("key", "term", "tf", "dl", _bucket(F.col("term"), self.buckets).alias("bucket"), _impact(F.col("tf"), F.col("dl"), mean).alias("impact"))
         order = ["bucket", "term", F.desc("impact"), "key"]
@@ -220,7 +254,7 @@ class TextIndex:
         rows = self.spark.read.schema(rows.schema).parquet(path("forward"))
         n, words = (sum(g[c] for g in old) for c in ("n", "words"))
         df = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-        df.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path("terms"))
+        self._write_terms(df, path)
         mean = words / n if n and words else 1.0
         rows.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.lit(0).cast("long").alias("gone")).write.parquet(path("corpus"))
         self._write_postings(rows, path, mean)
