@@ -142,9 +142,11 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chosen(docs: DataFrame, most: int, salt: int) -> list[np.ndarray]:
-    """Distinct features of the ``most`` documents with the smallest key hashes."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
-    got = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sample, "doc_id long, features array<int>").toArrow().sort_by("doc_id")
+    """Distinct features of the ``most`` rows with the smallest key hashes; of rows that repeat a key, by their features."""
+    place = (F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id"))
+    ids = docs.select("doc_id").orderBy(*place).limit(most)
+    sampled = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sample, f"doc_id {dict(docs.dtypes)['doc_id']}, features array<int>")
+    got = sampled.orderBy(*place, F.xxhash64("features")).limit(most).toArrow().sort_by("doc_id")
     return [x.values.to_numpy().view(np.uint32).astype(np.int64) for x in got["features"]]
 
 
@@ -187,10 +189,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Null and empty texts get the score of a text without any known feature.  Where
     nothing can be learnt (no label 1, or only ones) every score is 0.  Rows that
-    repeat a key are scored separately; repeated labels weigh only in the prior.
+    repeat a key are scored separately, and no more of them are learnt from than the
+    sample has rows; repeated labels weigh only in the prior.  Keys are of any type.
     Other columns are not read; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    model = fit(rows, labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("toxic")))
-    found = rows.mapInArrow(_score(model), "doc_id long, score double, predicted int")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    model = fit(rows, labels.select(F.col(key).cast(kind).alias("doc_id"), F.col(label).alias("toxic")))
+    found = rows.mapInArrow(_score(model), f"doc_id {kind}, score double, predicted int")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -122,6 +122,20 @@ def test_toxicity(docs, text, spark):
     assert toxicity.toxicity(docs([]).limit(0), labels).count() == 0
 
 
+def test_toxicity_of_string_and_repeated_keys(text, spark, monkeypatch):
+    """Keys that are no numbers, and one key that holds more rows than the samples."""
+    monkeypatch.setattr(toxicity, "SAMPLE_UNLABELLED", 50)
+    rows = [(f"doc-{i}", text(40, i) + (" blorg snarfen" if i % 4 == 0 else "")) for i in range(120)] + [("many", text(20, 500 + i)) for i in range(200)] + [(None, "x")]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"doc-{i}", int(i % 4 == 0)) for i in range(120)], "doc_id string, toxic int")
+    assert len(toxicity._chosen(table, 50, 2)) == 50
+    got = toxicity.toxicity(table, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    told = {r.doc_id: r for r in got}
+    held = [i for i in range(120) if told[f"doc-{i}"].held_out]
+    assert len(held) > 10 and sum(told[f"doc-{i}"].predicted == (i % 4 == 0) for i in held) >= 0.9 * len(held)
+
+
 # ---- licenses ---------------------------------------------------------------------------------
 
 
