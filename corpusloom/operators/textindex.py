@@ -4,11 +4,15 @@ Below the index's folder every update writes one generation of these tables:
 
 * ``postings``: by bucket of terms, sorted by term and falling impact; a row is a block of up to ``BLOCK`` postings
   (keys, term frequencies, document lengths) with the greatest impact in it;
-* ``forward``: by part of keys, the terms of each document, so that a document can be taken back;
+* ``forward``: a row per document with its terms, so that a document can be taken back;
 * ``terms`` and ``corpus``: what the update adds to, or takes from, document frequencies, the number of documents and
   of words;
 * ``gone``: documents of earlier generations that it replaces or removes.
 
+An update makes the forward rows in the tasks that read the texts.  From there tasks turn about a million postings at a
+time to lists by term, and lists are what is shuffled, never a row per posting; a frequent term's full blocks are dealt
+over all slices of its bucket.
+
 A manifest names the generations that count; it is published last, so a search sees an update whole or not at all.
 
 An impact is BM25's factor of term frequency and length without the idf.  It depends on the mean length, which updates
@@ -20,18 +24,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.scratch import written
 from ..sources.versions import Versions
 from .search import IDF_FLOOR, K1, B, document_tokens, plain_terms
 
@@ -41,9 +41,15 @@ BUCKETS = 64
 FIRST, MORE = 4 * BLOCK, 8
 #: Impacts lie between 0 and K1 + 1; their histogram has so many steps to 1.
 STEPS = 64
-FORMAT = 1
+FORMAT = 2
+#: Words or postings that a task works on at once; a document with more is worked on alone.
+AT_ONCE = 1 << 20
+#: Postings of a slice of a bucket, which one task merges.
+SLICE = 1 << 21
+#: Blocks of one term that a task sorts together.
+HELD = 64
 TABLES = {
-    "postings": "term string, most double, n int, keys array<{key}>, tfs array<int>, dls array<int>, gen int, bucket int", "forward": "key {key}, dl int, term string, tf int, gen int, part int",
+    "postings": "term string, most double, n int, keys array<{key}>, tfs array<int>, dls array<int>, gen int, bucket int", "forward": "key {key}, dl int, n int, terms array<string>, tfs array<int>, gen int",
     "terms": "term string, df long, gen int, bucket int", "corpus": "n long, words long, gone long, gen int", "gone": "key {key}, gen int",
 }
 
@@ -56,78 +62,152 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def _counts(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (key, words) to a row per key and different word; a batch has a bounded number of bytes."""
+def _pieces(sizes: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
+    """Runs of rows with at most ``most`` items together, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_starts(sizes).astype(np.int32)), values)
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The items of a column of lists."""
+    whole = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten()
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _counts(kind: pa.DataType, stem: Callable[[str], str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (key, words) to a row per key with its different words, or their stems, and their numbers of times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(1 << 18)(stem) if stem else None
         for batch in batches:
-            words = batch.column("words")
-            sizes = pc.list_value_length(words)
-            table = pa.table({"at": pc.list_parent_indices(words), "term": pc.list_flatten(words)}).group_by(["at", "term"]).aggregate([([], "count_all")])
-            none = pa.array(np.flatnonzero(sizes.to_numpy(zero_copy_only=False) == 0))
-            for part in (table, pa.table({"at": none, "term": pa.nulls(len(none), pa.string()), "count_all": pa.array(np.zeros(len(none), np.int64))})):
-                at = part.column("at").combine_chunks()
-                columns = [batch.column("key").take(at).cast(kind), sizes.take(at).cast(pa.int32()), part.column("term"), part.column("count_all").cast(pa.int32())]
-                yield from pa.table(dict(zip(("key", "dl", "term", "tf"), columns))).to_batches(max_chunksize=1 << 16)
+            every = _sizes(batch.column("words"))
+            for rows in _pieces(every):
+                sizes, part = every[rows], batch.slice(rows.start, rows.stop - rows.start)
+                words = _flat(part.column("words")).dictionary_encode()
+                code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+                if known:
+                    stems = pa.array([known(w) for w in names.to_pylist()], pa.string()).dictionary_encode()
+                    code, names = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
+                wide = max(1, len(names))
+                pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + code, return_counts=True)
+                n = np.bincount(pairs // wide, minlength=len(sizes))
+                columns = [part.column("key").cast(kind), pa.array(sizes.astype(np.int32)), pa.array(n.astype(np.int32)), _lists(n, names.take(pa.array(pairs % wide))), _lists(n, pa.array(times.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "dl", "n", "terms", "tfs"])
 
     return run
 
 
-def _together(*jobs: Callable[[], None]) -> None:
-    """Run jobs at the same time; the first error is raised once all have ended."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        for done in [pool.submit(job) for job in jobs]:
-            done.result()
+def _impacts(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
 _NAMES = ["bucket", "term", "most", "n", "keys", "tfs", "dls"]
 
 
-def _blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows by term and falling impact, cut to blocks of ``size``; a batch's last block goes on in the next."""
+def _blocks_of(code: np.ndarray, names: pa.Array, keys: pa.Array, tfs: np.ndarray, dls: np.ndarray, mean: float, size: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(rank of each block in its term, columns from ``term`` on): postings by term and falling impact, cut to blocks of ``size``."""
+    impact = _impacts(tfs, dls, mean)
+    order = np.lexsort((-impact, code))
+    code, impact = code[order], impact[order]
+    runs = np.flatnonzero(np.diff(code, prepend=-1))
+    within = np.arange(len(code)) - np.repeat(runs, np.diff(runs, append=len(code)))
+    begin = np.flatnonzero(within % size == 0)
+    sizes = np.diff(begin, append=len(code))
+    lists = [_lists(sizes, x) for x in (keys.take(pa.array(order)), pa.array(tfs[order].astype(np.int32)), pa.array(dls[order].astype(np.int32)))]
+    return within[begin] // size, [names.take(pa.array(code[begin])), pa.array(impact[begin]), pa.array(sizes.astype(np.int32)), *lists]
+
+
+def _inverted(mean: float, buckets: int, slices: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From forward rows to blocks of about a million postings each time, with the slice of a bucket where each goes.
+
+    What is left of a term meets in one slice, to be merged there; full blocks are dealt over the slices.
+    """
+
+    def turned(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        n = table.column("n").to_numpy().astype(np.int64)
+        terms = _flat(table.column("terms")).dictionary_encode()
+        of = np.repeat(np.arange(len(n)), n)
+        keys, dls = table.column("key").combine_chunks(), table.column("dl").to_numpy()
+        rank, columns = _blocks_of(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.dictionary, keys.take(pa.array(of)), _flat(table.column("tfs")).to_numpy(), dls[of], mean, size)
+        digest = np.array([zlib.crc32(t.encode()) for t in columns[0].to_pylist()], np.int64)
+        bucket, full = digest % buckets, columns[2].to_numpy() == size
+        at = bucket * slices + (digest // buckets + np.where(full, rank, 0)) % slices
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), *columns], names=["at", *_NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        held, count = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table])
-            begin = _begins(table, size)
-            left = table.slice(int(begin[-1])) if len(table) else None
-            if len(begin) > 1:
-                yield _cut(table.slice(0, int(begin[-1])), begin[:-1])
-        if left is not None and len(left):
-            yield _cut(left, _begins(left, size))
+            every = batch.column("n").to_numpy().astype(np.int64)
+            for rows in _pieces(every):
+                more = int(every[rows].sum())
+                if count and count + more > AT_ONCE:
+                    yield turned(held)
+                    held, count = [], 0
+                held.append(batch.slice(rows.start, rows.stop - rows.start))
+                count += more
+        if count:
+            yield turned(held)
 
     return run
 
 
-def _begins(table: pa.Table, size: int) -> np.ndarray:
-    """Where blocks begin: with every term, and after ``size`` postings of one."""
-    if not len(table):
-        return np.zeros(0, np.int64)
-    code = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    runs = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(table)]])
-    return np.concatenate([np.arange(a, b, size) for a, b in zip(runs[:-1], runs[1:])])
+def _blocks(mean: float, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merge blocks that come by term and falling impact to blocks of ``size``; a batch's last term goes on in the next."""
 
+    def cut(table: pa.Table) -> pa.RecordBatch:
+        n = table.column("n").to_numpy().astype(np.int64)
+        terms = table.column("term").combine_chunks().dictionary_encode()
+        code = np.repeat(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+        _, columns = _blocks_of(code, terms.dictionary, _flat(table.column("keys")), _flat(table.column("tfs")).to_numpy(), _flat(table.column("dls")).to_numpy(), mean, size)
+        bucket = pa.array(np.full(len(columns[0]), table.column("bucket")[0].as_py(), np.int32))
+        return pa.RecordBatch.from_arrays([bucket, *columns], names=_NAMES)
 
-def _cut(table: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-    offsets, at = np.append(begin, len(table)).astype(np.int32), pa.array(begin)
-    whole = lambda c: pa.concat_arrays(table.column(c).chunks)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), whole(c)) for c in ("key", "tf", "dl")]
-    return pa.RecordBatch.from_arrays([whole("bucket").take(at), whole("term").take(at), whole("impact").take(at), pa.array(np.diff(offsets)), *lists], names=_NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            for rows in _pieces(batch.column("n").to_numpy().astype(np.int64)):
+                table = pa.Table.from_batches([batch.slice(rows.start, rows.stop - rows.start)])
+                table = table if left is None else pa.concat_tables([left, table])
+                terms = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                last = int(np.flatnonzero(np.diff(terms, prepend=-1))[-1])
+                if table.column("n").to_numpy()[last:].sum() >= HELD * size:
+                    last = len(table)
+                if last:
+                    yield cut(table.slice(0, last))
+                left = table.slice(last) if last < len(table) else None
+        if left is not None:
+            yield cut(left)
+
+    return run
 
 
 class TextIndex:
     """A full-text index over documents (key, text), kept below ``root``.
 
-    ``words`` cuts a text to terms.  ``prepared`` may change the terms of counted rows
-    (key, dl, term, tf), as to stems; ``stem`` then does so with a query's words.  The number of ``buckets`` is fixed when the index is made, so
-    that one bucket's postings are some hundred megabytes.  ``settings`` are stamped on the index: one that was made with
+    ``words`` cuts a text to terms.  ``stem`` may change a term, in texts and in a
+    query alike.  The number of ``buckets`` is fixed when the index is made; a bucket
+    is written in as many slices as its postings need.  ``settings`` are stamped on the index: one that was made with
     others, or whose tables are missing, is made anew (:meth:`opened`).
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", words: Callable[[Column], Column] = document_tokens, prepared: Callable[[DataFrame], DataFrame] | None = None, stem: Callable[[str], str] | None = None, buckets: int = BUCKETS, settings: dict[str, str] | None = None):
-        self.spark, self.key, self.text, self.words, self.prepared, self.stem = spark, key, text, words, prepared, stem
+    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", words: Callable[[Column], Column] = document_tokens, stem: Callable[[str], str] | None = None, buckets: int = BUCKETS, settings: dict[str, str] | None = None):
+        self.spark, self.key, self.text, self.words, self.stem = spark, key, text, words, stem
         self.versions = Versions(spark, root)
         self.buckets = int(self.manifest().get("settings", {}).get("buckets", buckets))
         self.settings = {"format": str(FORMAT), "buckets": str(self.buckets), **(settings or {})}
@@ -181,66 +261,63 @@ class TextIndex:
         return lambda table: f"{self.versions.root}/{table}/{name}"
 
     def _counted(self, docs: DataFrame) -> DataFrame:
-        """key, dl, term, tf of each document; one row with a null term for a text without words.
-
-        A document's words lie in one row, so they are counted in its batch and not shuffled.
-        """
+        """key, dl, n, terms, tfs of each document; its words lie in one row, so they are counted in its batch and not shuffled."""
         cut = docs.select(F.col(self.key).alias("key"), F.coalesce(self.words(F.col(self.text)), F.array().cast("array<string>")).alias("words"))
-        counted = cut.mapInArrow(_counts(to_arrow_type(cut.schema["key"].dataType)), f"key {dict(cut.dtypes)['key']}, dl int, term string, tf int")
-        if self.prepared is None:
-            return counted
-        return self.prepared(counted.filter("term IS NOT NULL")).select("key", "dl", "term", F.col("tf").cast("int").alias("tf")).unionByName(counted.filter("term IS NULL"))
+        return cut.mapInArrow(_counts(to_arrow_type(cut.schema["key"].dataType), self.stem), f"key {dict(cut.dtypes)['key']}, dl int, n int, terms array<string>, tfs array<int>")
 
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> dict:
         """Index ``changed`` (key, text; one row a key), which replaces what its keys had, and take ``removed`` (key) back.
 
-        Returns the new generation's entry.  Only the forward rows of these keys and
-        the texts of ``changed`` are read.
+        Returns the new generation's entry.  No texts but those of ``changed`` are read.
         """
         number, manifest = self.versions.latest()
         old = manifest["generations"]
         gen = max([g["gen"] for g in old], default=0) + 1
         name = f"gen={gen}"
         path = self._emptied(name)
-        part = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        fresh = self._counted(changed).withColumn("part", part)
-        fresh.repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part").parquet(path("forward"))
+        fresh = self._counted(changed)
+        fresh.write.parquet(path("forward"))
         fresh = self.spark.read.schema(fresh.schema).parquet(path("forward"))
-        keys = changed.select(F.col(self.key).alias("key"))
-        if removed is not None:
-            keys = keys.unionByName(removed.select(F.col(self.key).alias("key")))
+        sums = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+        lost = self.spark.createDataFrame([(0, 0)], "gone long, lost long")
         dead = None
         if old:
-            keys = keys.distinct().withColumn("part", part)
-            dead = written(self._live("forward").join(keys, ["part", "key"], "left_semi"), "index-dead")
-            dead.select("key", "gen").distinct().write.parquet(path("gone"))
-        both = fresh.select("key", "dl", "term", F.lit(1).alias("sign"))
-        if dead is not None:
-            both = both.unionByName(dead.select("key", "dl", "term", F.lit(-1).alias("sign")))
-        df = both.filter("term IS NOT NULL").groupBy("term").agg(F.sum("sign").alias("df")).filter("df != 0")
-        # A document's length stands in each of its rows.
-        each = both.groupBy("key", "sign").agg(F.first("dl").alias("dl"))
-        figures = each.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)), F.lit(0)).alias("gone"))
-        figures.write.parquet(path("corpus"))
-        added = self.spark.read.parquet(path("corpus")).first()
-        n, words = (sum(g[c] for g in old) + added[c] for c in ("n", "words"))
+            keys = fresh.select("key")
+            if removed is not None:
+                keys = keys.unionByName(removed.select(F.col(self.key).alias("key")))
+            # The narrow rows first: which documents go, then the terms of these.
+            self._live("forward").select("key", "gen", "dl").join(keys.distinct(), "key", "left_semi").write.parquet(path("gone"))
+            gone = self.spark.read.schema(f"key {dict(fresh.dtypes)['key']}, gen int, dl int").parquet(path("gone"))
+            lost = gone.agg(F.count("*").alias("gone"), F.coalesce(F.sum("dl"), F.lit(0)).alias("lost"))
+            dead = self._read("forward").join(gone, ["key", "gen"], "left_semi").select(F.explode("terms").alias("term"))
+        added = sums.crossJoin(lost).first()
+        n, words = sum(g["n"] for g in old) + added.n - added.gone, sum(g["words"] for g in old) + added.words - added.lost
         mean = words / n if n and words else 1.0
-        own = inheritable_thread_target(self.spark)
-        _together(own(lambda: self._write_terms(df, path)), own(lambda: self._write_postings(fresh, path, mean)))
-        entry = {"gen": gen, "name": name, "key": dict(fresh.dtypes)["key"], "n": added["n"], "words": added["words"], "gone": added["gone"], "mean": mean}
+        self._write_postings(fresh, path, mean, added.postings)
+        self._write_terms(path, dead)
+        entry = {"gen": gen, "name": name, "key": dict(fresh.dtypes)["key"], "n": added.n - added.gone, "words": added.words - added.lost, "gone": added.gone, "mean": mean}
+        self._write_corpus(entry, path)
         self.versions.publish(number + 1, {"settings": manifest["settings"], "generations": [*old, entry]})
         return entry
 
-    def _write_terms(self, df: DataFrame, path: Callable[[str], str]) -> None:
-        df.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path("terms"))
+    def _write_corpus(self, entry: dict, path: Callable[[str], str]) -> None:
+        self.spark.createDataFrame([(entry["n"], entry["words"], entry["gone"])], "n long, words long, gone long").coalesce(1).write.parquet(path("corpus"))
+
+    def _write_terms(self, path: Callable[[str], str], dead: DataFrame | None = None) -> None:
+        """What the generation's postings add to document frequencies, less the terms of ``dead``."""
+        both = self.spark.read.schema("term string, n int").parquet(path("postings")).groupBy("term").agg(F.sum("n").alias("df"))
+        if dead is not None:
+            both = both.unionByName(dead.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df != 0")
+        both.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path("terms"))
 
-    def _write_postings(self, rows: DataFrame, path: Callable[[str], str], mean: float) -> None:
-        placed = rows.filter("term IS NOT NULL").select("key", "term", "tf", "dl", _bucket(F.col("term"), self.buckets).alias("bucket"), _impact(F.col("tf"), F.col("dl"), mean).alias("impact"))
-        order = ["bucket", "term", F.desc("impact"), "key"]
+    def _write_postings(self, rows: DataFrame, path: Callable[[str], str], mean: float, postings: int) -> None:
         kind = dict(rows.dtypes)["key"]
-        cut = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-        blocks = cut.mapInArrow(_blocks(BLOCK), f"bucket int, term string, most double, n int, keys array<{kind}>, tfs array<int>, dls array<int>")
-        blocks.sortWithinPartitions("bucket", "term", F.desc("most")).write.partitionBy("bucket").parquet(path("postings"))
+        slices = max(1, -(-postings // (self.buckets * SLICE)))
+        schema = f"bucket int, term string, most double, n int, keys array<{kind}>, tfs array<int>, dls array<int>"
+        order = ["bucket", "term", F.desc("most")]
+        placed = rows.mapInArrow(_inverted(mean, self.buckets, slices, BLOCK), f"at int, {schema}")
+        met = placed.repartitionById(self.buckets * slices, "at").drop("at").sortWithinPartitions(*order)
+        met.mapInArrow(_blocks(mean, BLOCK), schema).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path("postings"))
 
     def merged(self) -> dict:
         """Rewrite the live documents of all generations as one, from the stored terms; no text is read."""
@@ -250,15 +327,14 @@ class TextIndex:
         name = f"gen={gen}"
         path = self._emptied(name)
         rows = self._live("forward").drop("gen")
-        rows.repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part").parquet(path("forward"))
+        rows.write.parquet(path("forward"))
         rows = self.spark.read.schema(rows.schema).parquet(path("forward"))
         n, words = (sum(g[c] for g in old) for c in ("n", "words"))
-        df = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-        self._write_terms(df, path)
         mean = words / n if n and words else 1.0
-        rows.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.lit(0).cast("long").alias("gone")).write.parquet(path("corpus"))
-        self._write_postings(rows, path, mean)
+        self._write_postings(rows, path, mean, rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        self._write_terms(path)
         entry = {"gen": gen, "name": name, "key": dict(rows.dtypes)["key"], "n": n, "words": words, "gone": 0, "mean": mean}
+        self._write_corpus(entry, path)
         self.versions.publish(number + 1, {"settings": manifest["settings"], "generations": [entry]})
         return entry
 

@@ -346,7 +346,7 @@ def bm25_topk(t):
   SELECT doc_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM c, s WHERE f > 0""")
 def bm25_stemmed(t):
     """A stored index of folded stems; a query's words are stemmed alike."""
-    index = text_index(t("documents"), name="stems", prepared=stemming.stem_postings, stem=lambda w: stemming.stem(stemming.fold(w)))
+    index = text_index(t("documents"), name="stems", stem=lambda w: stemming.stem(stemming.fold(w)))
     return index.matches("Licensed").select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,37 @@ def test_two_writers(spark, tmp_path):
     index.opened()
     with pytest.raises(FileExistsError):
         index.versions.publish(1, {})
+
+
+def test_lists_are_shuffled_not_postings(spark):
+    """A term's postings of a task are one row, or full blocks; before, each posting was a row of the shuffle."""
+    docs = texts(400, 3)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(400)), "words": [t.split() for t in docs]})
+    rows = list(textindex._counts(pa.int64())(iter([batch])))
+    postings = sum(len(set(t.split())) for t in docs)
+    assert sum(b.column("n").to_numpy().sum() for b in rows) == postings
+    (out,) = textindex._inverted(30.0, 4, 3, 64)(iter(rows))
+    assert len(out) <= len(WORDS) + postings / 64 and sum(out.column("n").to_pylist()) == postings
+    assert {a // 3 for a in out.column("at").to_pylist()} <= set(out.column("bucket").to_pylist())
+    the = [r for r in out.to_pylist() if r["term"] == "the"]
+    assert len({r["at"] for r in the}) == 3  # a frequent term's full blocks are dealt over its bucket's slices
+    assert [r["most"] for r in the] == sorted((r["most"] for r in the), reverse=True)
+    # Merged in one task: whole again, cut to blocks, by falling impact.
+    merged = [r for b in textindex._blocks(30.0, 64)(iter([pa.RecordBatch.from_pylist(the[:2]).drop_columns("at"), pa.RecordBatch.from_pylist(the[2:]).drop_columns("at")])) for r in b.to_pylist()]
+    assert sorted(k for r in merged for k in r["keys"]) == [i for i, t in enumerate(docs) if "the" in t.split()] and [r["n"] for r in merged[:-1]] == [64] * (len(merged) - 1)
+
+
+def test_pieces_are_bounded():
+    got = [(s.start, s.stop) for s in textindex._pieces(np.array([3, 0, 9, 1, 1, 5]), 4)]
+    assert got == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(textindex._pieces(np.array([], int))) == []
+
+
+def test_many_slices_equal_a_recount(spark, tmp_path, small, monkeypatch):
+    monkeypatch.setattr(textindex, "SLICE", 200)
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.opened()
+    docs = dict(enumerate(texts(300, 11)))
+    index.update(table(spark, docs))
+    changed = dict(zip(range(50, 90), texts(40, 12)))
+    index.update(table(spark, changed), spark.createDataFrame([(3,)], "doc_id long"))
+    check(index, {d: t for d, t in (docs | changed).items() if d != 3}, ["the of", "lantern"])
