@@ -14,10 +14,9 @@ LONGER = 16
 
 def pieces(text: Column) -> Column:
     """The different runs of three characters of a lower-cased text."""
-    signs = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    three = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - TRIGRAM_LEAST), lambda i: F.concat(x[i], x[i + 1], x[i + 2]))
-    # The list of one gives the signs a name: inside a lambda their expression would be computed for every piece.
-    return F.array_distinct(F.flatten(F.transform(F.filter(F.array(signs), lambda x: F.size(x) >= TRIGRAM_LEAST), three)))
+    # A lookahead matches at every sign; the first class keeps it from beginning within one that takes two code units.
+    every = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1))
+    return F.array_distinct(every)
 
 
 class TrigramIndex(TextIndex):
