@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from .arrow import text_udf
 from .markup import html_to_text
 from .text import normalize_whitespace, strip_all, strip_markdown
 
@@ -118,12 +117,4 @@ def underlined_markdown(df: DataFrame, key: str, text: str, out: str = "markdown
     return joined.select(key, strip_all(plain).alias(out))
 
 
-def _udf(fn):
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: fn(x if isinstance(x, str) else None))
-
-    return run
-
-
-profile_to_markdown, unwrap_json = _udf(profile_text), _udf(_unwrap)
+profile_to_markdown, unwrap_json = text_udf(profile_text), text_udf(_unwrap)
