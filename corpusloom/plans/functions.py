@@ -264,13 +264,19 @@ def filing_bodies(t):
 # ---- readers: files written from the tables and read again ------------------------------------
 
 
+#: Records in one XML file, which one task reads; answers and dumps come in files of a bounded size.
+RECORDS = 50_000
+
+
 def _lines(df, name: str, lines, gz: bool = False, root: str | None = None) -> str:
-    """One column of lines as text files; as one file within a root element, if one is named."""
-    spark, path, rows = df.sparkSession, folder(df.sparkSession, name), df.select(lines.alias("value"))
-    if root:
-        tag = lambda x: spark.createDataFrame([(x,)], "value string")
-        rows = tag(f"<{root}>").union(rows).union(tag(f"</{root}>"))
-    rows.coalesce(1 if root else 4).write.option("compression", "gzip" if gz else "none").text(path)
+    """One column of lines as text files; if a root element is named, each file is one with ``RECORDS`` lines at most."""
+    path, rows = folder(df.sparkSession, name), df.select(lines.alias("value"))
+    if not root:
+        rows.coalesce(4).write.option("compression", "gzip" if gz else "none").text(path)
+        return path
+    part = F.floor(F.monotonically_increasing_id() / RECORDS).alias("part")
+    whole = F.concat(F.lit(f"<{root}>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"\n</{root}>"))
+    rows.select("value", part).groupBy("part").agg(whole.alias("value")).write.partitionBy("part").option("compression", "gzip" if gz else "none").text(path)
     return path
 
 
