@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,6 +18,11 @@ def runs(rows: int, size: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     return ((at, min(size, rows - at)) for at in range(0, rows, size))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores: a file of few bytes is one task, however long Python takes for each of its rows."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def text_udf(fn: Callable):
     """A column function of one column with a text each; nulls are given to ``fn`` as None."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, markup
 from ..functions import text as T
+from ..functions.arrow import spread
 from ..operators import listing
 from ..sources import readers
 from ..sources.scratch import folder
@@ -247,7 +248,7 @@ def underlined_text(t):
 @query("SELECT c_custkey, '## Introduction' || chr(10) || chr(10) || c_name || ' lead' || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || c_mktsegment AS body FROM customer")
 def wiki_articles(t):
     raw = F.concat(F.lit("{{box|{{x}}}}'''"), "c_name", F.lit("''' [[a|lead]]<ref>n</ref>\n== Part ==\n[[File:x.png|thumb]]"), "c_mktsegment", F.lit("\n== See also ==\n* [[b]]"))
-    return t("customer").select("c_custkey", markup.wiki_to_markdown(raw).alias("body"))
+    return spread(t("customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", markup.wiki_to_markdown(raw).alias("body"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE c_name || ' plain' END AS body FROM customer")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import builders, markup
 from ..functions import text as T
+from ..functions.arrow import spread
 from ..operators import graph, index, listing, merge, retrieve, routes, search
 from ..operators.textindex import TextIndex
 from ..sources import archives, xmlrows
@@ -449,4 +450,4 @@ def act_records(t):
 @query("SELECT c_custkey, '## Abstract' || chr(10) || chr(10) || c_name || ' has $x^2$.' || chr(10) || chr(10) || '- ' || c_mktsegment || chr(10) || '- [1]' || chr(10) AS markdown FROM customer")
 def paper_pages(t):
     html = F.concat(F.lit('<body><nav>menu</nav><article class="ltx_document"><h1>Title</h1><h6 class="ltx_title_abstract">Abstract</h6><p>'), "c_name", F.lit(' has <math alttext="x^2"/>.</p><ul><li>'), "c_mktsegment", F.lit('</li><li><cite>[<a href="#b1">1</a>]</cite></li></ul></article></body>'))
-    return t("customer").select("c_custkey", markup.paper_to_markdown(html).alias("markdown"))
+    return spread(t("customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", markup.paper_to_markdown(html).alias("markdown"))

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrow, chunking, markup
+from corpusloom.functions import arrow, chunking, markup, vector
 from corpusloom.plans import functions
 
 
@@ -31,3 +31,21 @@ def test_xml_files_have_a_bounded_size(spark, monkeypatch):
     files = spark.read.text(path, wholetext=True).collect()
     assert len(files) == 10 and all(f.value.startswith("<r>") and f.value.rstrip().endswith("</r>") and f.value.count("<record>") <= 10 for f in files)
     assert sum(f.value.count("<record>") for f in files) == 95
+
+
+def test_few_bytes_are_spread_over_cores(spark, tmp_path):
+    """One small file is one partition; before, Python's work on it was one task."""
+    spark.range(500).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1
+    dealt = arrow.spread(one)
+    assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and dealt.count() == 500
+
+
+def test_embedding_computes_its_tokens_once(spark):
+    """Before, the expression of the tokens stood in the plan, and was computed, for each place and each norm."""
+    made = vector.hashed_embedding(F.split("t", " "), 8)
+    df = spark.createDataFrame([("a b c a",), ("",), (None,)], "t string").select(made.alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    a, b, c = (r.v for r in df.collect())
+    assert abs(sum(x * x for x in a) - 1) < 1e-6 and len(b) == 8 and c == [0.0] * 8
