@@ -43,6 +43,22 @@ def connected_components(links: DataFrame) -> DataFrame:
     return _components(links)[0]
 
 
+def extended(part: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of ``part``, the components of earlier links, after ``links``; ids may be new.
+
+    Ends are replaced by their components, so only links between different ones
+    are followed.
+    """
+    at = lambda c, to: part.select(F.col("id").alias(c), F.col("component").alias(to))
+    between = links.join(at("a", "pa"), "a", "left").join(at("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    moved, rounds, _ = _components(between)
+    if not rounds:
+        return part
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    known = part.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return stored(known.unionByName(moved.join(part.select("id"), "id", "left_anti").select("id", "component")), "cc-map")
+
+
 def _components(links: DataFrame) -> tuple[DataFrame, int, int]:
     """The components, the number of rounds, and of doubling steps in all rounds."""
     ends = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended
 from .shared import one_of_each, stored, text_hash
 from .textkernel import U, distinct, mix, shingles, text_blocks
 
 BUCKET_BITS = 22
 CHUNKS = 64
+#: The sketch comes to the driver in so many parts, one after the other.
+SKETCH_PARTS = 4
 MAX_EXTRA = 8
 #: Estimated cost of verifying one candidate, in posting entries read.
 VERIFY_COST = 20.0
@@ -112,9 +114,9 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_sketch(summary: DataFrame) -> np.ndarray:
     """All documents' shingle counts by hash bucket: 16 MB, whatever the corpus."""
     rows = summary.filter("chunk IS NOT NULL").select("chunk", "counts")
-    one = rows.repartition(min(CHUNKS, 16), "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
+    one = rows.repartition(min(CHUNKS, 16), "chunk").mapInArrow(_add_counts, "chunk int, counts binary").coalesce(SKETCH_PARTS)
     out = np.zeros(_BUCKETS, dtype=np.uint32)
-    for r in one.toLocalIterator():  # CHUNKS rows
+    for r in one.toLocalIterator():  # CHUNKS rows; each partition is a job
         out[r.chunk * (_BUCKETS // CHUNKS) : (r.chunk + 1) * (_BUCKETS // CHUNKS)] = np.frombuffer(r.counts, dtype="<u4")
     return out
 
@@ -285,6 +287,7 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     prefixes = rows.select("text").mapInArrow(_emit_prefixes(words, percent, sketch), ", ".join(f"{c} long" for c in _PREFIX))
     stars = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "k1", "k2").mapInArrow(_stars, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in _STAR))
     stars = stored(stars, "ngram-stars")
+    sketch.destroy()
     n_of, l_of = (lambda c: F.shiftright(c, 8)), (lambda c: F.col(c).bitwiseAND(255))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
@@ -314,8 +317,7 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     hub = placed.join(weight, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "parity", "part"), F.struct("w", "id")).alias("hub"))
     spokes = placed.join(hub.select("token", *(F.col(f"hub.{c}").alias(f"x_{c}") for c in ("id", "n", "parity", "part"))), "token")
     spokes = spokes.filter((F.col("part") != F.col("x_part")) & close("", "x_")).select(*pair("", "x_")).distinct()
-    links = links.unionByName(stored(_verify(stored(spokes, "ngram-near"), wide, classes, rows, words, percent), "ngram-links"))
-    part = connected_components(links)
+    part = extended(part, stored(_verify(stored(spokes, "ngram-near"), wide, classes, rows, words, percent), "ngram-links"))
     placed = placed.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     placed = stored(_open(placed), "ngram-placed")
 
@@ -328,9 +330,7 @@ def _components(docs: DataFrame, words: int, percent: int, key: str, text: str)
     outside = lists.filter("part != main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "parity", "part")), bands.alias("band"))
     once = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id")))
     across = outside.join(lists, ["token", "band"]).filter(once & close("", "x_")).select(*pair("", "x_")).distinct()
-    second = stored(_verify(stored(across, "ngram-near"), wide, classes, rows, words, percent), "ngram-links")
-    if not second.isEmpty():
-        part = connected_components(links.unionByName(second))
+    part = extended(part, stored(_verify(stored(across, "ngram-near"), wide, classes, rows, words, percent), "ngram-links"))
 
     member = stored(classes.join(part, "id", "left").select("k1", "k2", F.col("text_of.doc_id").alias("least"), F.coalesce("component", "id").alias("group")), "ngram-members")
     smallest = member.groupBy("group").agg(F.min("least").alias("smallest"))

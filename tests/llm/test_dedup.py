@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import exact_dedup, ngram_join, suffix_dedup
-from corpusloom.llm.components import _components, connected_components
+from corpusloom.llm.components import _components, connected_components, extended
 
 
 def test_exact(docs):
@@ -152,6 +152,38 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_extended(spark):
+    """By links between components, within one, to new ids and among new ids: as of all links at once."""
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    first, then = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)], [(3, 1), (3, 11), (21, 5), (40, 41), (31, 7), (7, 41), (9, 9)]
+    found = {r.id: r.component for r in extended(connected_components(table(first)), table(then)).collect()}
+    assert found == {r.id: r.component for r in connected_components(table(first + then)).collect()}
+    part = connected_components(table(first))
+    assert extended(part, table([(1, 3), (11, 10)])) is part and extended(part, table([])) is part
+
+
+def test_ngram_join_follows_new_links_alone(docs, text, monkeypatch, spark):
+    """Links of a later step are followed from the components that are there, and the sketch comes in few jobs."""
+    whole, jobs = [], []
+    once = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda links: whole.append(1) or once(links))
+    counted = ngram_join._count_sketch
+
+    def sketch(summary):
+        spark.sparkContext.setJobGroup("sketch", "")
+        try:
+            return counted(summary)
+        finally:
+            jobs.extend(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch"))
+            spark.sparkContext.setJobGroup("", "")
+
+    monkeypatch.setattr(ngram_join, "_count_sketch", sketch)
+    texts = near_copies(text)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(texts).repartition(3), 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert len(whole) == 1 and len(jobs) <= 2 * ngram_join.SKETCH_PARTS
+
+
 def brute_removal(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
